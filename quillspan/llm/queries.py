@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspan.llm.packing import pack
 from quillspan.llm.sharding import interleave
 from quillspan.llm.shared import table
+from quillspan.llm.simhash import near_duplicates
 from quillspan.llm.token_counts import document_token_counts
 
 
@@ -28,6 +29,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=2)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=3).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -37,6 +44,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op7_packing": op7_packing,
+    "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
 }
 ORACLES: dict[str, str] = {}
