@@ -35,7 +35,7 @@ BASE = (
 RULES = (
     *BASE,
     Rule("symbols", lambda s: 10 * s.n_symbols > s.n_words),
-    Rule("repeated_lines", lambda s: 10 * s.n_dup_lines > 3 * len(s.lines)),
+    Rule("repeated_lines", lambda s: s.n_dup_lines >= 3 and 10 * s.n_dup_lines > 3 * len(s.lines)),
     Rule("word_length", lambda s: not 2 * s.n_words <= s.word_chars <= 12 * s.n_words),
     Rule("capitals", lambda s: 2 * s.n_upper > s.n_upper + s.n_lower),
     Rule("shouting", lambda s: 10 * s.n_shouts > s.n_words),
@@ -108,7 +108,7 @@ a as (select s.*, coalesce(c.n, 0) as n_repeat_words from s left join c using (d
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from a)
 select doc_id, n_words::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars, n_symbols::bigint as n_symbols,
   n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
-  not (base_failed or 10 * n_symbols > n_words or 10 * n_dup_lines > 3 * n_lines
+  not (base_failed or 10 * n_symbols > n_words or n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines
     or not coalesce(word_chars, 0) between 2 * n_words and 12 * n_words or 2 * up > up + low or 10 * shouts > n_words) as kept
 from b
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, quality_model, quality_rules
+from quillspan.llm import decontaminate, quality_model, quality_rules, toxicity
 from quillspan.llm.packing import pack
 from quillspan.llm.sharding import interleave
 from quillspan.llm.shared import table
@@ -32,6 +32,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, model, folds=5, held_out=0, threshold=0.3)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", folds=4, held_out=2)
+    return toxicity.score(docs, model, folds=4, held_out=2, threshold=0.3)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=49407)
 
@@ -59,6 +65,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
