@@ -3,10 +3,12 @@
 A fingerprint of 64 bits is cut into segments of 22, 21 and 21 bits. The binary Golay code of length 23
 is perfect: every word lies within three bits of exactly one codeword. A segment, filled up with zeros,
 is decoded as it stands and with each of its bits turned over; that gives one to six codeword indices,
-and two segments that differ in two bits or fewer share at least one of them. Of at most three differing
-bits, two in one segment leave at most one for each other, so there are always two segments with one
-difference at most: keys are made of the indices of two segments, and every pair of linked fingerprints
-shares a key. Fingerprints that share a key are compared, so every link found is exact and none is missed.
+among them the own index of every segment that differs in one bit. Of at most three differing bits,
+either some segment has none and another one has one at most, or each has one. So the keys are, for every
+two segments, the one in full with an index of the other (34 bits), and an index of the first with an
+unchanged half of the second and of the third (33 bits): every pair of linked fingerprints shares a key
+that is made of the own index of one of them. Keys that no fingerprint has as its own are dropped, the
+members of all others are compared, so every link found is exact and none is missed.
 
 Only distinct fingerprints are compared. A key of two is compared in the aggregation itself; a larger
 one is compared inside a task, which emits a spanning forest instead of all pairs. A key with more than
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from itertools import combinations, permutations, product
 
 import numpy as np
 import pyarrow as pa
@@ -96,19 +98,28 @@ def segment_keys(words: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``fps`` (unsigned) and the keys of each."""
-    at, parts = 64, []
+def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in ``fps`` (unsigned), the keys of each, and whether a key is made of its own index."""
+    at, words, near = 64, [], []
     for bits in SEGMENTS:
         at -= bits
-        parts.append(segment_keys((fps >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1), bits))
-    rows, keys = [], []
-    for n, (i, j) in enumerate(combinations(range(3), 2)):
-        a, b = parts[i][:, :, None], parts[j][:, None, :]
-        good = (a >= 0) & (b >= 0)
+        words.append((fps >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1))
+        near.append(segment_keys(words[-1], bits))
+    own = [codeword_indices()[w].astype(np.int64)[:, None] for w in words]
+    rows, keys, first = [], [], []
+
+    def add(kind: int, fixed: np.ndarray, s: int) -> None:
+        good = near[s] >= 0
         rows.append(np.nonzero(good)[0])
-        keys.append((((n << 12) | a) << 12 | b)[good])
-    return np.concatenate(rows), np.concatenate(keys)
+        keys.append((((kind << 22 | fixed) << 12)[:, None] | near[s])[good])
+        first.append((near[s] == own[s])[good])
+
+    for kind, (x, y) in enumerate(permutations(range(3), 2)):
+        add(kind, words[x], y)
+    halves = [(w & 0x3FF, w >> 10) for w in words]
+    for i, j in product(range(2), range(2)):
+        add(6 + 2 * i + j, halves[1][i] << 11 | halves[2][j], 0)
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(first)
 
 
 def block_masks(free: int) -> list[int]:
@@ -157,28 +168,29 @@ def linked(fps: DataFrame, bits: int = 3, cap: int = 2048) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 own = batch.column("fp").slice(at, 2000).to_numpy()
-                rows, keys = golay_keys(own.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[rows])], ["key", "fp"])
+                rows, keys, first = golay_keys(own.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[rows]), pa.array(first)], ["key", "fp", "own"])
 
-    keys = written(fps.select("fp").where("fp is not null").distinct().mapInArrow(keyed, "key long, fp long"), "golay")
+    keys = written(fps.select("fp").where("fp is not null").distinct().mapInArrow(keyed, "key long, fp long, own boolean"), "golay")
     found: DataFrame | None = None
     for level in range(4):
-        names = [c for c in keys.columns if c != "fp"]
-        sizes = keys.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a"))
-        sizes = written(sizes.where("n > 1"), "sizes")
+        names = [c for c in keys.columns if c not in ("fp", "own")]
+        sizes = keys.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a"), F.max("own").alias("own"))
+        sizes = written(sizes.where("n > 1 and own").drop("own"), "sizes")
         pairs = sizes.where(f"n = 2 and bit_count(a ^ b) <= {bits}").select("a", "b")
-        some = keys.join(sizes.where(f"n between 3 and {cap}").select(*names), names).groupBy(*names).agg(F.collect_list("fp").alias("fps"))
+        most = cap if level < 3 else max(cap, 512)  # nine bits are left free at level 3
+        some = keys.join(sizes.where(f"n between 3 and {most}").select(*names), names).groupBy(*names).agg(F.collect_list("fp").alias("fps"))
         new = pairs.unionByName(_forests(some, bits))
         found = new if found is None else found.unionByName(new)
-        large = sizes.where(f"n > {cap}").select(*names)
-        if level == 3 or large.isEmpty():
+        large = sizes.where(f"n > {most}").select(*names)
+        if large.isEmpty():
             break
         keys = written(_refined(keys.join(large, names), level), "blocks")
     return found.distinct()
 
 
 def _refined(rows: DataFrame, level: int) -> DataFrame:
-    """Rows under finer keys: the masks chosen so far, as one number, and the fingerprint's bits under them."""
+    """Rows under finer keys: the masks chosen so far, as one number, and the fingerprint's bits under them; any key counts as own."""
     rows = rows.select("fp").distinct().withColumn("masks", F.lit(0)) if level == 0 else rows.select("fp", "masks").distinct()
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +217,7 @@ def _refined(rows: DataFrame, level: int) -> DataFrame:
                     part = (own & np.uint64(held | m)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), code * 21 + i + 1, np.int64)), pa.array(part), pa.array(own.view(np.int64))], ["masks", "held", "fp"])
 
-    return rows.select("fp", F.col("masks").cast("long")).mapInArrow(finer, "masks long, held long, fp long")
+    return rows.select("fp", F.col("masks").cast("long")).mapInArrow(finer, "masks long, held long, fp long").withColumn("own", F.lit(True))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, cap: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
