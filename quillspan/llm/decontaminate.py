@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.shared import bound
+
 WORDS = r"[\p{L}\p{N}]+"
 
 
@@ -25,11 +27,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once for a row, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _hashes(words: Column, n: int) -> Column:
     """The hashes of all shingles in order; shorter texts are one shingle, texts without words none."""
 
