@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, pii, quality_model, quality_rules, toxicity
+from quillspan.llm import decontaminate, pii, quality_model, quality_rules, secrets, toxicity
 from quillspan.llm.packing import pack
 from quillspan.llm.sharding import interleave
 from quillspan.llm.shared import table
@@ -69,6 +69,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    language = secrets.language(docs)
+    return secrets.scan(docs, language, secrets.fit(secrets.labelled_findings(docs, language)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
