@@ -1 +1 @@
-
+"""Streams of page updates into the store."""
