@@ -20,15 +20,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, on shingles of five words.
+    """The document with the smallest id of each near-duplicate group, on shingles of five words at a similarity of 0.8.
 
-    Rows whose fingerprints differ in three bits of 64 or fewer are a group (with all that they reach).
+    Fingerprints that differ in three bits of 64 or fewer link, and so do similar sketches; a group is all
+    that links reach.
     Documents without words are no copies of anything and are kept, as are rows without an id; of rows
     that repeat an id in full, one is kept.
     """
     empty = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), F.lit("")) == ""
     text = docs.where(~empty & F.col("doc_id").isNotNull())
-    found = simhash.near_duplicates(text, words=5, bits=3)
+    found = simhash.similar_documents(text, words=5, similarity=0.8)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = text.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where(empty | F.col("doc_id").isNull()))

@@ -38,6 +38,7 @@ class WordIds:
             spec = json.load(f)
         self.whole = Tokenizer.from_file(path)
         self.dtype, self.keep = np.dtype(dtype), keep
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.whole.encode_special_tokens = not special
         self.special = [x["content"].encode() for x in spec["added_tokens"] if special]
         self.fast = spec["model"].get("end_of_word_suffix") == _SUFFIX and not spec["model"].get("dropout")
@@ -58,7 +59,7 @@ class WordIds:
     def _piece(self, piece: bytes) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = array("I", self.piece(piece + _MARK)).tobytes()
+            ids = array(self.code, self.piece(piece + _MARK)).tobytes()
             if len(self.pieces) >= self.keep:
                 self.pieces.clear()
             self.pieces[piece] = ids
@@ -74,7 +75,7 @@ class WordIds:
             if not (self.fast and self.plain(text) and unicodedata.is_normalized("NFC", text)):
                 return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
             out = b"".join([self._piece(x.encode()) for x in self.cut(text.lower())])
-        return out if self.dtype.itemsize == 4 else np.frombuffer(out, "<u4").astype(self.dtype).tobytes()
+        return out
 
     def ids(self, text: bytes) -> bytes:
         if b"<|" in text and any(x in text for x in self.special):
