@@ -19,7 +19,7 @@ blocks, three at least are equal), up to three times, after which at most 512 ca
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations, permutations, product
 
 import numpy as np
@@ -265,8 +265,10 @@ def linked(fps: DataFrame, bits: int = 3, cap: int = 2048) -> DataFrame:
     found: DataFrame | None = None
     for level in range(4):
         names = [c for c in keys.columns if c not in ("fp", "own")]
-        sizes = keys.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a"), F.max("own").alias("own"))
-        sizes = written(sizes.where("n > 1 and own").drop("own"), "sizes")
+        # Most keys are rare, so a task's partial sums are as many as its rows: a quarter of the keys at a time.
+        quarters = [keys.where(F.pmod(F.xxhash64(*names), F.lit(4)) == i) for i in range(4)]
+        sizes = [q.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a"), F.max("own").alias("own")) for q in quarters]
+        sizes = written(reduce(DataFrame.unionByName, sizes).where("n > 1 and own").drop("own"), "sizes")
         pairs = sizes.where(f"n = 2 and bit_count(a ^ b) <= {bits}").select("a", "b")
         most = cap if level < 3 else max(cap, 512)  # nine bits are left free at level 3
         some = keys.join(sizes.where(f"n between 3 and {most}").select(*names), names).groupBy(*names).agg(F.collect_list("fp").alias("fps"))

@@ -124,7 +124,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 class _Filled(dict):
     """A bounded table that makes what it lacks."""
 
-    def __init__(self, make, keep: int = 200_000):
+    def __init__(self, make, keep: int = 100_000):
         self.make, self.keep = make, keep
 
     def __missing__(self, key):
@@ -272,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
                     every.update(seen)
                     if y:
                         tox.update(seen)
-                if len(every) > 400_000:
+                if len(every) > 100_000:
                     yield out()
                     tox.clear()
                     every.clear()
