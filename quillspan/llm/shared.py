@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 256
 _own_dir: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,9 +32,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: a cut in the lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/quillspan-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that this driver has written so far; call it when the results made from them are saved."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,6 +1,7 @@
 """Small-fixture tests of the corpus operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -337,3 +338,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids("near_copies") == [0, 2, 3, 4, 5, None] and ids("decontamination") == [0, 3, 4, 5, None]
     assert docs.where("doc_id = 3").first().text.endswith(" <EMAIL>")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 5
+
+
+def test_written_tables_are_dropped(spark):
+    from quillspan.llm.shared import drop_written, written
+
+    df = written(spark.range(3).toDF("x"), "test")
+    assert df.count() == 3
+    place = df.inputFiles()[0].removeprefix("file://")
+    drop_written(spark)
+    assert not os.path.exists(place)
