@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group, on shingles of five words at a similarity of 0.8.
 
-    Fingerprints that differ in three bits of 64 or fewer link, and so do similar sketches; a group is all
-    that links reach.
+    Fingerprints within three bits of 64 and shared samples propose links; those at that exact similarity
+    or more hold, and a group is all that links reach.
     Documents without words are no copies of anything and are kept, as are rows without an id; of rows
     that repeat an id in full, one is kept.
     """

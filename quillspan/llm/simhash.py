@@ -69,18 +69,12 @@ def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: For similar documents: bits of the wide fingerprint, samples of shingles, shingles in a sample.
-WIDE, SAMPLES, SAMPLE = 1024, 20, 4
-
-
-def wide_radius(similarity: float) -> int:
-    """Differing bits of the wide fingerprint that two sets of this Jaccard similarity stay under, but for one pair in 120."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(np.ceil(WIDE * p + 2.4 * np.sqrt(WIDE * p * (1 - p))))
+#: For similar documents: samples of shingles, shingles in a sample.
+SAMPLES, SAMPLE = 20, 4
 
 
 def sketches(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, wide, samples``: the fingerprint, a wide one, and the SimHashes of small samples of the shingles.
+    """``doc_id, text_key, fp, node, samples``: a hash of the text, its fingerprint, a hash of its set of shingles, and the SimHashes of small samples of the set.
 
     A sample is the ``SAMPLE`` smallest of a seeded rehash, so two texts draw the same one with the chance
     of their similarity to that power.
@@ -89,12 +83,12 @@ def sketches(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, found in texts(batch, "text"):
-                fp, wide, samples = [], [], []
+                fp, node, samples = [], [], []
                 for text in found:
                     h = shingle_hashes(text, words)
                     own = np.unique(h)
                     fp.append(majority(h))
-                    wide.append([majority(_mixed(own, s)) for s in range(WIDE // 64)])
+                    node.append(set_hash(own))
                     draws = []
                     for s in range(SAMPLES if len(own) else 0):
                         x = _mixed(own, 1000 + s)
@@ -102,41 +96,97 @@ def sketches(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
                         draws.append(majority(least) ^ int(np.bitwise_xor.reduce(_mixed(least, s))))
                     samples.append(draws)
                 signed = lambda x: np.asarray(x, np.uint64).view(np.int64)
-                lists = [pa.array([signed(x) for x in xs], pa.list_(pa.int64())) for xs in (wide, samples)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(signed(fp)), *lists], ["doc_id", "fp", "wide", "samples"])
+                drawn = pa.array([signed(x) for x in samples], pa.list_(pa.int64()))
+                cols = [part.column("doc_id"), part.column("text_key"), pa.array(signed(fp)), pa.array(signed(node)), drawn]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "fp", "node", "samples"])
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return own.mapInArrow(run, "doc_id long, text_key long, fp long, node long, samples array<long>")
+
+
+def set_hash(own: np.ndarray) -> int:
+    """A 64-bit hash of a sorted set of shingle hashes."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(own.tobytes(), 7)
+
+
+def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``node, shingles`` of every row's ``text``: the sorted set of its shingle hashes and the hash of that set."""
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, fp long, wide array<long>, samples array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, found in texts(batch, "text"):
+                own = [np.unique(shingle_hashes(x, words)) for x in found]
+                nodes = np.asarray([set_hash(x) for x in own], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def sampled_links(nodes: DataFrame, radius: int, cap: int = 1024) -> DataFrame:
-    """Edges ``a, b`` between fingerprints that share a sample and whose wide ones differ in at most ``radius`` bits.
+def sample_groups(nodes: DataFrame, cap: int = 512) -> DataFrame:
+    """``g, node``: groups of distinct ``node`` that share a sample.
 
-    ``nodes`` has ``fp, wide, samples`` with distinct ``fp``. A sample that more than ``cap`` share is dealt
-    out by a hash that differs from sample to sample, so members that miss each other in one meet in others.
+    ``nodes`` has ``node, samples``. Samples with the same members make one group. One with more than
+    ``cap`` members is dealt out by a hash that differs from sample to sample.
+    """
+    drawn = written(nodes.select("node", F.posexplode("samples").alias("nth", "sample")), "samples")
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in range(2)]
+    sizes = drawn.groupBy("nth", "sample").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1")
+    sizes = sizes.groupBy("n", "x0", "x1").agg(F.min(F.struct("nth", "sample")).alias("s")).select("s.nth", "s.sample", F.ceil(F.col("n") / cap).alias("parts"))
+    shared = drawn.join(written(sizes, "sizes"), ["nth", "sample"]).withColumn("part", F.pmod(F.xxhash64("nth", "node"), F.col("parts")))
+    return shared.select(F.xxhash64("nth", "sample", "part").alias("g"), "node")
+
+
+def similar_forest(nodes: list[int], sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Edges between nodes whose sorted sets have this exact Jaccard similarity or more; their components are those of all such pairs."""
+    size = np.asarray([len(x) for x in sets], np.int64)
+    a, b, rest = [], [], np.arange(len(nodes))
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            p = queue.pop()
+            fits = np.minimum(size[rest], size[p]) >= np.maximum(size[rest], size[p]) * similarity - 1
+            some = rest[fits & (size[rest] > 0)]
+            if not len(some) or not size[p]:
+                continue
+            flat = np.concatenate([sets[i] for i in some])
+            hit = sets[p][np.minimum(np.searchsorted(sets[p], flat), size[p] - 1)] == flat
+            both = np.add.reduceat(hit, np.cumsum(size[some]) - size[some], dtype=np.int64)
+            found = some[both / (size[some] + size[p] - both) >= similarity]
+            a += [nodes[i] for i in found]
+            b += [nodes[p]] * len(found)
+            queue += found.tolist()
+            rest = np.setdiff1d(rest, found, assume_unique=True)
+    return a, b
+
+
+def verified_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``a, b`` whose components are those of all pairs within a group at this exact similarity or more.
+
+    ``groups`` has ``g, node``, ``sets`` has ``node, shingles``. A task holds the sets of one group at a time.
     """
-    drawn = written(nodes.select("fp", F.posexplode("samples").alias("nth", "sample")), "samples")
-    sizes = drawn.groupBy("nth", "sample").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    part = F.pmod(F.xxhash64("nth", "fp"), F.ceil(F.col("n") / cap))
-    shared = drawn.join(sizes, ["nth", "sample"]).select("nth", "sample", part.alias("part"), "fp").join(nodes.select("fp", "wide"), "fp")
-    groups = shared.groupBy("nth", "sample", "part").agg(F.collect_list(F.struct("fp", "wide")).alias("members")).where("size(members) > 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            a, b = similar_forest(list(own), list(own.values()), similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        at, own = None, {}
         for batch in batches:
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for x in batch.column("members"):
-                members = x.values
-                fps, at = np.unique(members.field("fp").to_numpy(), return_index=True)
-                wide = members.field("wide").values.to_numpy().view(np.uint64).reshape(-1, WIDE // 64)[at]
-                far = np.zeros((len(fps), len(fps)), np.int32)
-                for k in range(WIDE // 64):
-                    far += np.bitwise_count(wide[:, None, k] ^ wide[None, :, k])
-                found = _spanning(fps, far <= radius)
-                a.append(found[0])
-                b.append(found[1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            shingles = batch.column("shingles")
+            flat, ends = shingles.values.to_numpy().view(np.uint64), shingles.offsets.to_numpy()
+            for i, (g, node) in enumerate(zip(batch.column("g").to_pylist(), batch.column("node").to_pylist(), strict=True)):
+                if g != at:
+                    if len(own) > 1:
+                        yield out()
+                    at, own = g, {}
+                own[node] = flat[ends[i] : ends[i + 1]].copy()
+        if len(own) > 1:
+            yield out()
 
-    return groups.select("members").mapInArrow(run, "a long, b long").distinct()
+    rows = groups.join(sets, "node").select("g", "node", "shingles").repartition("g").sortWithinPartitions("g")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,24 +374,30 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, cap: int = 2
     return _classes(own, least, linked(least, bits, cap))
 
 
-def _classes(own: DataFrame, least: DataFrame, edges: DataFrame) -> DataFrame:
-    root = components(edges).withColumnRenamed("node", "fp")
-    least = least.select("fp", "least").join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def _classes(own: DataFrame, least: DataFrame, edges: DataFrame, key: str = "fp") -> DataFrame:
+    root = components(edges).withColumnRenamed("node", key)
+    least = least.select(key, "least").join(root, key, "left").withColumn("root", F.coalesce("root", key))
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(least.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return own.join(least.join(ids, "root").select(key, "component_id"), key).select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` as ``near_duplicates``, also linking texts of about this Jaccard similarity or more.
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 3, cap: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, component_id`` as ``near_duplicates``, linking texts of this exact Jaccard similarity of their shingles or more.
 
-    Three bits of 64 are closer than edited copies come. So, beside the exact links at ``bits``, texts that
-    share the SimHash of one of their samples are linked if their wide fingerprints say that they are
-    similar enough. Two texts at a similarity of 0.8 miss each other once in 30,000 times by the samples
-    and about once in 120 by the wide fingerprint. Nulls, empty texts, repeats and other columns are treated
-    as there.
+    Texts with the same set of shingles are one. Candidates are those that share the SimHash of one of
+    their samples, and the links of ``bits`` or fewer; every link is verified on the two sets. Two texts at
+    a similarity of 0.8 miss each other once in 30,000 times by the samples, if at most ``cap`` share one.
+    Nulls, empty texts, repeats and other columns are treated as there.
     """
     own = written(sketches(docs, words, id_col, text_col), "sketches")
-    least = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("wide", "samples"), "doc_id").alias("s"))
-    least = written(least.select("fp", "least", F.col("s.wide").alias("wide"), F.col("s.samples").alias("samples")), "distinct")
-    edges = linked(least.select("fp"), bits).unionByName(sampled_links(least.where("wide is not null"), wide_radius(similarity)))
-    return _classes(own, least, edges)
+    least = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("fp", "text_key", "samples"), "text_key").alias("s"))
+    least = written(least.select("node", "least", "s.fp", "s.text_key", "s.samples"), "distinct")
+    firsts = least.groupBy("fp").agg(F.min("node").alias("first"))
+    near = linked(firsts.select("fp"), bits).join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    near = near.select("x", "y").unionByName(least.join(firsts, "fp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y")))
+    near = near.select(F.xxhash64("x", "y").alias("g"), F.explode(F.array("x", "y")).alias("node"))
+    groups = written(sample_groups(least.select("node", "samples"), cap).unionByName(near), "groups")
+    keys = least.join(groups.select("node").distinct(), "node").select("text_key")
+    some = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).join(keys, "text_key", "left_semi").dropDuplicates(["text_key"])
+    sets = written(shingle_sets(some, words).dropDuplicates(["node"]), "sets")
+    return _classes(own, least, written(verified_links(groups, sets, similarity), "links"), "node")

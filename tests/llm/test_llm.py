@@ -113,6 +113,21 @@ def test_similar_documents(spark):
     assert got == {0: 0, 1: 0, 2: 2}
 
 
+def test_similar_documents_under_the_limit_stay_apart(spark):
+    r = np.random.default_rng(4)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in r.integers(0, 10**6, 400)]
+        near = list(base)
+        for i in range(20, 350, 30):
+            near[i] = "changed"
+        texts += [" ".join(base), " ".join(near)]
+    a, b = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts[:2])
+    assert 0.7 < len(a & b) / len(a | b) < 0.8
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(docs_of(spark, texts)).collect()}
+    assert got == {i: i for i in range(24)}
+
+
 def test_decontamination(spark, edges, empty):
     item = " ".join(f"k{i}" for i in range(40))
     partly = " ".join(f"k{i}" for i in range(38)) + " other words end here now"
