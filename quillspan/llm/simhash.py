@@ -125,17 +125,19 @@ def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def sample_groups(nodes: DataFrame, cap: int = 512) -> DataFrame:
-    """``g, node``: groups of distinct ``node`` that share a sample.
+    """``g, node``: groups of distinct ``node`` such that any two that share a sample are together in one.
 
     ``nodes`` has ``node, samples``. Samples with the same members make one group. One with more than
-    ``cap`` members is dealt out by a hash that differs from sample to sample.
+    ``cap`` members is dealt into parts by hash, and every two of its parts make a group.
     """
     drawn = written(nodes.select("node", F.posexplode("samples").alias("nth", "sample")), "samples")
     same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in range(2)]
     sizes = drawn.groupBy("nth", "sample").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1")
     sizes = sizes.groupBy("n", "x0", "x1").agg(F.min(F.struct("nth", "sample")).alias("s")).select("s.nth", "s.sample", F.ceil(F.col("n") / cap).alias("parts"))
     shared = drawn.join(written(sizes, "sizes"), ["nth", "sample"]).withColumn("part", F.pmod(F.xxhash64("nth", "node"), F.col("parts")))
-    return shared.select(F.xxhash64("nth", "sample", "part").alias("g"), "node")
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: (x != F.col("part")) | (F.col("parts") == 1))
+    shared = shared.select("nth", "sample", "node", "part", F.explode(others).alias("other"))
+    return shared.select(F.xxhash64("nth", "sample", F.least("part", "other"), F.greatest("part", "other")).alias("g"), "node")
 
 
 def similar_forest(nodes: list[int], sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -386,7 +388,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     Texts with the same set of shingles are one. Candidates are those that share the SimHash of one of
     their samples, and the links of ``bits`` or fewer; every link is verified on the two sets. Two texts at
-    a similarity of 0.8 miss each other once in 30,000 times by the samples, if at most ``cap`` share one.
+    a similarity of 0.8 miss each other once in 30,000 times by the samples, however many share one.
     Nulls, empty texts, repeats and other columns are treated as there.
     """
     own = written(sketches(docs, words, id_col, text_col), "sketches")

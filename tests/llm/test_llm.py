@@ -128,6 +128,37 @@ def test_similar_documents_under_the_limit_stay_apart(spark):
     assert got == {i: i for i in range(24)}
 
 
+@pytest.mark.parametrize("cap", [512, 3])
+def test_similar_documents_with_hot_samples(spark, cap):
+    r = np.random.default_rng(6)
+    texts = []
+    for _ in range(3):
+        base = [f"w{x}" for x in r.integers(0, 10**6, 200)]
+        for _ in range(20):
+            own = list(base)
+            for i in r.integers(0, 200, r.integers(2, 9)):
+                own[i] = f"v{r.integers(0, 10**6)}"
+            texts.append(" ".join(own))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) / len(a | b) >= 0.8:
+                x, y = sorted((root[i], root[j]))
+                root = [x if z == y else z for z in root]
+    assert 3 < len(set(root)) < len(texts)
+    nodes = simhash.sketches(docs_of(spark, texts), 5).select("node", "samples", "doc_id").cache()
+    groups = {}
+    for x in simhash.sample_groups(nodes, cap).collect():
+        groups.setdefault(x.g, set()).add(x.node)
+    assert max(map(len, groups.values())) > 10 if cap > 3 else len(groups) > 100
+    drawn = [(x.node, set(enumerate(x.samples))) for x in nodes.collect()]
+    for i, (u, x) in enumerate(drawn):
+        assert all(not x & y or any({u, v} <= g for g in groups.values()) for v, y in drawn[:i])
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(docs_of(spark, texts), cap=cap).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_decontamination(spark, edges, empty):
     item = " ".join(f"k{i}" for i in range(40))
     partly = " ".join(f"k{i}" for i in range(38)) + " other words end here now"
