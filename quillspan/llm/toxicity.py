@@ -117,6 +117,9 @@ def decode(token: str, model: np.ndarray) -> str:
 
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _EDGE = b".,;:!?\"'()[]{}|%&#*$<>-_~/"
+#: Signs at a token's ends that may stand for letters, and those that may not.
+_EDGE_LETTERS = "".join(c for c in RESEMBLES if c in _EDGE.decode())
+_OUTER = "".join(c for c in _EDGE.decode() if c not in RESEMBLES)
 _LETTER = re.compile(r"[^\W\d_]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -159,6 +162,11 @@ class Restorer:
                         words += tuple(decode(x, self.model).split())
         if len(text) <= 64 and _THRICE.search(text):
             words += (decode(text, self.model),)
+        outer = token.decode("utf-8", "replace").lower().strip(_OUTER)
+        if outer and (outer[0] in _EDGE_LETTERS or outer[-1] in _EDGE_LETTERS) and _LETTER.search(outer):
+            for x in {outer, outer.rstrip("!")}:
+                if not x.isalpha():
+                    words += tuple(decode(x, self.model).split())
         return words
 
     def runs(self, words: list[bytes]) -> Iterator[str]:

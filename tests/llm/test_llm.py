@@ -272,6 +272,20 @@ def test_toxicity(spark, edges, empty):
     assert toxicity.score(edges, toxicity.fit(edges, labels.limit(0))).count() == 12 and toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def restorer(spark):
+    r = np.random.default_rng(5)
+    words = ["stupid", "idiot", "ass", "you", "are", "an", "blöder", "hello", "world"]
+    docs = docs_of(spark, [" ".join(r.choice(words, 40)) for _ in range(50)])
+    return toxicity.Restorer(toxicity.language_model(toxicity.letter_counts(docs)))
+
+
+def test_signs_first_and_last(restorer):
+    cases = {"$tupid": "stupid", "!diot": "idiot", "|diot": "idiot", "a$$": "ass", '"$tupid,"': "stupid", "$tup1d!!": "stupid", "hello!": "hello", "(world)": "world"}
+    for token, word in cases.items():
+        assert word in restorer.known[token.encode()], token
+
+
 def test_packing_round_trip(spark, edges, empty):
     from tokenizers import Tokenizer
 
