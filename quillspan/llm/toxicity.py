@@ -84,8 +84,9 @@ def language_model(counts: DataFrame) -> np.ndarray:
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest restored text of a lower-case token or run of letters."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest restored text of a lower-case token or run of letters, of any length."""
+    # A path's text is held as its last letter and the path before, so a step takes the same time at any length.
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for c in token:
         arcs: list[tuple[str, float]] = []
@@ -101,20 +102,32 @@ def decode(token: str, model: np.ndarray) -> str:
             elif c not in SIGNS:
                 arcs.append((c, 3.0))
         before = c
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in paths.items():
-            for out, cost in arcs:
+        steps = [(out, int(_CODE[min(ord(out), len(_CODE) - 1)]) if out else -1, cost) for out, cost in arcs]
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in paths.items():
+            for out, k, cost in steps:
                 if out:
-                    k = int(codes(out)[0]) if ord(out) >= 0x80 else int(_CODE[ord(out)])
-                    state, value, held = (b, k), score + float(model[a, b, k]) - cost, text + out
+                    state, value, held = (b, k), score + float(model[a, b, k]) - cost, (out, path)
                 else:
-                    state, value, held = (a, b), score - cost - 1.5, text
+                    state, value, held = (a, b), score - cost - 1.5, path
                 if state not in new or value > new[state][0]:
                     new[state] = (value, held)
-        paths = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
-    return max(((v + float(model[a, b, 0]), t) for (a, b), (v, t) in paths.items()), default=(0, ""))[1]
+        paths = new if len(new) <= BEAM else dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
+    path = max(((v + float(model[a, b, 0]), path) for (a, b), (v, path) in paths.items()), key=lambda x: x[0])[1]
+    found: list[str] = []
+    while path:
+        found.append(path[0])
+        path = path[1]
+    return "".join(reversed(found))
 
 
+def _single(word: bytes) -> bool:
+    """Whether UTF-8 bytes are one code point."""
+    return len(word) == 1 or 1 < len(word) <= 4 and word[0] >= 0xC0 and len(word.decode("utf-8", "replace")) == 1
+
+
+#: Two or more signs in a row: where words that are joined without blanks may end.
+_GAPS = re.compile("[" + re.escape(SIGNS) + "]{2,}")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _EDGE = b".,;:!?\"'()[]{}|%&#*$<>-_~/"
 #: Signs at a token's ends that may stand for letters, and those that may not.
@@ -155,12 +168,15 @@ class Restorer:
         else:
             words = tuple(_LETTERS.findall(text))
             full = token.decode("utf-8", "replace").lower().rstrip(".,;:?")
-            if _LETTER.search(full) and len(full) <= 64:
+            if _LETTER.search(full):
                 inner = full.strip("%&#*$!|<>\"'()[]{}")
                 for x in {full.rstrip("!"), inner}:
                     if x and not x.isalpha() and _LETTER.search(x):
                         words += tuple(decode(x, self.model).split())
-        if len(text) <= 64 and _THRICE.search(text):
+                pieces = _GAPS.split(full)
+                if len(pieces) > 1:
+                    words += tuple(w for x in pieces if x and not x.isalpha() and _LETTER.search(x) for w in decode(x, self.model).split())
+        if _THRICE.search(text):
             words += (decode(text, self.model),)
         outer = token.decode("utf-8", "replace").lower().strip(_OUTER)
         if outer and (outer[0] in _EDGE_LETTERS or outer[-1] in _EDGE_LETTERS) and _LETTER.search(outer):
@@ -171,7 +187,7 @@ class Restorer:
 
     def runs(self, words: list[bytes]) -> Iterator[str]:
         """Restored texts of runs of three or more single characters; a character more than twice in a row is two."""
-        at = [i for i, w in enumerate(words) if len(w) == 1]
+        at = [i for i, w in enumerate(words) if _single(w)]
         start = 0
         for j in range(1, len(at) + 1):
             if j == len(at) or at[j] != at[j - 1] + 1:

@@ -286,6 +286,14 @@ def test_signs_first_and_last(restorer):
         assert word in restorer.known[token.encode()], token
 
 
+def test_long_tokens_and_letters_of_two_bytes(restorer):
+    joined = ".-.".join(".".join(w) for w in ["you", "are", "an", "idiot"] * 4)
+    assert len(joined) > 64 and "idiot" in restorer.known[joined.encode()]
+    assert "stupid" in restorer.known[("st" + "u" * 80 + "pid").encode()]
+    assert toxicity.decode("hello" * 400, restorer.model) == "hello" * 400
+    assert list(restorer.runs("b l ö d e r".encode().split())) == ["blöder"]
+
+
 def test_packing_round_trip(spark, edges, empty):
     from tokenizers import Tokenizer
 
