@@ -1,11 +1,18 @@
 """Personal data by candidate gradient boosting, in DataFrame operations and ``pyspark.ml`` only.
 
-Strict patterns with checks give the base spans. Besides them, generators of high recall propose wider
-and overlapping candidates: numbers with any separators, spelled-out mail addresses, long colon groups.
-Boosted trees look at a candidate's format and context. They learn from the candidates themselves: one
-that is a base span is a positive example, one that touches none a negative. On the other half of the
-texts a threshold is set for each kind, the lowest score from which on at least ``precision`` of the
-examples are positive. Candidates over it that touch no base span are added, base spans always stay.
+Strict patterns with checks give the base spans, which always stay. Besides them, generators of high recall
+propose overlapping candidates: mail addresses that are spelled out, dotted numbers with odd dots, card-like
+and phone-like groups inside longer runs, and numbers with any separators. Boosted trees look at a candidate's
+format (groups, separators, checksum) and its context, and a logistic curve fitted on other examples turns
+their margin into a probability. Candidates over their kind's threshold that touch no base span are added;
+where they overlap, the likelier one stays.
+
+The trees learn from planted spans: each of at most ``carriers`` texts, chosen by a hash, gets every known
+spelling of every kind, and every decoy (dates, versions, amounts, serial numbers, wrong checksums), at a
+place of its own. A candidate that is the planted span is a positive example; one of a decoy, or one that
+takes too little or too much, is a negative one. Candidates that stand in the texts by themselves are no
+examples: nobody knows what they are, and the base patterns' silence is no proof. So the model does not depend
+on how many real spans there are, and is the same for a small table and a large one.
 
 The trees are applied as a SQL expression inside the row, so no text is shuffled.
 """
@@ -30,12 +37,17 @@ PATTERNS = (
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
+_AT = r"(?:@|\x20?\(at\)\x20?|\x20?\[at\]\x20?|\x20at\x20|\x20@\x20)"
+_DOT = r"(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?|\x20dot\x20|\x20\.\x20|\[\.\]|\(\.\))"
+#: Generators and the kind they propose; -1 leaves it to the number of digits.
 GENERATORS = (
-    r"[\p{L}0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[\p{L}0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[\p{L}0-9-]{2,63}){1,5}",
-    r"\+?\(?[0-9][\x20().0-9/-]{5,}[0-9]",
-    r"(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}",
+    (0, rf"[\p{{L}}0-9._%+-]{{1,64}}{_AT}[\p{{L}}0-9-]{{1,63}}(?:{_DOT}[\p{{L}}0-9-]{{2,63}}){{1,5}}"),
+    (1, rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])"),
+    (2, r"(?<![0-9])[0-9]{4}([\x20._/-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"),
+    (3, r"(?:(?<![0-9])00|\+|(?<![0-9+]))(?:[0-9]{1,3}[\x20./-])?(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-]{1,3}[0-9]{2,8}){1,3}(?![0-9])"),
+    (-1, r"\+?\(?[0-9][\x20().0-9/_-]{6,}[0-9]"),
 )
-FEATURES = ("gen", "kind", "size", "digits", "seps", "plus", "paren", "dots", "first", "before", "after", "cue")
+FEATURES = ("kind", "gen", "size", "digits", "groups", "first", "last", "longest", "spaces", "points", "dashes", "marks", "plus", "paren", "luhn", "octets", "before", "after", "cue")
 _SPAN = "struct<kind:int,start:int,end:int>"
 
 
@@ -61,24 +73,31 @@ def _digits(hit: Column) -> Column:
 
 
 def _octets(hit: Column) -> Column:
-    parts = F.transform(F.split(hit, r"\."), lambda p: F.regexp_replace(p, "^0+", ""))
+    """Whether each part of digits is at most 255."""
+    parts = F.transform(F.split(hit, "[^0-9]+"), lambda p: F.regexp_replace(p, "^0+", ""))
     return F.forall(parts, lambda p: (F.length(p) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(0)) <= 255))
 
 
-def _luhn(hit: Column) -> Column:
+def luhn_sum(digits: Column) -> Column:
+    """The sum of digits from the right, every second one doubled; a multiple of 10 for a valid number."""
+
     def total(d: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             x = F.substr(d, i, F.lit(1)).cast("int")
             return acc + F.when(i % 2 == 0, x * 2 - F.when(x > 4, 9).otherwise(0)).otherwise(x)
 
-        return F.length(d).between(16, 19) & (F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), step) % 10 == 0)
+        return F.when(F.length(d) > 0, F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), step)).otherwise(0)
+
+    return bound(F.reverse(digits), total)
+
 
-    return bound(F.reverse(_digits(hit)), total)
+def _card(hit: Column) -> Column:
+    return bound(_digits(hit), lambda d: F.length(d).between(16, 19) & (luhn_sum(d) % 10 == 0))
 
 
 def base_spans(text: Column) -> Column:
     """``array<struct<kind, start, end>>`` in the order of kind and start; ``text`` must not be null."""
-    checks: tuple[Callable[[Column], Column], ...] = (lambda h: F.lit(True), _octets, _luhn, lambda h: F.length(_digits(h)).between(8, 15))
+    checks: tuple[Callable[[Column], Column], ...] = (lambda h: F.lit(True), _octets, _card, lambda h: F.length(_digits(h)).between(8, 15))
     present = (F.contains(text, F.lit("@")), text.rlike("[0-9]"), text.rlike("[0-9]"), F.contains(text, F.lit("+")))
     none = F.array().cast(f"array<{_SPAN}>")
 
@@ -91,37 +110,39 @@ def base_spans(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """The generators' spans with the features of format and context, an array of structs."""
-    present = (
-        text.rlike(r"@|\(at\)|\[at\]") | (F.contains(text, F.lit(" at ")) & F.contains(text, F.lit(" dot "))),
-        text.rlike(r"[0-9][\x20().0-9/-]{5}"),
-        text.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"),
-    )
+    digits = text.rlike(r"[0-9][\x20().0-9/_-]{4,}[0-9]")
+    present = (text.rlike(r"@|\(at\)|\[at\]") | (F.contains(text, F.lit(" at ")) & F.contains(text, F.lit(" dot "))), text.rlike(rf"[0-9]{_DOT}[0-9]{{1,3}}{_DOT}[0-9]"), digits, digits, digits)
 
     def sort(char: Column) -> Column:
-        return F.when(char == "", 0).when(char.rlike(r"\s"), 1).when(char.rlike(r"[0-9]"), 2).when(char.rlike(r"\p{L}"), 3).when(char.rlike(r"[\"'=:]"), 4).otherwise(5)
+        return F.when(char == "", 0).when(char.rlike(r"\s"), 1).when(char.rlike(r"[0-9]"), 2).when(char.rlike(r"\p{L}"), 3).when(char.rlike(r"[\"'=:]"), 4).when(char.rlike(r"[(+/_.-]"), 6).otherwise(5)
 
-    def with_features(gen: int) -> Callable[[Column], Column]:
+    def count(hit: Column, other: str) -> Column:
+        return F.least(F.length(F.regexp_replace(hit, other, "")), F.lit(9))
+
+    def with_features(gen: int, own_kind: int) -> Callable[[Column], Column]:
         def features(m: Column) -> Column:
-            hit, n = m["hit"], F.length(_digits(m["hit"]))
-            dotted = hit.rlike(r"^[0-9]+(\.[0-9]+){3}$")
-            kind = {0: F.lit(0), 2: F.lit(1)}.get(gen, F.when(dotted, 1).when((n >= 13) & ~hit.startswith("+"), 2).otherwise(3))
+            hit = m["hit"]
+            groups = F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0))
+            n = F.length(_digits(hit))
+            kind = F.lit(own_kind) if own_kind >= 0 else F.when((n >= 13) & ~hit.startswith("+"), 2).otherwise(3)
             near = F.lower(F.substr(text, F.greatest(F.lit(1), m["start"] - 23), F.least(F.lit(24), m["start"])))
-            cue = F.when(near.rlike(r"tel|phone|call|mobil|fax"), 3).when(near.rlike(r"card|visa|konto|account"), 2).when(near.rlike(r"mail|contact"), 1).when(near.rlike(r"version|isbn|token|key|id\b|no\b"), 4).otherwise(0)
+            cue = F.when(near.rlike(r"tel|phone|call|mobil|fax|whatsapp"), 3).when(near.rlike(r"card|visa|konto|account|amex"), 2).when(near.rlike(r"mail|contact|write to"), 1).when(near.rlike(r"version|isbn|token|key|order|serial|\bid\b|\bno\b|\$|€"), 4).otherwise(0)
+            size = lambda g: F.least(F.length(F.coalesce(g, F.lit(""))), F.lit(20))
             return F.struct(
-                kind.cast("int").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lit(gen).alias("gen"),
-                F.least(F.length(hit), F.lit(40)).alias("size"), F.least(n, F.lit(24)).alias("digits"),
-                F.least(F.length(F.regexp_replace(hit, r"[^\x20/-]", "")), F.lit(9)).alias("seps"), hit.startswith("+").cast("int").alias("plus"),
-                F.contains(hit, F.lit("(")).cast("int").alias("paren"), F.least(F.length(F.regexp_replace(hit, r"[^.:]", "")), F.lit(9)).alias("dots"),
-                F.coalesce(F.substr(_digits(hit), F.lit(1), F.lit(1)).try_cast("int"), F.lit(10)).alias("first"),
-                sort(F.when(m["start"] == 0, "").otherwise(F.substr(text, m["start"], F.lit(1)))).alias("before"),
-                sort(F.substr(text, m["end"] + 1, F.lit(1))).alias("after"), cue.alias("cue"),
+                kind.cast("int").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lit(gen).alias("gen"), F.least(F.length(hit), F.lit(60)).alias("size"),
+                F.least(n, F.lit(40)).alias("digits"), F.least(F.size(groups), F.lit(12)).alias("groups"), size(F.get(groups, F.lit(0))).alias("first"), size(F.get(groups, F.size(groups) - 1)).alias("last"),
+                F.coalesce(F.array_max(F.transform(groups, size)), F.lit(0)).alias("longest"), count(hit, r"[^\x20]").alias("spaces"), count(hit, r"[^.]").alias("points"), count(hit, r"[^_/-]").alias("dashes"),
+                F.when(hit.rlike(r"\(at\)|\[at\]|\x20at\x20|\(dot\)|\[dot\]|\x20dot\x20|\[\.\]|\(\.\)|\x20[@.]\x20"), 1).otherwise(0).alias("marks"),
+                hit.startswith("+").cast("int").alias("plus"), F.contains(hit, F.lit("(")).cast("int").alias("paren"), F.when(n.between(13, 19), (luhn_sum(_digits(hit)) % 10 == 0).cast("int")).otherwise(0).alias("luhn"),
+                (_octets(F.regexp_replace(hit, r"^[^0-9]+|[^0-9]+$", "")) & (n > 0)).cast("int").alias("octets"),
+                sort(F.when(m["start"] == 0, "").otherwise(F.substr(text, m["start"], F.lit(1)))).alias("before"), sort(F.substr(text, m["end"] + 1, F.lit(1))).alias("after"), cue.alias("cue"),
             )
 
         return features
 
-    kind = "array<struct<kind:int,start:int,end:int,gen:int,size:int,digits:int,seps:int,plus:int,paren:int,dots:int,first:int,before:int,after:int,cue:int>>"
+    kind = "array<struct<kind:int,start:int,end:int," + ",".join(f"{f}:int" for f in FEATURES[1:]) + ">>"
     none = F.array().cast(kind)
-    parts = [F.when(there, F.transform(located(text, g), with_features(i))).otherwise(none) for i, (g, there) in enumerate(zip(GENERATORS, present, strict=True))]
+    parts = [F.when(there, F.transform(located(text, g), with_features(i, own))).otherwise(none) for i, ((own, g), there) in enumerate(zip(GENERATORS, present, strict=True))]
     return F.concat(*parts)
 
 
@@ -129,14 +150,81 @@ def _touch(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+# Spellings as templates: # is any digit, N a number up to 255, ~ a word; ABDE are the four groups of a card number
+# with a right checksum and FGHI those of another, PQRS the groups of one with a wrong checksum; all else stands for
+# itself. What braces enclose is planted as a span of the kind; a template without braces is a decoy.
+SPELLINGS: tuple[tuple[int, str], ...] = (
+    *((0, x) for x in ("{~.~@~.com}", "{~(at)~(dot)com}", "{~ (at) ~ (dot) org}", "{~[at]~[dot]net}", "{~.~ at ~ dot com}", "{~ @ ~ . com}", "{~@~(dot)co(dot)uk}", "{~ (at) ~.com}", "{~@~[.]com}")),
+    *((1, x) for x in ("{N.N.N.N}", "{N[.]N[.]N[.]N}", "{N(.)N(.)N(.)N}", "{N . N . N . N}", "{N dot N dot N dot N}", "{N(dot)N(dot)N(dot)N}", "{N[.]N.N.N}")),
+    *((2, x) for x in ("{ABDE}", "{ABDE} {FGHI}", "{ABDE} ####", "{A-B-D-E}", "{A.B.D.E}", "{A/B/D/E}", "{A_B_D_E}", "{A B D E} {F G H I}", "{A-B-D-E} - ##", "+# (###) ###-#### {ABDE}")),
+    *((3, x) for x in ("{+# (###) ###-####}", "{(###) ###-####}", "{###-###-####}", "{###.###.####}", "{###/#######}", "{0### ######}", "{00## ### #######}", "{+# (###) ###-####} N.N.N.N", "{+## ## #### ####} {+## ## #### ####}", "{+## ### #######} ABDE", "{0##-########}", "{(0##) #### ####}")),
+    *(
+        (-1, x)
+        for x in (
+            "20##-0#-1#", "20##-0#-1# 1#:##:##", "1#.0#.20##", "1#.0#.20## - 2#.0#.20##", "0#/1#/20##", "20##/20##", "19##-20##", "#.#.##.####", "v#.##.#.#", "#.##.###", "#,###,###.##", "$ ###,###.##", "### ### ###", "## ### ###",
+            "no ############", "order ##########", "id ########", "978-#-##-######-#", "##.###### ##.######", "PQRS", "P-Q-R-S", "P Q R S", "PQRS PQRS", "P.Q.R.S", "#### #### ####", "###-##-####", "##:##:## ##", "(####) ##", "### - ###", "## / ## / ##",
+            "9##.4##.3##.8##", "4##[.]#[.]6##[.]9##", "~ at ~. In dot ~", "~ at ~", "@~ and @~", "~ @ #.## each", "##/####/####", "#########", "##############", "####################", "### ## # ####",
+        )
+    ),
+)
+_WORDS = ("info", "anna", "jsmith", "office", "m.weber", "mail", "acme", "example", "uni-nord", "host7", "lyceum", "server")
+_BEFORE = ("", "", "", "mail ", "tel. ", "card: ", "at ", "(", '"', "server ", "")
+_AFTER = ("", "", ",", ".", ")", '"', " ", ";", "", "")
+
+
+def planted(docs: DataFrame, carriers: int, text_col: str = "text") -> DataFrame:
+    """``id, form, kind, t, spans, whole``: lines with one spelling or decoy each, the spans planted and the whole stretch.
+
+    Each of at most ``carriers`` texts, chosen by a hash, gives a line of words for every spelling, cut at a
+    place drawn from the whole text.
+    """
+
+    def drawn(n: int, *of: Column, seed: int) -> Column:
+        return F.pmod(mixed_bits(F.col("id"), F.col("form"), *of, seed=seed), F.lit(n)).cast("int")
+
+    def pick(words: tuple[str, ...], *of: Column, seed: int) -> Column:
+        return F.element_at(F.array(*map(F.lit, words)), drawn(len(words), *of, seed=seed) + 1)
+
+    def card(seed: int, right: bool) -> Column:
+        d = F.concat((drawn(4, seed=seed) + 3).cast("string"), F.lpad(F.pmod(mixed_bits(F.col("id"), F.col("form"), seed=seed + 1), F.lit(10**14)).cast("string"), 14, "0"))
+        return bound(d, lambda x: F.concat(x, F.pmod(F.lit(1000) - luhn_sum(F.concat(x, F.lit("0"))) + (0 if right else drawn(9, seed=seed + 2) + 1), F.lit(10)).cast("string")))
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.xxhash64(text).alias("id"), text.alias("t")).orderBy("id", F.length("t")).limit(carriers)
+    spot = lambda seed: F.pmod(mixed_bits(F.col("id"), seed=seed), F.greatest(F.length("t"), F.lit(1))).cast("int") + 1
+    left, right = (F.regexp_replace(F.substr(F.col("t"), spot(n), F.lit(50)), p, "") for n, p in ((1, r"^\S*\s?|[0-9@+]"), (2, r"\s?\S*$|[0-9@+]")))
+    forms = []
+    for n, (kind, template) in enumerate(SPELLINGS):
+        ends = [[F.lit(i) for i, c in enumerate(template) if c == b] for b in "{}"]
+        forms.append(F.struct(F.lit(n).alias("form"), F.lit(kind).alias("kind"), F.split(F.lit(template), "").alias("chars"), *(F.array(*e).cast("array<int>").alias(k) for e, k in zip(ends, ("from", "to"), strict=True))))
+    rows = own.select("id", left.alias("l"), right.alias("r")).repartition("id").select("id", "l", "r", F.explode(F.array(*forms)).alias("f")).select("id", "l", "r", "f.*")
+    rows = rows.withColumns({"good": card(10, True), "other": card(20, True), "wrong": card(30, False)})
+
+    def piece(c: Column, i: Column) -> Column:
+        out = F.when(c == "#", drawn(10, i, seed=40).cast("string")).when(c == "N", drawn(256, i, seed=50).cast("string")).when(c == "~", pick(_WORDS, i, seed=60)).when(c.isin("{", "}"), "")
+        for name, groups in (("good", "ABDE"), ("other", "FGHI"), ("wrong", "PQRS")):
+            for k, g in enumerate(groups):
+                out = out.when(c == g, F.substr(F.col(name), F.lit(4 * k + 1), F.lit(4)))
+        return out.otherwise(c)
+
+    rows = rows.withColumn("pieces", F.transform("chars", piece)).withColumn("head", F.concat(F.col("l"), F.when(F.length("l") > 0, " ").otherwise(""), pick(_BEFORE, seed=70)))
+    upto = lambda k: (F.length("head") + F.length(F.array_join(F.slice("pieces", F.lit(1), k), ""))).cast("int")
+    spans = F.transform(F.arrays_zip("from", "to"), lambda e: F.struct(upto(e["from"]).alias("start"), upto(e["to"]).alias("end")))
+    whole = F.struct(F.length("head").cast("int").alias("start"), upto(F.size("pieces")).alias("end"))
+    line = F.concat(F.col("head"), F.array_join("pieces", ""), pick(_AFTER, seed=80), F.when(F.length("r") > 0, " ").otherwise(""), F.col("r"))
+    return rows.select("id", "form", "kind", line.alias("t"), spans.alias("spans"), whole.alias("whole"))
+
+
 @dataclass
 class Model:
-    """Trees as nested ``(feature, cut, left, right)`` or a leaf's value, their weights, and a threshold for each kind."""
+    """Trees as nested ``(feature, cut, left, right)`` or a leaf's value with their weights, the curve's slope and offset, and a threshold for each kind."""
 
     trees: list = field(default_factory=list)
+    slope: float = 1.0
+    offset: float = 0.0
     thresholds: dict[int, float] = field(default_factory=dict)
 
-    def margin(self, c: Column) -> Column:
+    def probability(self, c: Column) -> Column:
         def tree(node) -> Column:
             if isinstance(node, float):
                 return F.lit(node)
@@ -145,12 +233,12 @@ class Model:
         out = F.lit(0.0)
         for weight, root in self.trees:
             out = out + F.lit(weight) * tree(root)
-        return out
+        return 1 / (1 + F.exp(-(out * self.slope + self.offset)))
 
-    def accepts(self, c: Column) -> Column:
-        out = F.lit(False)
+    def threshold(self, c: Column) -> Column:
+        out = F.lit(2.0)
         for kind, cut in self.thresholds.items():
-            out = out | ((c["kind"] == kind) & (self.margin(c) >= cut))
+            out = F.when(c["kind"] == kind, cut).otherwise(out)
         return out
 
 
@@ -169,53 +257,69 @@ def _parsed(debug: str):
     return node(0)[0]
 
 
-def fit(docs: DataFrame, precision: float = 0.95, fit_rows: int = 20_000, trees: int = 12, depth: int = 3, least: int = 30, text_col: str = "text") -> Model:
-    """Trees and thresholds from the candidates of all texts.
+def examples(docs: DataFrame, carriers: int, text_col: str = "text") -> DataFrame:
+    """``half, label, weight`` and the features: candidates that touch what was planted, equal ones together as one weighted row."""
+    rows = planted(docs, carriers, text_col)
+    rows = rows.select("id", "form", "kind", "spans", "whole", F.explode(candidates(F.col("t"))).alias("c")).where(_touch(F.col("c"), F.col("whole")))
+    equal = F.exists("spans", lambda s: (s["start"] == F.col("c.start")) & (s["end"] == F.col("c.end"))) & (F.col("c.kind") == F.col("kind"))
+    half = F.pmod(mixed_bits(F.col("id"), F.col("form"), seed=77), F.lit(2)).cast("int")
+    rows = rows.select(half.alias("half"), equal.cast("double").alias("label"), *(F.col(f"c.{f}").alias(f) for f in FEATURES))
+    return rows.groupBy("half", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
 
-    Equal examples are one weighted row; at most ``fit_rows`` different ones, chosen by a hash, are fitted
-    on. Without positive and negative examples there are no trees, and with fewer than ``least`` positive
-    examples of a kind it gets no threshold and nothing is added.
+def fit(docs: DataFrame, precision: float = 0.95, carriers: int = 120, trees: int = 15, depth: int = 4, text_col: str = "text") -> Model:
+    """Trees, their curve and thresholds from what is planted in at most ``carriers`` texts, chosen by a hash.
+
+    Half of the examples grow the trees; on the other half a logistic curve is fitted to the margin and each
+    kind gets the lowest probability from which on at least ``precision`` of the examples are right. An empty
+    table gives a model that adds nothing; any other one, however small, the same examples for each text.
     """
-    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(text.alias("t")).where(F.col("t").rlike(r"[0-9@]|\(at\)|\[at\]| at "))
-    own = own.select(base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("c"), F.pmod(F.xxhash64("t"), F.lit(2)).alias("half")).where("size(c) > 0")
-    label = F.when(F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end"))), 1.0).when(~F.exists("base", lambda b: _touch(b, F.col("c"))), 0.0)
-    rows = own.select("half", "base", F.explode("c").alias("c")).withColumn("label", label).where("label is not null")
-    rows = rows.groupBy("half", "label", *(F.col(f"c.{f}").alias(f) for f in FEATURES)).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    rows = rows.orderBy(mixed_bits(*(F.col(f) for f in FEATURES), F.col("label"), F.col("half"), seed=31)).limit(fit_rows).persist()
-    seen = {(r["half"], r["label"]) for r in rows.select("half", "label").distinct().collect()}
-    if not {(0, 0.0), (0, 1.0)} <= seen:
+    rows = examples(docs, carriers, text_col).coalesce(1).sortWithinPartitions("half", "label", *FEATURES).persist()  # a bounded sample
+    try:
+        if rows.isEmpty():
+            return Model()
+        learned = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5).fit(
+            VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.where("half = 0"))
+        )
+        model = Model([(float(w), _parsed(t.toDebugString)) for w, t in zip(learned.treeWeights, learned.trees, strict=True)])
+        margin = -F.log(1 / model.probability(F.struct(*FEATURES)) - 1)
+        other = rows.where("half = 1").select("kind", "label", "weight", margin.alias("m"))
+        curve = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1e-4).fit(VectorAssembler(inputCols=["m"], outputCol="x").transform(other))
+        model.slope, model.offset = float(curve.coefficients[0]), float(curve.intercept)
+        p = F.round(1 / (1 + F.exp(-(F.col("m") * model.slope + model.offset))), 3)
+        by_kind: dict[int, list] = {}
+        for r in other.groupBy("kind", p.alias("p")).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("good")).collect():  # four kinds, 1001 steps at most
+            by_kind.setdefault(r["kind"], []).append((r["p"], r["n"], r["good"]))
+        for kind, found in by_kind.items():
+            n = good = 0.0
+            for at, more, right in sorted(found, reverse=True):
+                n, good = n + more, good + right
+                if good > 0 and good >= precision * n and at >= 0.5:
+                    model.thresholds[kind] = at - 0.0005
+        return model
+    finally:
         rows.unpersist()
-        return Model()
-    learned = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5).fit(
-        VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.where("half = 0"))
-    )
-    model = Model([(float(w), _parsed(t.toDebugString)) for w, t in zip(learned.treeWeights, learned.trees, strict=True)])
-    scored = rows.where("half = 1").withColumn("m", F.round(model.margin(F.struct(*FEATURES)), 2)).groupBy("kind", "m").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("pos"))
-    by_kind: dict[int, list] = {}
-    for r in scored.collect():  # different margins of some trees of a few leaves
-        by_kind.setdefault(r["kind"], []).append((r["m"], r["n"], r["pos"]))
-    for kind, found in by_kind.items():
-        n = pos = 0.0
-        for m, more, good in sorted(found, reverse=True):
-            n, pos = n + more, pos + good
-            if pos >= least and pos >= precision * n:
-                model.thresholds[kind] = m - 0.005
-    rows.unpersist()
-    return model
 
 
 def spans_column(text: Column, model: Model, base: Column | None = None) -> Column:
-    """Base spans and those the model adds, in the order of kind and start."""
+    """Base spans and those the model adds, in the order of kind and start.
+
+    Of candidates that overlap, the one of the highest probability stays, then the longer, then the earlier one.
+    """
+    if not model.thresholds:
+        return base_spans(text) if base is None else base
+    span = lambda c, *more: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), *more)
 
     def joined(own: Column) -> Column:
-        scored = F.filter(candidates(text), lambda c: ~F.exists(own, lambda b: _touch(b, c)) & model.accepts(c))
-        kept = F.filter(scored, lambda c: ~F.exists(scored, lambda o: _touch(o, c) & (o["gen"] < c["gen"])))
-        added = F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-        return F.array_sort(F.concat(own, added)) if model.thresholds else own
+        free = F.filter(candidates(text), lambda c: ~F.exists(own, lambda b: _touch(b, c)))
+        scored = F.filter(F.transform(free, lambda c: F.struct(model.probability(c).alias("p"), (c["end"] - c["start"]).alias("size"), (-c["start"]).alias("early"), span(c).alias("s"), model.threshold(c).alias("cut"))), lambda x: x["p"] >= x["cut"])
+        best = F.sort_array(scored, asc=False)
+        none = F.array().cast(f"array<{_SPAN}>")
+        added = F.aggregate(best, none, lambda acc, x: F.when(F.exists(acc, lambda a: _touch(a, x["s"])), acc).otherwise(F.concat(acc, F.array(x["s"]))))
+        return F.when(F.size(scored) == 0, own).otherwise(F.array_sort(F.concat(own, added)))
 
     return bound(base_spans(text) if base is None else base, joined)
 

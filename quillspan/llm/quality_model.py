@@ -25,11 +25,15 @@ def _features(found: list[bytes]) -> np.ndarray:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, fit_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """``text, y`` of at most ``fit_rows`` labelled documents outside the held-out fold, chosen by a hash of the id."""
+    """``text, y`` of the documents of at most ``fit_rows`` labelled ids outside the held-out fold, chosen by a hash of the id.
+
+    An id that is labelled more than once has its highest label; document rows that repeat in full count once.
+    """
     some = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col, folds) != held_out))
-    some = some.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y")).dropDuplicates(["_id"])
-    some = some.orderBy(mixed_bits(F.col("_id"), seed=23)).limit(fit_rows)
-    return docs.join(F.broadcast(some), docs[id_col] == some["_id"]).select(docs[text_col].alias("text"), "y")
+    some = some.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    some = some.orderBy(mixed_bits(F.col("_id"), seed=23), "_id").limit(fit_rows)
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    return own.join(F.broadcast(some), "_id").distinct().select("text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0, fit_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Forest:
@@ -41,7 +45,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
                 yield pa.RecordBatch.from_arrays([part.column("y"), *(pa.array(c) for c in _features(found).T)], ["y", *FEATURES])
 
     rows = labelled_rows(docs, labels, label, folds, held_out, fit_rows, id_col, text_col)
-    seen = rows.mapInArrow(run, "y int, " + ", ".join(f"{f} double" for f in FEATURES)).limit(2 * fit_rows).toPandas()
+    seen = rows.mapInArrow(run, "y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     seen = seen.sort_values(["y", *FEATURES])
     return boosted(seen[FEATURES].to_numpy(float), seen["y"].to_numpy(float))
 

@@ -28,14 +28,15 @@ def interleave(docs: DataFrame, shards: int = 8, strata: str = "source", id_col:
 
     ``position`` numbers all rows from 0; shard ``k`` holds the positions from ``ceil(k * n / shards)``,
     so row counts differ by one at most and ``slot`` has no gaps. The size is the text's UTF-8 bytes
-    plus 1. Null texts count as empty, a null stratum is a stratum of its own, a null id is hashed as a
-    missing value. Rows that repeat in full are separate rows and take neighbouring places. Other
+    plus 1. Null texts count as empty, a null stratum is a stratum of its own, rows without an id are
+    hashed by their text. Rows that repeat in full are separate rows and take neighbouring places. Other
     columns are ignored, whatever their names; an empty table gives no rows.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     bits = bits or _bucket_bits(docs)
-    h = mixed_bits(F.col(id_col), F.col(strata), seed=seed)
+    no_id = F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    h = mixed_bits(F.col(id_col), F.col(strata), no_id, seed=seed)
     keyed = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(strata).alias("stratum"),

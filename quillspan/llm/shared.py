@@ -18,30 +18,61 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``. Where that is unset, a folder of our own in local mode; a cluster must set it."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="quillspan-")
     return _own_dir
 
 
+def new_place(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is put there goes with ``drop_written``."""
+    _written.append(f"{shared_dir(spark)}/quillspan-{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: a cut in the lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quillspan-{label}-{uuid.uuid4().hex}"
+    path = new_place(df.sparkSession, label)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Deletes the tables that this driver has written so far; call it when the results made from them are saved."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def written_so_far() -> int:
+    """A mark for ``drop_written``."""
+    return len(_written)
+
+
+def drop_written(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the tables that this driver has written since a mark, but those that ``keep`` reads; call it when the results made from them are saved."""
+    held = {f.rpartition("/")[0] for df in keep for f in df.inputFiles()}
+    held = {"/".join(("", *x.split(":", 1)[-1].strip("/").split("/"))) for x in held}
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for place in _written[since:]:
+        path = Path(place)
+        if Path.getPathWithoutSchemeAndAuthority(path).toString() not in held:
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _written.remove(place)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded in rows and bytes where they are at Spark's defaults: texts may be long."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower() in ("67108864b", "67108864", "64m", "64mb"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return df
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``rows`` rows; for tables of a few numbers a row that are cheap to count. Larger ones are shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

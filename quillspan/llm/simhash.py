@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components
-from quillspan.llm.shared import texts, written
+from quillspan.llm.shared import broadcast_if_small, small_batches, texts, written
 
 SEGMENTS = (22, 21, 21)
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the Golay code of length 23.
@@ -101,7 +101,7 @@ def sketches(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "fp", "node", "samples"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, text_key long, fp long, node long, samples array<long>")
+    return small_batches(own).mapInArrow(run, "doc_id long, text_key long, fp long, node long, samples array<long>")
 
 
 def set_hash(own: np.ndarray) -> int:
@@ -121,35 +121,68 @@ def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
                 nodes = np.asarray([set_hash(x) for x in own], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
+    return small_batches(docs.select("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
-def sample_groups(nodes: DataFrame, cap: int = 512) -> DataFrame:
-    """``g, node``: groups of distinct ``node`` such that any two that share a sample are together in one.
+def shared_samples(nodes: DataFrame) -> DataFrame:
+    """``s, node``: the distinct ``node`` that share a sample with another one; samples with the same members count once.
 
-    ``nodes`` has ``node, samples``. Samples with the same members make one group. One with more than
-    ``cap`` members is dealt into parts by hash, and every two of its parts make a group.
+    ``nodes`` has ``node, samples``.
     """
-    drawn = written(nodes.select("node", F.posexplode("samples").alias("nth", "sample")), "samples")
+    drawn = written(nodes.select("node", F.posexplode("samples").alias("nth", "sample")).select(F.xxhash64("nth", "sample").alias("s"), "node"), "samples")
     same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in range(2)]
-    sizes = drawn.groupBy("nth", "sample").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1")
-    sizes = sizes.groupBy("n", "x0", "x1").agg(F.min(F.struct("nth", "sample")).alias("s")).select("s.nth", "s.sample", F.ceil(F.col("n") / cap).alias("parts"))
-    shared = drawn.join(written(sizes, "sizes"), ["nth", "sample"]).withColumn("part", F.pmod(F.xxhash64("nth", "node"), F.col("parts")))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: (x != F.col("part")) | (F.col("parts") == 1))
-    shared = shared.select("nth", "sample", "node", "part", F.explode(others).alias("other"))
-    return shared.select(F.xxhash64("nth", "sample", F.least("part", "other"), F.greatest("part", "other")).alias("g"), "node")
+    sizes = drawn.groupBy("s").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1")
+    return written(drawn.join(sizes.groupBy("n", "x0", "x1").agg(F.min("s").alias("s")).select("s"), "s"), "shared")
 
 
-def similar_forest(nodes: list[int], sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
-    """Edges between nodes whose sorted sets have this exact Jaccard similarity or more; their components are those of all such pairs."""
+def _parts(counts: DataFrame, cap: int) -> DataFrame:
+    return counts.withColumn("parts", F.ceil(F.col("n") / cap))
+
+
+def part_groups(shared: DataFrame, cap: int = 512) -> DataFrame:
+    """``g, node, root``: the members of a sample, dealt by hash into parts of about ``cap``; each is its own root."""
+    counts = written(_parts(shared.groupBy("s").agg(F.count(F.lit(1)).alias("n")), cap), "parts")
+    dealt = shared.join(counts, "s").withColumn("p", F.pmod(F.xxhash64("s", "node"), F.col("parts")))
+    return dealt.select(F.xxhash64("s", "p").alias("g"), "node", F.col("node").alias("root"))
+
+
+def rest_groups(shared: DataFrame, roots: DataFrame, cap: int = 512) -> DataFrame:
+    """``g, node, root``: groups in which every two members of a sample that are in different parts and have different roots meet.
+
+    Of samples over ``cap`` whose members have several roots in ``roots`` (``node, root``; a node without one
+    is its own) the members of the commonest root are dealt into parts, and so are all others; each part of
+    the others meets each part of both. So the work grows with the members that nothing has linked yet, not
+    with the square of the sample.
+    """
+    large = shared.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("s")
+    own = shared.join(written(large, "large"), "s").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = written(own.select("s", "node", "root"), "members")
+    big = own.groupBy("s", "root").agg(F.count(F.lit(1)).alias("n"))
+    big = big.groupBy("s").agg(F.max(F.struct("n", "root")).alias("b"), F.sum("n").alias("all")).where("all > b.n")
+    big = written(big.select("s", F.col("b.root").alias("big"), F.ceil(F.col("b.n") / cap).alias("bigs"), F.ceil((F.col("all") - F.col("b.n")) / cap).alias("others")), "big")
+    own = own.join(big, "s").withColumn("is_big", F.col("root") == F.col("big"))
+    own = own.withColumn("p", F.pmod(F.xxhash64("s", "node"), F.when(F.col("is_big"), F.col("bigs")).otherwise(F.col("others"))))
+    among = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    key = lambda kind, x, y: F.xxhash64(F.lit(kind), "s", x, y)
+    with_others = F.transform(among(F.col("others")), lambda q: F.when(F.col("is_big"), key("b", F.col("p"), q)).otherwise(key("o", F.least(F.col("p"), q), F.greatest(F.col("p"), q))))
+    with_bigs = F.when(F.col("is_big"), F.array().cast("array<long>")).otherwise(F.transform(among(F.col("bigs")), lambda q: key("b", q, F.col("p"))))
+    return own.select(F.explode(F.concat(with_others, with_bigs)).alias("g"), "node", "root")
+
+
+def similar_forest(nodes: list[int], sets: list[np.ndarray], similarity: float, roots: list[int] | None = None) -> tuple[list[int], list[int]]:
+    """Edges between nodes whose sorted sets have this exact Jaccard similarity or more.
+
+    With the links that the nodes of one root have already, their components are those of all such pairs.
+    """
     size = np.asarray([len(x) for x in sets], np.int64)
+    root = np.asarray(nodes if roots is None else roots, np.int64)
     a, b, rest = [], [], np.arange(len(nodes))
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             p = queue.pop()
             fits = np.minimum(size[rest], size[p]) >= np.maximum(size[rest], size[p]) * similarity - 1
-            some = rest[fits & (size[rest] > 0)]
+            some = rest[fits & (size[rest] > 0) & (root[rest] != root[p])]
             if not len(some) or not size[p]:
                 continue
             flat = np.concatenate([sets[i] for i in some])
@@ -164,31 +197,31 @@ def similar_forest(nodes: list[int], sets: list[np.ndarray], similarity: float)
 
 
 def verified_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges ``a, b`` whose components are those of all pairs within a group at this exact similarity or more.
+    """Edges ``a, b`` that, with those of equal roots, join whatever pairs of different roots in a group have at this exact similarity or more.
 
-    ``groups`` has ``g, node``, ``sets`` has ``node, shingles``. A task holds the sets of one group at a time.
+    ``groups`` has ``g, node, root``, ``sets`` has ``node, shingles``. A task holds the sets of one group at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            a, b = similar_forest(list(own), list(own.values()), similarity)
+            a, b = similar_forest(list(own), [x for _, x in own.values()], similarity, [r for r, _ in own.values()])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         at, own = None, {}
         for batch in batches:
             shingles = batch.column("shingles")
             flat, ends = shingles.values.to_numpy().view(np.uint64), shingles.offsets.to_numpy()
-            for i, (g, node) in enumerate(zip(batch.column("g").to_pylist(), batch.column("node").to_pylist(), strict=True)):
+            for i, (g, node, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "node", "root")), strict=True)):
                 if g != at:
                     if len(own) > 1:
                         yield out()
                     at, own = g, {}
-                own[node] = flat[ends[i] : ends[i + 1]].copy()
+                own[node] = root, flat[ends[i] : ends[i + 1]].copy()
         if len(own) > 1:
             yield out()
 
-    rows = groups.join(sets, "node").select("g", "node", "shingles").repartition("g").sortWithinPartitions("g")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    rows = groups.join(sets, "node").select("g", "node", "root", "shingles").repartition("g").sortWithinPartitions("g")
+    return small_batches(rows).mapInArrow(run, "a long, b long").distinct()
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +233,8 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
                 fps = np.asarray([fingerprint(x, words) for x in found], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return small_batches(own).mapInArrow(run, "doc_id long, fp long")
 
 
 @cache
@@ -373,33 +407,46 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, cap: int = 2
     """
     own = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     least = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    return _classes(own, least, linked(least, bits, cap))
-
-
-def _classes(own: DataFrame, least: DataFrame, edges: DataFrame, key: str = "fp") -> DataFrame:
-    root = components(edges).withColumnRenamed("node", key)
-    least = least.select(key, "least").join(root, key, "left").withColumn("root", F.coalesce("root", key))
-    ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(least.join(ids, "root").select(key, "component_id"), key).select("doc_id", "fp", "component_id")
+    root = components(linked(least, bits, cap)).withColumnRenamed("node", "fp")
+    least = written(least.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    ids = written(least.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    named = written(least.join(ids, "root").select("fp", "component_id"), "named")
+    return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 3, cap: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` as ``near_duplicates``, linking texts of this exact Jaccard similarity of their shingles or more.
+    """``doc_id, text_key, fp, component_id, first`` for every row, linking texts of this exact Jaccard similarity of their shingles or more.
 
     Texts with the same set of shingles are one. Candidates are those that share the SimHash of one of
     their samples, and the links of ``bits`` or fewer; every link is verified on the two sets. Two texts at
-    a similarity of 0.8 miss each other once in 30,000 times by the samples, however many share one.
-    Nulls, empty texts, repeats and other columns are treated as there.
+    a similarity of 0.8 miss each other once in 30,000 times by the samples, however many share one: a
+    sample over ``cap`` is compared in parts first, and then across the parts whatever is not linked by then.
+    ``first`` marks the row of the smallest id (rows without an id last), and of the smallest ``text_key``
+    among those, of each component; rows that repeat id and text are all marked. Nulls, empty texts, repeats
+    and other columns are treated as in ``near_duplicates``; hashes of texts and sets have 64 bits.
     """
     own = written(sketches(docs, words, id_col, text_col), "sketches")
-    least = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("fp", "text_key", "samples"), "text_key").alias("s"))
-    least = written(least.select("node", "least", "s.fp", "s.text_key", "s.samples"), "distinct")
-    firsts = least.groupBy("fp").agg(F.min("node").alias("first"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    least = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(row).alias("row"), F.min_by(F.struct("fp", "samples"), "text_key").alias("s"))
+    least = written(least.select("node", "least", "row", "s.fp", "s.samples"), "distinct")
+    firsts = written(least.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
     near = linked(firsts.select("fp"), bits).join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     near = near.select("x", "y").unionByName(least.join(firsts, "fp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y")))
-    near = near.select(F.xxhash64("x", "y").alias("g"), F.explode(F.array("x", "y")).alias("node"))
-    groups = written(sample_groups(least.select("node", "samples"), cap).unionByName(near), "groups")
-    keys = least.join(groups.select("node").distinct(), "node").select("text_key")
-    some = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).join(keys, "text_key", "left_semi").dropDuplicates(["text_key"])
-    sets = written(shingle_sets(some, words).dropDuplicates(["node"]), "sets")
-    return _classes(own, least, written(verified_links(groups, sets, similarity), "links"), "node")
+    near = near.select(F.xxhash64("x", "y").alias("g"), F.explode(F.array("x", "y")).alias("node")).withColumn("root", F.col("node"))
+    shared = shared_samples(least.select("node", "samples"))
+    groups = written(part_groups(shared, cap).unionByName(near), "groups")
+    keys = written(least.join(groups.select("node").distinct(), "node", "left_semi").select("row.*"), "keys")
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    some = broadcast_if_small(keys.select(F.col("doc_id").alias("k"), F.col("text_key").alias("t")))
+    text = text.join(some, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("t")), "left_semi")
+    sets = shingle_sets(text, words).dropDuplicates(["node"])
+    links = written(verified_links(groups, sets, similarity), "links")
+    across = written(rest_groups(shared, components(links), cap), "across")
+    if not across.isEmpty():
+        links = written(links.unionByName(verified_links(across, sets, similarity)), "links")
+    root = components(links)
+    least = written(least.select("node", "least", "row").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    ids = written(least.groupBy("root").agg(F.min("least").alias("component_id"), F.min("row").alias("head")), "ids")
+    named = written(least.join(ids, "root").select("node", "component_id", "head"), "named")
+    out = own.select("doc_id", "text_key", "fp", "node").join(named, "node")
+    return out.select("doc_id", "text_key", "fp", "component_id", (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key"))).alias("first"))

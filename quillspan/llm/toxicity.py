@@ -4,12 +4,14 @@ A character language model (trigrams, mixed with bigrams and single letters) is
 A token that may be disguised - digits or signs among letters, a letter three times in a row, signs
 between letters, or a run of single letters - becomes a lattice: each character can stand for itself, for
 the letters it resembles, or for nothing (a sign, a gap, one more of the same letter), at the channel's
-cost. Viterbi decoding finds the likeliest restored text under the model. All other tokens have a lattice
-with one path and are restored as they are.
+cost. Viterbi decoding finds the likeliest restored text under the model; it is exact, as the state is the
+last two letters and no state is dropped. All other tokens have a lattice with one path and are restored as
+they are.
 
 The restored text is scored by terms (words, and stems of four to six letters) that labelled rows show to
 be toxic. Boosted trees weigh how strong, how many and how frequent the terms found are; they are fitted on
-halves of the labelled rows, each with the terms of the other half.
+halves of the labelled rows, each with the terms of the other half. A toxic row whose strongest term is stronger
+than those of all clean rows counts once more with this term alone, so that one mention of it is enough.
 """
 
 from __future__ import annotations
@@ -46,7 +48,6 @@ RESEMBLES = {
 }
 SIGNS = " .-_*~'`·:,;/\\^=#%&\"<>[]{})?"
 COST = {"same": 0.0, "resembles": 1.0, "nothing": 0.7, "again": 1.5}
-BEAM = 48
 
 
 def codes(text: str) -> np.ndarray:
@@ -54,6 +55,17 @@ def codes(text: str) -> np.ndarray:
     return _CODE[np.minimum(found, len(_CODE) - 1)]
 
 
+def _grams(c: np.ndarray) -> np.ndarray:
+    """The trigrams of letter numbers, without those that touch two or more single letters in a row: these may be spaced-out words."""
+    grams = (c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:]
+    single = (c[:-2] == 0) & (c[1:-1] != 0) & (c[2:] == 0)
+    run = np.zeros(len(single) + 4, bool)
+    two = single[:-2] & single[2:]
+    for k in range(5):  # the letters of the two, and the gaps around them
+        run[k : k + len(two)] |= two
+    return grams[~run[1 : 1 + len(grams)]]
+
+
 def letter_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``gram, n``: the trigrams of all texts, as numbers in base ``len(ALPHABET)``; at most its cube of rows."""
 
@@ -61,8 +73,7 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         total = np.zeros(SIZE**3, np.int64)
         for batch in batches:
             for _, found in texts(batch, "text"):
-                c = codes(b"  ".join([b"", *found, b""]).decode("utf-8", "replace").lower())
-                total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3)
+                total += np.bincount(_grams(codes(b"  ".join([b"", *found, b""]).decode("utf-8", "replace").lower())), minlength=SIZE**3)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
 
@@ -83,42 +94,105 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return np.log(three).astype(np.float32)
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest restored text of a lower-case token or run of letters, of any length."""
-    # A path's text is held as its last letter and the path before, so a step takes the same time at any length.
-    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+def with_words(model: np.ndarray, words: list[str], share: float = 0.2) -> np.ndarray:
+    """The letter model mixed with that of some words, so that these are decoded more readily."""
+    n = np.zeros((SIZE, SIZE, SIZE))
+    for w in words:
+        c = codes(f"  {w}  ")
+        np.add.at(n, (c[:-2], c[1:-1], c[2:]), 1)
+    total = n.sum(axis=2, keepdims=True)
+    return np.where(total > 0, np.log((1 - share) * np.exp(model) + share * n / np.maximum(total, 1)), model).astype(np.float32)
+
+
+def _arcs(token: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
+    """What each character may stand for, and at which cost; an empty text stands for nothing.
+
+    In a spaced-out run every letter is followed by a gap, so a gap there is most likely none.
+    """
     before = ""
     for c in token:
-        arcs: list[tuple[str, float]] = []
         if c.isalpha():
-            arcs.append((c, COST["same"]))
+            arcs = [(c, COST["same"])]
             if c == before:
-                arcs.append(("", COST["again"]))
+                arcs.append(("", COST["again"] + 1.5))
         else:
-            arcs += [(x, COST["resembles"]) for x in RESEMBLES.get(c, "")]
-            arcs.append(("", COST["nothing"] if c in SIGNS else 2.0))
+            arcs = [(x, COST["resembles"]) for x in RESEMBLES.get(c, "")]
             if c.isspace():
-                arcs.append((" ", COST["same"]))
-            elif c not in SIGNS:
-                arcs.append((c, 3.0))
+                arcs += [("", 0.2), (" ", 1.8)] if spaced else [("", COST["nothing"] + 1.5), (" ", COST["same"])]
+            elif c in SIGNS:
+                arcs.append(("", COST["nothing"] + 1.5))
+            else:
+                arcs += [("", 3.5), (c, 3.0)]
         before = c
-        steps = [(out, int(_CODE[min(ord(out), len(_CODE) - 1)]) if out else -1, cost) for out, cost in arcs]
+        yield arcs
+
+
+def decode(token: str, model: np.ndarray, spaced: bool = False) -> str:
+    """The likeliest restored text of a lower-case token or run of letters, of any length.
+
+    Exact: the state is the last two letters, of which there are at most ``SIZE`` squared, and all are kept.
+    A step over few states is done one by one, over many on the matrix of all.
+    """
+    steps = list(_arcs(token, spaced))
+    code = lambda out: int(_CODE[min(ord(out), len(_CODE) - 1)])
+    # A path's text is held as its last letter and the path before, so a step takes the same time at any length.
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    at = 0
+    while at < len(steps) and len(paths) <= 40:
+        arcs = [(out, code(out) if out else -1, cost) for out, cost in steps[at]]
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in paths.items():
-            for out, k, cost in steps:
+            for out, k, cost in arcs:
                 if out:
                     state, value, held = (b, k), score + float(model[a, b, k]) - cost, (out, path)
                 else:
-                    state, value, held = (a, b), score - cost - 1.5, path
+                    state, value, held = (a, b), score - cost, path
                 if state not in new or value > new[state][0]:
                     new[state] = (value, held)
-        paths = new if len(new) <= BEAM else dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
-    path = max(((v + float(model[a, b, 0]), path) for (a, b), (v, path) in paths.items()), key=lambda x: x[0])[1]
+        paths, at = new, at + 1
+    if at == len(steps):
+        path = max(((v + float(model[a, b, 0]), path) for (a, b), (v, path) in paths.items()), key=lambda x: x[0])[1]
+        return "".join(reversed(list(_letters(path))))
+
+    score = np.full((SIZE, SIZE), -np.inf)
+    for (a, b), (v, _) in paths.items():
+        score[a, b] = v
+    back = []
+    for arcs in steps[at:]:
+        silent = min((cost for out, cost in arcs if not out), default=np.inf)
+        new = score - silent
+        took: dict[int, tuple[str, np.ndarray, np.ndarray]] = {}
+        for out, cost in arcs:
+            if out:
+                k = code(out)
+                value = score + model[:, :, k] - cost
+                first = value.argmax(axis=0)
+                best = value[first, np.arange(SIZE)]
+                better = best > new[:, k]
+                if k in took:  # two signs of one number: the better of the two
+                    prior = took[k]
+                    took[k] = (np.where(better, out, prior[0]), np.where(better, first, prior[1]), better | prior[2])
+                else:
+                    took[k] = (np.full(SIZE, out), first, better)
+                new[:, k] = np.where(better, best, new[:, k])
+        back.append(took)
+        score = new
+    a, b = np.unravel_index(int((score + model[:, :, 0]).argmax()), score.shape)
     found: list[str] = []
+    for took in reversed(back):
+        if int(b) in took and took[int(b)][2][a]:
+            out, first, _ = took[int(b)]
+            found.append(str(out[a]))
+            a, b = first[a], a
+    found += _letters(paths[int(a), int(b)][1])
+    return "".join(reversed(found))
+
+
+def _letters(path: tuple | None) -> Iterator[str]:
+    """The letters of a path from its end."""
     while path:
-        found.append(path[0])
+        yield path[0]
         path = path[1]
-    return "".join(reversed(found))
 
 
 def _single(word: bytes) -> bool:
@@ -195,7 +269,7 @@ class Restorer:
                     run = b"".join(words[at[start] : at[j - 1] + 1]).decode("utf-8", "replace").lower()
                     run = re.sub(r"(.)\1{2,}", r"\1\1", run)
                     if len(set(run)) > 2:
-                        yield decode(" ".join(run), self.model)
+                        yield decode(" ".join(run), self.model, spaced=True)
                 start = j
 
     def found(self, own: list[bytes]) -> Iterator:
@@ -225,7 +299,7 @@ class Scorer:
         def hits(words: tuple[str, ...]) -> tuple[tuple[str, float], ...]:
             return tuple((w, max(weights[t] for t in own)) for w in words if (own := [t for t in terms(w) if t in weights]))
 
-        self.restorer = Restorer(letters, hits)
+        self.restorer = Restorer(with_words(letters, [t for t in weights if not t.endswith("-")]), hits)
 
     def features(self, text: bytes) -> list[float]:
         own = text.split()
@@ -235,23 +309,26 @@ class Scorer:
         return [*top, sum(seen.values()), float(len(seen)), float(times), times / max(1, len(own))]
 
 
+#: MinHashes by which near copies among labelled rows are found; two texts at a similarity of 0.5 share none once in 64 times.
+FAMILIES = 6
+
+
 def _families(rows: DataFrame) -> DataFrame:
-    """Adds two MinHashes of three-word shingles, which near copies share."""
+    """Adds ``m``, MinHashes of three-word shingles, which near copies share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             for part, found in texts(batch, "text"):
-                two = [[], []]
+                least = []
                 for text in found:
                     w = text.lower().split()
                     grams = [b" ".join(x) for x in zip(w, w[1:], w[2:], strict=False)] or [b" ".join(w)]
-                    for seed in (0, 1):
-                        two[seed].append(min(xxhash.xxh64_intdigest(g, seed) for g in grams) - (1 << 63))
-                yield pa.RecordBatch.from_arrays([part.column("text"), part.column("y"), *(pa.array(x, pa.int64()) for x in two)], ["text", "y", "a", "b"])
+                    least.append([min(xxhash.xxh64_intdigest(g, seed) for g in grams) - (1 << 63) for seed in range(FAMILIES)])
+                yield pa.RecordBatch.from_arrays([part.column("text"), part.column("y"), pa.array(least, pa.list_(pa.int64()))], ["text", "y", "m"])
 
-    return rows.mapInArrow(run, "text string, y int, a long, b long")
+    return rows.mapInArrow(run, "text string, y int, m array<long>")
 
 
 def _weights(counted: list, halves: tuple[int, ...]) -> dict[str, float]:
@@ -279,7 +356,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
     """
     letters = language_model(letter_counts(docs, text_col))
     rows = _families(labelled_rows(docs, labels, label, folds, held_out, fit_rows, id_col, text_col))
-    rows = written(rows.dropDuplicates(["a"]).dropDuplicates(["b"]).withColumn("half", F.pmod("b", F.lit(2)).cast("int")), "labelled")
+    # Of texts of one label that share a hash the smallest stays, so the same one in every run.
+    for i in range(FAMILIES):
+        rows = rows.groupBy("y", F.col("m")[i].alias("key")).agg(F.min(F.struct("text", "m")).alias("r")).select("r.text", "y", "r.m")
+    rows = written(rows.select("text", "y", F.pmod(F.col("m")[0], F.lit(2)).cast("int").alias("half")), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tox, every = Restorer(letters), Counter(), Counter()
@@ -315,8 +395,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
     seen = rows.select("text", "y", "half").mapInArrow(look, "y int, x array<double>").toPandas().sort_values(["y", "x"], key=lambda c: c.map(lambda v: v if isinstance(v, int) else tuple(v)))
-    x = np.asarray(seen["x"].tolist(), float).reshape(len(seen), 7)
-    return Model(letters, _weights(counted, (0, 1)), boosted(x, seen["y"].to_numpy(float), trees=40, depth=3))
+    x, y = np.asarray(seen["x"].tolist(), float).reshape(len(seen), 7), seen["y"].to_numpy(float)
+    clean = x[y == 0, 0].max() if (y == 0).any() else 0.0
+    alone = x[(y == 1) & (x[:, 0] > clean)]
+    alone = np.column_stack([alone[:, 0], 0 * alone[:, :2], alone[:, 0], np.ones((len(alone), 2)), alone[:, 6] / np.maximum(alone[:, 5], 1)])
+    return Model(letters, _weights(counted, (0, 1)), boosted(np.concatenate([x, alone]), np.concatenate([y, np.ones(len(alone))]), trees=40, depth=3))
 
 
 def score_column(model: Model, text: Column) -> Column:

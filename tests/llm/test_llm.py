@@ -148,13 +148,18 @@ def test_similar_documents_with_hot_samples(spark, cap):
                 root = [x if z == y else z for z in root]
     assert 3 < len(set(root)) < len(texts)
     nodes = simhash.sketches(docs_of(spark, texts), 5).select("node", "samples", "doc_id").cache()
-    groups = {}
-    for x in simhash.sample_groups(nodes, cap).collect():
-        groups.setdefault(x.g, set()).add(x.node)
-    assert max(map(len, groups.values())) > 10 if cap > 3 else len(groups) > 100
+    shared = simhash.shared_samples(nodes)
+    links = simhash.verified_links(simhash.part_groups(shared, cap), nodes.join(simhash.shingle_sets(docs_of(spark, texts)), "node"), 0.8)
+    roots = {x.node: x.root for x in components(links).collect()}
+    met = set()
+    for table in (simhash.part_groups(shared, cap), simhash.rest_groups(shared, components(links), cap)):
+        groups = {}
+        for x in table.collect():
+            groups.setdefault(x.g, set()).add(x.node)
+        met |= {(u, v) for g in groups.values() for u in g for v in g}
     drawn = [(x.node, set(enumerate(x.samples))) for x in nodes.collect()]
     for i, (u, x) in enumerate(drawn):
-        assert all(not x & y or any({u, v} <= g for g in groups.values()) for v, y in drawn[:i])
+        assert all(not x & y or (u, v) in met or roots.get(u, u) == roots.get(v, v) for v, y in drawn[:i])
     got = {x.doc_id: x.component_id for x in simhash.similar_documents(docs_of(spark, texts), cap=cap).collect()}
     assert got == dict(enumerate(root))
 
