@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, packing, pii, simhash, toxicity
 from quillspan.llm.queries import tokenizer_path
-from quillspan.llm.shared import table, written
+from quillspan.llm.shared import broadcast_if_small, drop_written, table, written, written_so_far
+
+
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(n for i in range(len(taken) + 1) if (n := f"{name}_{i}") not in taken) for name in names]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,26 +26,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, on shingles of five words at a similarity of 0.8.
+    """The first document of each near-duplicate group, on shingles of five words at a similarity of 0.8.
 
     Fingerprints within three bits of 64 and shared samples propose links; those at that exact similarity
-    or more hold, and a group is all that links reach.
-    Documents without words are no copies of anything and are kept, as are rows without an id; of rows
-    that repeat an id in full, one is kept.
+    or more hold, and a group is all that links reach. The first is that of the smallest id, rows without an
+    id last. Documents without words are no copies of anything and are kept. Rows are told apart by id and
+    text: of rows that repeat both, the one of the smallest other columns stays, as JSON; rows of one id and
+    different texts are different documents.
     """
     empty = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), F.lit("")) == ""
-    text = docs.where(~empty & F.col("doc_id").isNotNull())
+    text = docs.where(~empty)
     found = simhash.similar_documents(text, words=5, similarity=0.8)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = text.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where(empty | F.col("doc_id").isNull()))
+    k, t = _free(docs, "key_id", "key_text")
+    rows = written(found.groupBy(F.col("doc_id").alias(k), F.col("text_key").alias(t)).agg(F.first("first").alias("kept"), F.count(F.lit(1)).alias("times")), "copies")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(k)) & (F.xxhash64("text") == F.col(t))
+    single = text.join(broadcast_if_small(rows.where("not kept or times > 1").select(k, t)), same, "left_anti")
+    repeated = text.join(broadcast_if_small(rows.where("kept and times > 1").select(k, t)), same, "left_semi")
+    others = F.to_json(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0)))
+    once = repeated.groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(F.struct(*docs.columns), others).alias("row")).select("row.*")
+    return single.unionByName(once).unionByName(docs.where(empty))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; rows without an id are checked like any other."""
-    marked = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    leaks = decontaminate.contained_items(marked, table(spark, sf_dir, "benchmark"), threshold=0.8, words=5, id_col="_row")
-    return marked.join(leaks.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
+    """Documents whose text holds no benchmark item; ids play no part, so rows without one or with the same one are each judged by their text."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    leaks = decontaminate.contained_items(texts, table(spark, sf_dir, "benchmark"), threshold=0.8, words=5)
+    (leak,) = _free(docs, "leak")
+    found = written(leaks.select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    return docs.join(broadcast_if_small(found), F.xxhash64("text") == F.col(leak), "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what an earlier stage wrote for itself goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark = written_so_far()
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_written(spark, mark, keep=(docs,))
     return STAGES[-1][1](spark, docs, sf_dir)
