@@ -4,21 +4,20 @@ A test item is the set of its shingles of five words (letters and digits, lower
 it if it has at least ``threshold`` of the set. An item of ``n`` shingles that is held lacks at most
 ``n - ceil(threshold * n)`` of them, so one of its ``n - ceil(threshold * n) + 1`` smallest hashes - its
 bottom-k MinHash sketch - is always in the document: the search has no false negatives. Documents are
-partitioned by their number of shingles, and a partition is searched only for items whose required
-shingles can fit into it. What the sketches find is verified on the shingles' texts.
+partitioned by their number of shingles, in powers of four, and a partition is searched only for items whose
+required shingles can fit into it. What the sketches find is verified on the shingles' texts.
 
-A pass looks for at most ``block`` sketch hashes, which are collected for it (and so bounded); more
-items are searched for in more passes over the documents.
+The documents are read once, whatever the number of items. Up to ``most_probes`` sketch hashes are broadcast and met
+where the documents are; more are joined by a shuffle of the documents' hashes, each with a hash of its text, and
+only what meets goes back to the texts. No hash becomes part of a plan or is collected.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.shared import bound
+from quillspan.llm.shared import bound, written
 
 WORDS = r"[\p{L}\p{N}]+"
 
@@ -55,8 +54,16 @@ def item_sketches(items: DataFrame, threshold: float, words: int, id_col: str, t
     return own.withColumn("need", need).select("item_id", "shingles", "need", F.slice("h", 1, F.size("shingles") - F.col("need") + 1).alias("sketch"))
 
 
+def _size_class(n: Column) -> Column:
+    """Powers of four: 0 for one to three shingles, 1 for up to 15, and so on."""
+    out = F.lit(0)
+    for p in range(1, 16):
+        out = out + F.when(n >= 4**p, 1).otherwise(0)
+    return out
+
+
 def contained_items(
-    docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = 5, block: int = 100_000,
+    docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = 5, most_probes: int = 200_000,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id, item_id, n_shingles, n_found, containment``: a row for each document row and item row that it holds.
@@ -68,41 +75,32 @@ def contained_items(
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
-    spark = docs.sparkSession
+    # Items of equal shingles are searched for once.
     sketches = item_sketches(items, threshold, words, item_col, item_text)
-    total = sketches.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    passes = max(1, -(-total // block))
-    found = [_search(docs, sketches.where(F.pmod(F.xxhash64("shingles"), F.lit(passes)) == p), words, id_col, text_col, keep) for p in range(passes)]
-    found = [x for x in found if x is not None]
-    if not found:
-        kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-        return spark.createDataFrame([], f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_col].dataType.simpleString()}, n_shingles int, n_found int, containment double" + (kinds and ", " + kinds))
-    return reduce(DataFrame.unionByName, found)
-
-
-def _search(docs: DataFrame, sketches: DataFrame, n: int, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame | None:
-    probes = [(r[0], r[1]) for r in sketches.select("need", F.explode("sketch")).collect()]  # about a block
-    if not probes:
-        return None
-    most = max(need for need, _ in probes)
-    uppers = [u for u in (4 ** p for p in range(1, 16)) if u <= most]
-
-    def hits(h: Column) -> Column:
-        among = lambda fits: F.array_distinct(F.filter(h, lambda x: x.isin(sorted({p for need, p in probes if fits(need)}))))
-        out = None
-        for u in uppers:
-            some = among(lambda need, u=u: need < u)
-            out = F.when(F.size(h) < u, some) if out is None else out.when(F.size(h) < u, some)
-        return among(lambda _: True) if out is None else out.otherwise(among(lambda _: True))
-
-    own = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("_w"), *keep)
-    own = own.select("*", bound(_hashes(F.col("_w"), n), hits).alias("_hits")).where("size(_hits) > 0")
-    index = sketches.select("item_id", "shingles", "sketch", F.explode("sketch").alias("_h"))
-    # A document meets an item once, at the smallest hash they share.
-    met = own.select("*", F.explode("_hits").alias("_h")).join(index, "_h").where(F.col("_h") == F.array_min(F.array_intersect("_hits", "sketch")))
-    met = met.withColumn("n_found", F.size(F.array_intersect("shingles", _texts(F.col("_w"), n)))).withColumn("n_shingles", F.size("shingles"))
-    need = F.greatest(F.lit(1), F.size("sketch") * -1 + F.col("n_shingles") + 1)
-    return met.where(F.col("n_found") >= need).select("doc_id", "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"), *keep)
+    sketches = written(sketches.withColumn("key", F.xxhash64(F.array_sort("shingles"))), "items")
+    distinct = sketches.groupBy("key").agg(F.first(F.struct("need", "sketch", "shingles")).alias("i")).select("key", "i.*")
+    probes = distinct.select("key", "need", "sketch", F.explode("sketch").alias("h"))
+    index = probes.select("h", "key", _size_class(F.col("need")).alias("class"), "sketch")
+    total, bytes_ = distinct.agg(F.sum(F.size("sketch")), F.sum(F.octet_length(F.to_json("shingles")))).first()
+    small = (total or 0) <= most_probes and (bytes_ or 0) <= 64 * most_probes * words
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    # Where Spark can't rule out a null it tests for one first, and computes all hashes twice.
+    hashed = lambda text: F.array_distinct(F.coalesce(_hashes(words_of(text), words), F.array().cast("array<bigint>")))
+    if small:
+        met = own.withColumn("_hs", hashed(F.col("text")))
+        met = met.select("*", _size_class(F.size("_hs")).alias("_class"), F.explode_outer("_hs").alias("_h"))
+        met = met.join(F.broadcast(index), (F.col("_h") == F.col("h")) & (F.col("class") <= F.col("_class")))
+        met = met.where(F.col("_h") == F.array_min(F.array_intersect("_hs", "sketch")))  # a document meets an item once
+        met = met.select("doc_id", "text", *keep, "key").join(F.broadcast(distinct.select("key", "shingles", "need")), "key")
+    else:
+        shingles = own.select(F.xxhash64("text").alias("_t"), hashed(F.col("text")).alias("_hs"))
+        shingles = shingles.select("_t", _size_class(F.size("_hs")).alias("_class"), F.explode_outer("_hs").alias("_h")).where("_h is not null")
+        pairs = shingles.join(index, (F.col("_h") == F.col("h")) & (F.col("class") <= F.col("_class"))).select("_t", "key").distinct()
+        met = own.withColumn("_t", F.xxhash64("text")).join(pairs, "_t").join(distinct.select("key", "shingles", "need"), "key")
+    met = met.withColumn("n_found", F.size(F.array_intersect("shingles", _texts(words_of(F.col("text")), words)))).where("n_found >= need")
+    met = met.select("key", "doc_id", F.size("shingles").alias("n_shingles"), "n_found", *keep)
+    out = met.join(F.broadcast(sketches.select("key", "item_id")) if small else sketches.select("key", "item_id"), "key")
+    return out.select("doc_id", "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"), *keep)
 
 
 ORACLE = r"""

@@ -3,8 +3,8 @@
 Strict patterns with checks give the base spans, which always stay. Besides them, generators of high recall
 propose overlapping candidates: mail addresses that are spelled out, dotted numbers with odd dots, card-like
 and phone-like groups inside longer runs, and numbers with any separators. Boosted trees look at a candidate's
-format (groups, separators, checksum) and its context, and a logistic curve fitted on other examples turns
-their margin into a probability. Candidates over their kind's threshold that touch no base span are added;
+format (groups, separators, checksum) and its context, and an isotonic curve for each kind, fitted on other
+examples, turns their margin into a probability. Candidates over their kind's threshold that touch no base span are added;
 where they overlap, the likelier one stays.
 
 The trees learn from planted spans: each of at most ``carriers`` texts, chosen by a hash, gets every known
@@ -19,6 +19,7 @@ The trees are applied as a SQL expression inside the row, so no text is shuffled
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -45,6 +46,7 @@ GENERATORS = (
     (1, rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])"),
     (2, r"(?<![0-9])[0-9]{4}([\x20._/-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"),
     (3, r"(?:(?<![0-9])00|\+|(?<![0-9+]))(?:[0-9]{1,3}[\x20./-])?(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-]{1,3}[0-9]{2,8}){1,3}(?![0-9])"),
+    (3, r"(?:(?<![0-9])00|\+|(?<![0-9+]))(?:[0-9]{1,3}[\x20./-])?(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-]{1,3}[0-9]{2,8}){1,2}(?![0-9])"),
     (-1, r"\+?\(?[0-9][\x20().0-9/_-]{6,}[0-9]"),
 )
 FEATURES = ("kind", "gen", "size", "digits", "groups", "first", "last", "longest", "spaces", "points", "dashes", "marks", "plus", "paren", "luhn", "octets", "before", "after", "cue")
@@ -111,7 +113,7 @@ def base_spans(text: Column) -> Column:
 def candidates(text: Column) -> Column:
     """The generators' spans with the features of format and context, an array of structs."""
     digits = text.rlike(r"[0-9][\x20().0-9/_-]{4,}[0-9]")
-    present = (text.rlike(r"@|\(at\)|\[at\]") | (F.contains(text, F.lit(" at ")) & F.contains(text, F.lit(" dot "))), text.rlike(rf"[0-9]{_DOT}[0-9]{{1,3}}{_DOT}[0-9]"), digits, digits, digits)
+    present = (text.rlike(r"@|\(at\)|\[at\]") | (F.contains(text, F.lit(" at ")) & F.contains(text, F.lit(" dot "))), text.rlike(rf"[0-9]{_DOT}[0-9]{{1,3}}{_DOT}[0-9]"), digits, digits, digits, digits)
 
     def sort(char: Column) -> Column:
         return F.when(char == "", 0).when(char.rlike(r"\s"), 1).when(char.rlike(r"[0-9]"), 2).when(char.rlike(r"\p{L}"), 3).when(char.rlike(r"[\"'=:]"), 4).when(char.rlike(r"[(+/_.-]"), 6).otherwise(5)
@@ -193,11 +195,9 @@ def planted(docs: DataFrame, carriers: int, text_col: str = "text") -> DataFrame
     own = docs.select(F.xxhash64(text).alias("id"), text.alias("t")).orderBy("id", F.length("t")).limit(carriers)
     spot = lambda seed: F.pmod(mixed_bits(F.col("id"), seed=seed), F.greatest(F.length("t"), F.lit(1))).cast("int") + 1
     left, right = (F.regexp_replace(F.substr(F.col("t"), spot(n), F.lit(50)), p, "") for n, p in ((1, r"^\S*\s?|[0-9@+]"), (2, r"\s?\S*$|[0-9@+]")))
-    forms = []
-    for n, (kind, template) in enumerate(SPELLINGS):
-        ends = [[F.lit(i) for i, c in enumerate(template) if c == b] for b in "{}"]
-        forms.append(F.struct(F.lit(n).alias("form"), F.lit(kind).alias("kind"), F.split(F.lit(template), "").alias("chars"), *(F.array(*e).cast("array<int>").alias(k) for e, k in zip(ends, ("from", "to"), strict=True))))
-    rows = own.select("id", left.alias("l"), right.alias("r")).repartition("id").select("id", "l", "r", F.explode(F.array(*forms)).alias("f")).select("id", "l", "r", "f.*")
+    forms = [{"form": n, "kind": kind, "chars": list(x), "from": [i for i, c in enumerate(x) if c == "{"], "to": [i for i, c in enumerate(x) if c == "}"]} for n, (kind, x) in enumerate(SPELLINGS)]
+    forms = F.from_json(F.lit(json.dumps(forms)), "array<struct<form:int,kind:int,chars:array<string>,`from`:array<int>,`to`:array<int>>>")
+    rows = own.select("id", left.alias("l"), right.alias("r")).repartition("id").select("id", "l", "r", F.explode(forms).alias("f")).select("id", "l", "r", "f.*")
     rows = rows.withColumns({"good": card(10, True), "other": card(20, True), "wrong": card(30, False)})
 
     def piece(c: Column, i: Column) -> Column:
@@ -217,14 +217,13 @@ def planted(docs: DataFrame, carriers: int, text_col: str = "text") -> DataFrame
 
 @dataclass
 class Model:
-    """Trees as nested ``(feature, cut, left, right)`` or a leaf's value with their weights, the curve's slope and offset, and a threshold for each kind."""
+    """Trees as nested ``(feature, cut, left, right)`` or a leaf's value with their weights, and for each kind a rising curve of ``(margin, probability)`` steps and a threshold."""
 
     trees: list = field(default_factory=list)
-    slope: float = 1.0
-    offset: float = 0.0
+    curves: dict[int, list[tuple[float, float]]] = field(default_factory=dict)
     thresholds: dict[int, float] = field(default_factory=dict)
 
-    def probability(self, c: Column) -> Column:
+    def margin(self, c: Column) -> Column:
         def tree(node) -> Column:
             if isinstance(node, float):
                 return F.lit(node)
@@ -233,7 +232,19 @@ class Model:
         out = F.lit(0.0)
         for weight, root in self.trees:
             out = out + F.lit(weight) * tree(root)
-        return 1 / (1 + F.exp(-(out * self.slope + self.offset)))
+        return out
+
+    def probability(self, c: Column) -> Column:
+        def curve(m: Column) -> Column:
+            out = F.lit(0.0)
+            for kind, steps in self.curves.items():
+                own = F.lit(steps[0][1])
+                for cut, p in steps[1:]:
+                    own = F.when(m >= cut, p).otherwise(own)
+                out = F.when(c["kind"] == kind, own).otherwise(out)
+            return out
+
+        return bound(self.margin(c), curve)
 
     def threshold(self, c: Column) -> Column:
         out = F.lit(2.0)
@@ -242,6 +253,18 @@ class Model:
         return out
 
 
+def isotonic(found: list[tuple[float, float, float]], margin_step: float = 0.05) -> list[tuple[float, float]]:
+    """Rising steps ``(margin, probability)`` from counts ``(margin, all, good)``, by pooling adjacent violators."""
+    blocks: list[list[float]] = []  # first margin, all, good
+    for m, n, good in sorted(found):
+        blocks.append([m, n, good])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
+            _, n_, good_ = blocks.pop()
+            blocks[-1][1] += n_
+            blocks[-1][2] += good_
+    return [(m - margin_step / 2, good / n) for m, n, good in blocks]
+
+
 def _parsed(debug: str):
     """A regression tree from the text that Spark prints for it."""
     lines = [x.strip() for x in debug.splitlines() if re.match(r"\s*(If|Else|Predict)", x)]
@@ -258,23 +281,23 @@ def _parsed(debug: str):
 
 
 def examples(docs: DataFrame, carriers: int, text_col: str = "text") -> DataFrame:
-    """``half, label, weight`` and the features: candidates that touch what was planted, equal ones together as one weighted row."""
+    """``half, label, weight`` and the features: candidates that touch a planted span or a decoy, equal ones together as one weighted row."""
     rows = planted(docs, carriers, text_col)
-    rows = rows.select("id", "form", "kind", "spans", "whole", F.explode(candidates(F.col("t"))).alias("c")).where(_touch(F.col("c"), F.col("whole")))
+    rows = rows.select("id", "form", "kind", "spans", "whole", F.explode(candidates(F.col("t"))).alias("c")).where(F.exists(F.when(F.size("spans") > 0, F.col("spans")).otherwise(F.array("whole")), lambda s: _touch(F.col("c"), s)))
     equal = F.exists("spans", lambda s: (s["start"] == F.col("c.start")) & (s["end"] == F.col("c.end"))) & (F.col("c.kind") == F.col("kind"))
     half = F.pmod(mixed_bits(F.col("id"), F.col("form"), seed=77), F.lit(2)).cast("int")
     rows = rows.select(half.alias("half"), equal.cast("double").alias("label"), *(F.col(f"c.{f}").alias(f) for f in FEATURES))
     return rows.groupBy("half", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def fit(docs: DataFrame, precision: float = 0.95, carriers: int = 120, trees: int = 15, depth: int = 4, text_col: str = "text") -> Model:
+def fit(docs: DataFrame, precision: float = 0.95, carriers: int = 60, trees: int = 15, depth: int = 4, text_col: str = "text") -> Model:
     """Trees, their curve and thresholds from what is planted in at most ``carriers`` texts, chosen by a hash.
 
-    Half of the examples grow the trees; on the other half a logistic curve is fitted to the margin and each
-    kind gets the lowest probability from which on at least ``precision`` of the examples are right. An empty
+    Half of the examples grow the trees; on the other half each kind gets its curve from margin to probability,
+    and the lowest probability from which on at least ``precision`` of the examples are right. An empty
     table gives a model that adds nothing; any other one, however small, the same examples for each text.
     """
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     rows = examples(docs, carriers, text_col).coalesce(1).sortWithinPartitions("half", "label", *FEATURES).persist()  # a bounded sample
@@ -285,20 +308,18 @@ def fit(docs: DataFrame, precision: float = 0.95, carriers: int = 120, trees: in
             VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.where("half = 0"))
         )
         model = Model([(float(w), _parsed(t.toDebugString)) for w, t in zip(learned.treeWeights, learned.trees, strict=True)])
-        margin = -F.log(1 / model.probability(F.struct(*FEATURES)) - 1)
-        other = rows.where("half = 1").select("kind", "label", "weight", margin.alias("m"))
-        curve = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1e-4).fit(VectorAssembler(inputCols=["m"], outputCol="x").transform(other))
-        model.slope, model.offset = float(curve.coefficients[0]), float(curve.intercept)
-        p = F.round(1 / (1 + F.exp(-(F.col("m") * model.slope + model.offset))), 3)
+        step = 0.05
+        m = F.round(model.margin(F.struct(*FEATURES)) / step) * step
         by_kind: dict[int, list] = {}
-        for r in other.groupBy("kind", p.alias("p")).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("good")).collect():  # four kinds, 1001 steps at most
-            by_kind.setdefault(r["kind"], []).append((r["p"], r["n"], r["good"]))
+        counts = rows.where("half = 1").groupBy("kind", m.alias("m")).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("good"))
+        for r in counts.collect():  # four kinds, some hundred steps of a margin of some trees
+            by_kind.setdefault(r["kind"], []).append((r["m"], r["n"], r["good"]))
         for kind, found in by_kind.items():
-            n = good = 0.0
-            for at, more, right in sorted(found, reverse=True):
-                n, good = n + more, good + right
-                if good > 0 and good >= precision * n and at >= 0.5:
-                    model.thresholds[kind] = at - 0.0005
+            model.curves[kind] = isotonic(found, step)
+            for cut, p in reversed(model.curves[kind]):
+                above = [(n, good) for at, n, good in found if at >= cut]
+                if p >= 0.5 and sum(g for _, g in above) >= precision * sum(n for n, _ in above):
+                    model.thresholds[kind] = p
         return model
     finally:
         rows.unpersist()

@@ -1,7 +1,7 @@
 """Secret scans: candidates of high recall, and a random forest that removes the false positives.
 
-A candidate is a run of key characters that has a digit, an inner capital or an assignment. The forest
-sees its length, its character transitions (mean and lowest log probability of a letter after another,
+A candidate is a run of 12 key characters or more that has a digit, an inner capital or an assignment, any run
+of 6 or more that is assigned to a word such as password, and any known format. The forest sees its length, its character transitions (mean and lowest log probability of a letter after another,
 counted on all texts, and changes of character class), its dictionary coverage (the share of its letters
 in pieces of four letters that are frequent in all texts' words), its path, and its neighbouring words.
 
@@ -35,9 +35,11 @@ KNOWN = (
 )
 CUES = (b"password", b"passwd", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"access_key", b"auth", b"bearer", b"credential", b"private_key")
 _KNOWN = re.compile(b"|".join(b"(?:" + k + b")" for k in KNOWN)).fullmatch
+_KNOWN_IN = re.compile(b"|".join(KNOWN)).search
 _CUE = re.compile(b"(?i)" + b"|".join(CUES)).search
 _ODD = re.compile(rb"[0-9]|[a-z][A-Z]|[A-Za-z][=:]").search
-_CORE = re.compile(rb"[A-Za-z0-9+/_.~-]{8,}={0,2}").finditer
+_CORE = re.compile(rb"[A-Za-z0-9+/_.~-]{6,}={0,2}").finditer
+_ASSIGNS = re.compile(rb"[=:]\W*$").search
 _HARMLESS = re.compile(rb"[0-9.,:/+()-]+|[^@]*@.*|(?i:https?:|www\.).*|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[A-Za-z]+[.,;:]?|[A-Za-z]{3,}(?:[./_-][A-Za-z0-9]{1,12})+").fullmatch
 _HEX = re.compile(rb"[0-9a-fA-F]+").fullmatch
 _TEST = re.compile(r"(?i)test|example|sample|doc|mock").search
@@ -63,15 +65,21 @@ class Finding:
 
 def findings(text: bytes) -> Iterator[Finding]:
     """Candidates in order, in byte offsets."""
-    words, at = text.split(), 0
+    words, at, low = text.split(), 0, text.lower()
+    cued: set[int] = set()
+    if any(c in low for c in CUES):
+        cued = {i + k for i, w in enumerate(words) if _CUE(w) for k in range(3)}
     for i, w in enumerate(words):
-        if len(w) < 12 or not _ODD(w):
+        long = len(w) >= 12 and (_ODD(w) or _KNOWN_IN(w))
+        if not long and not (i in cued and len(w) >= 6):
             continue
         at = _find(text, words, i, at)
         for m in _CORE(w):
-            core = m.group()
-            if len(core) >= 12 and (re.search(rb"[0-9]|[a-z][A-Z]", core) or re.search(rb"[=:]", w[: m.start()])):
-                yield Finding(at + m.start(), at + m.end(), core, words[max(0, i - 3) : i], words[i + 1] if i + 1 < len(words) else b"", w[: m.start()], w[m.end() :])
+            core, lead = m.group(), w[: m.start()]
+            odd = long and len(core) >= 12 and (re.search(rb"[0-9]|[a-z][A-Z]", core) or re.search(rb"[=:]", lead) or _KNOWN(core))
+            near = b" ".join([*words[max(0, i - 2) : i], lead])
+            if odd or i in cued and _CUE(near) and _ASSIGNS(near):
+                yield Finding(at + m.start(), at + m.end(), core, words[max(0, i - 3) : i], words[i + 1] if i + 1 < len(words) else b"", lead, w[m.end() :])
         at += len(w)
 
 
@@ -89,10 +97,11 @@ def known_label(f: Finding) -> int | None:
     """1 for a known format or a random value that is assigned to a cue, 0 for a known harmless form, else None."""
     if _KNOWN(f.text):
         return 1
-    if _HARMLESS(f.text) or b"@" in f.tail[:1] + f.lead[-1:]:
+    near = b" ".join([*f.before[-2:], f.lead])
+    assigned = _CUE(near) and _ASSIGNS(near)
+    if not assigned and (_HARMLESS(f.text) or b"@" in f.tail[:1] + f.lead[-1:]):
         return 0
-    near = f.lead + b" ".join(f.before[-2:])
-    if _CUE(near) and re.search(rb"[=:]\W*$", near) and len(set(f.text)) >= 8 and re.search(rb"[0-9]", f.text):
+    if assigned and len(set(f.text)) >= min(8, len(f.text) - 2) and re.search(rb"[0-9]", f.text):
         return 1
     return None
 

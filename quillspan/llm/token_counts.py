@@ -1,7 +1,8 @@
 """Token counts of texts in flat, unindexed token files, by a separator scan.
 
 A flat file is the ids of many texts end to end, each followed by an end-of-document id, with no index.
-The file is read in blocks; in each block numpy finds all separators at once. A text may begin in one
+A file is read in fixed byte ranges, each opened at its place by the task that takes it, so one large file is
+read by many tasks; in each range numpy finds all separators at once. A text may begin in one
 block and end in a later one, so the blocks' token counts and last separators are summed up by a prefix
 scan (running sum and running maximum), which gives every block the place of the separator before it.
 The scan runs inside groups of blocks first and then over the groups, so a file of any length is not
@@ -10,78 +11,79 @@ gathered in one task.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.shared import texts, written
+from quillspan.llm.shared import new_place, small_batches, texts, written
 from quillspan.llm.tokens import word_ids
 
 #: Blocks that are summed up within one group of the scan.
 GROUP = 1024
 
 
-def flat_files(docs: DataFrame, tokenizer: str, end_id: int, dtype: str = "<u2", block: int = 65536, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Writes the ids of all texts as flat files, one for each partition, held as blocks in a shared table.
+def _local(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith(("file:", "/")) else os.path.abspath(path))
 
-    Returns the blocks ``file, block, payload`` and the writer's list ``file, ordinal, doc_id``. Null and
-    empty texts are a separator alone. Special tokens' strings in a text are ordinary text, so the end id
-    never occurs inside one.
+
+def write_flat_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the ids of all texts as flat files of raw numbers, one for each task, and returns the list ``file, bytes, ordinal, doc_id``.
+
+    Null and empty texts are a separator alone. Special tokens' strings in a text are ordinary text, so the
+    end id never occurs inside one. A task that runs again writes a file of a new name; only files on the list count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_ids(tokenizer, dtype, False).ids, np.asarray([end_id], dtype).tobytes()
-        file, width, held, seen, at = TaskContext.get().partitionId(), block * np.dtype(dtype).itemsize, b"", 0, 0
-
-        def rows(blocks: list, ids: list) -> pa.RecordBatch:
-            n, m = len(blocks), len(ids)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([file] * (n + m), pa.int64()),
-                    pa.array([*range(at, at + n), *[None] * m], pa.int64()),
-                    pa.array([*blocks, *[None] * m], pa.binary()),
-                    pa.array([*[None] * n, *range(seen, seen + m)], pa.int64()),
-                    pa.array([*[None] * n, *ids], pa.int64()),
-                ],
-                ["file", "block", "payload", "ordinal", "doc_id"],
-            )
-
-        for batch in batches:
-            for part, found in texts(batch, "text"):
-                flow = held + b"".join(x for text in found for x in (encode(text), end))
-                cut = len(flow) - len(flow) % width
-                blocks, held = [flow[i : i + width] for i in range(0, cut, width)], flow[cut:]
-                ids = part.column("doc_id").to_pylist()
-                yield rows(blocks, ids)
-                at, seen = at + len(blocks), seen + len(ids)
-        if held:
-            yield rows([held], [])
-
-    both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    both = written(both.mapInArrow(run, "file long, block long, payload binary, ordinal long, doc_id long"), "flat")
-    return both.where("block is not null").select("file", "block", "payload"), both.where("ordinal is not null").select("file", "ordinal", "doc_id")
-
-
-def read_flat_files(spark: SparkSession, path: str, dtype: str = "<u2", block: int = 65536) -> DataFrame:
-    """Blocks ``file, block, payload`` of flat files in any store that Spark reads; a file's path is its name.
-
-    A task holds one whole file while it is cut, so files should be some hundred MB at most.
+        store, base = _local(folder)
+        store.create_dir(base, recursive=True)
+        name, seen, size = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bin", 0, 0
+        kinds = {"file": pa.string(), "bytes": pa.int64(), "ordinal": pa.int64(), "doc_id": pa.int64()}
+        with store.open_output_stream(f"{base}/{name}") as out:
+            for batch in batches:
+                for part, found in texts(batch, "text"):
+                    flow = b"".join(x for text in found for x in (encode(text), end))
+                    out.write(flow)
+                    n, size = part.num_rows, size + len(flow)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.nulls(n, pa.int64()), pa.array(range(seen, seen + n), pa.int64()), part.column("doc_id")], list(kinds))
+                    seen += n
+        yield pa.RecordBatch.from_pylist([{"file": name, "bytes": size}], pa.schema(list(kinds.items())))
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return written(small_batches(own).mapInArrow(run, "file string, bytes long, ordinal long, doc_id long"), "flat-list")
+
+
+def read_ranges(files: DataFrame, folder: str = "", dtype: str = "<u2", block: int = 1 << 21) -> DataFrame:
+    """Blocks ``file, block, payload`` of ``file, bytes``, in ranges of ``block`` ids of any store that Arrow opens.
+
+    ``folder`` stands before a file's name. Each range is a row of its own that is dealt out and read by
+    itself, so no task holds more than a range, however large a file is. Empty files give no rows.
     """
     width = block * np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                view = memoryview(content.as_buffer())
-                for i in range(0, len(view), width):
-                    yield pa.RecordBatch.from_pydict({"file": [name.as_py()], "block": pa.array([i // width], pa.int64()), "payload": pa.array([bytes(view[i : i + width])], pa.binary())})
+            for name, n in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                store, path = _local(f"{folder}/{name}" if folder else name)
+                with store.open_input_file(path) as f:
+                    payload = f.read_at(width, n * width)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([payload], pa.binary())], ["file", "block", "payload"])
+
+    ranges = files.where("bytes > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(bytes - 1) div {width}"))).alias("block"))
+    tasks = 4 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(tasks, "file", "block").mapInArrow(run, "file string, block long, payload binary")
+
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, block long, payload binary")
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, bytes`` of the files under a path, in any store that Spark lists; contents are not read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
 
 
 def separator_scan(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFrame:
@@ -131,11 +133,12 @@ def separator_scan(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFr
     return ended.unionByName(rest.select("file", "ordinal", "start", (F.col("all") - F.col("start")).alias("n_tokens"), F.lit(False).alias("ended")))
 
 
-def document_token_counts(docs: DataFrame, tokenizer: str, end_id: int, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, file, ordinal, start, n_tokens``, a row for each row of ``docs``: its tokens as the scan counts them.
+def document_token_counts(docs: DataFrame, tokenizer: str, end_id: int, dtype: str = "<u2", block: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, file, ordinal, start, n_tokens``, a row for each row of ``docs``: its tokens as the scan of the flat files counts them.
 
     Repeated rows and null ids are counted each for itself; other columns are ignored.
     """
-    blocks, listed = flat_files(docs, tokenizer, end_id, dtype, id_col=id_col, text_col=text_col)
-    counts = separator_scan(blocks, end_id, dtype)
-    return listed.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    folder = new_place(docs.sparkSession, "flat")
+    found = write_flat_files(docs, folder, tokenizer, end_id, dtype, id_col, text_col)
+    counts = separator_scan(read_ranges(found.where("bytes is not null").select("file", "bytes"), folder, dtype, block), end_id, dtype)
+    return found.where("ordinal is not null").join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
