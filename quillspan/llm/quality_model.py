@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.document_stats import N_FEATURES, Stats
-from quillspan.llm.shared import mixed_bits, remainder, texts
+from quillspan.llm.shared import mixed_bits, remainder, small_batches, texts
 from quillspan.llm.trees import Forest, boosted
 
 FEATURES = [f"f{i}" for i in range(N_FEATURES)]
@@ -63,4 +63,4 @@ def score(docs: DataFrame, model: Forest, folds: int = 5, held_out: int = 0, thr
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(model.probability(_features(found)))], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, folds) == held_out).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return small_batches(rows).mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.document_stats import Stats
-from quillspan.llm.shared import texts
+from quillspan.llm.shared import small_batches, texts
 
 
 class Rule(NamedTuple):
@@ -90,7 +90,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
 
     names = ["doc_id", *numbers, *["base_failed"] * counts, "kept", "rejected_by"]
     schema = "doc_id long" + "".join(f", {n} long" for n in numbers) + ", base_failed boolean" * counts + ", kept boolean, rejected_by string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
 
 
 ORACLE = r"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.shared import mixed_bits, texts, written
+from quillspan.llm.shared import mixed_bits, small_batches, texts, written
 from quillspan.llm.trees import Forest, random_forest
 
 # Public formats of credentials, and words that stand before one.
@@ -144,7 +144,7 @@ def language(docs: DataFrame, text_col: str = "text", least: float = 2e-6) -> La
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["piece", "n"])
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    counted = small_batches(docs.select(F.col(text_col).alias("text"))).mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(size)
     n[counted["piece"].to_numpy(int)] = counted["n"].to_numpy(float)
     cube = n.reshape([N_CLASSES] * 4)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.quality_model import labelled_rows
-from quillspan.llm.shared import remainder, texts, written
+from quillspan.llm.shared import remainder, small_batches, texts, written
 from quillspan.llm.trees import Forest, boosted
 
 #: Letters of the model: a gap, any other sign, a to z, and the small letters of Latin-1.
@@ -77,7 +77,7 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return small_batches(docs.select(F.col(text_col).alias("text"))).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def language_model(counts: DataFrame) -> np.ndarray:
