@@ -46,9 +46,14 @@ def normalize_for_match(text: Column) -> Column:
     return F.lower(without_blanks(nfkc(text)))
 
 
+def matched_word(word: str) -> str:
+    """A word as ``normalize_for_match`` leaves it."""
+    return re.sub(r"\s+", "", unicodedata.normalize("NFKC", word)).lower()
+
+
 def is_blank_or_placeholder(text: Column, words: list[str]) -> Column:
     """Whether nothing or only one of the placeholder words is there."""
-    known = sorted({re.sub(r"\s+", "", unicodedata.normalize("NFKC", w)).lower() for w in words})
+    known = sorted(set(map(matched_word, words)))
     own = normalize_for_match(text)
     return (own == "") | own.isin(known) if known else own == ""
 
@@ -60,15 +65,24 @@ def clean_branch_name(text: Column, prefix: str) -> Column:
     return strip(F.regexp_replace(own, f"(?i){brand}", ""))
 
 
-def count_effective_chars(text: Column, decoration: str = r"・,.:;!?\-_*#=~\"'()\[\]<>|/") -> Column:
+DECORATION = r"・,.:;!?\-_*#=~\"'()\[\]<>|/"
+
+
+def count_plain_chars(text: Column, decoration: str = DECORATION) -> Column:
+    """Code points that are neither blank nor decoration, of a text that is normalised already."""
+    return F.length(F.regexp_replace(text, f"[{BLANK}{decoration}]", ""))
+
+
+def count_effective_chars(text: Column, decoration: str = DECORATION) -> Column:
     """Code points that are neither blank nor decoration."""
-    return F.length(F.regexp_replace(nfkc(text), f"[{BLANK}{decoration}]", ""))
+    return count_plain_chars(nfkc(text), decoration)
 
 
 def is_demo_name(name: Column, family: str, full: str) -> Column:
-    """The family name is the demo word, or the name without blanks starts with the demo name."""
+    """The family name is the demo word, or the name without blanks starts with the demo name; an empty word matches nothing."""
     own = normalize_text(name)
-    return (F.split(own, f"[{BLANK}]+")[0] == family) | without_blanks(own).startswith(full)
+    first = (F.split(own, f"[{BLANK}]+")[0] == family) if family else F.lit(False)
+    return first | without_blanks(own).startswith(full) if full else first
 
 
 def split_id_name(text: Column, detail: bool = False) -> Column:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import BLANK, strip
 
+#: Decimal digits of all scripts but ASCII, and what they stand for.
+_DIGITS = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+_WIDE, _PLAIN = "".join(_DIGITS) + "／．－", "".join(str(unicodedata.digit(c)) for c in _DIGITS) + "/.-"
 _DAY = r"([0-9]{4})[/.\-]([0-9]{1,2})[/.\-]([0-9]{1,2})"
 
 
 def parse_date(text: Column) -> Column:
-    """The first ``Y/M/D`` anywhere, also with points or hyphens; an impossible day is null."""
-    own = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{BLANK}]+", ""), "０１２３４５６７８９／．－", "0123456789/.-")
+    """The first ``Y/M/D`` anywhere, also with points or hyphens and in any script's digits; an impossible day is null."""
+    own = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{BLANK}]+", ""), _WIDE, _PLAIN)
     part = [F.regexp_extract(own, _DAY, i) for i in (1, 2, 3)]
     return F.try_to_date(F.concat_ws("-", part[0], F.lpad(part[1], 2, "0"), F.lpad(part[2], 2, "0")), "yyyy-MM-dd")
 
@@ -51,7 +57,11 @@ def pct(part: Column, total: Column) -> Column:
     return F.when(total > 0, F.bround(part / total * 100, 1))
 
 
+def number_text(value: Column, missing: str = "-") -> Column:
+    """A number as text, whole ones without a decimal."""
+    return F.coalesce(F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string")), F.lit(missing))
+
+
 def pct_text(part: Column, total: Column, missing: str = "-") -> Column:
     """The percentage as text, whole numbers without a decimal."""
-    value = pct(part, total)
-    return F.coalesce(F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string")), F.lit(missing))
+    return number_text(pct(part, total), missing)

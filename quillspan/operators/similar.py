@@ -17,6 +17,20 @@ def char_ngrams(text: Column, n: int = 2) -> Column:
     return F.when(F.length(text) < n, F.array(text)).otherwise(F.transform(F.array(F.split(text, "")), grams)[0])
 
 
+def gram_numbers(text: Column, n: int = 2) -> Column:
+    """``char_ngrams`` as numbers, one for each: its code points in base 2**21 for up to two, else a 64-bit hash."""
+
+    def grams(c: Column) -> Column:
+        def one(i: Column) -> Column:
+            points = [F.get(c, i + k) for k in range(n)]
+            return points[0] if n == 1 else F.shiftleft(points[0], 21) + points[1] if n == 2 else F.xxhash64(*points)
+
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), one))
+
+    points = F.transform(F.split(text, ""), lambda x: F.ascii(x).cast("long"))
+    return F.when(F.length(text) < n, F.array(F.xxhash64(text))).otherwise(F.transform(F.array(points), grams)[0])
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """The shared part of two sets; 1 if both are empty."""
     both = F.size(F.array_intersect(a, b))
@@ -36,7 +50,7 @@ def similar_pairs(texts: DataFrame, short: int = 15, n: int = 2) -> DataFrame:
     only texts that meet in a prefix gram, and whose sizes fit, are compared. The join is on author and
     gram, so one common author is spread over its grams. ``texts`` has ``author, t``.
     """
-    long = texts.where(F.length("t") >= short).select("author", "t", F.xxhash64("author", "t").alias("id"), char_ngrams(F.col("t"), n).alias("set"))
+    long = texts.where(F.length("t") >= max(short, n)).select("author", "t", F.xxhash64("author", "t").alias("id"), gram_numbers(F.col("t"), n).alias("set"))
     grams = long.select("author", "id", F.size("set").alias("n"), F.explode("set").alias("g"))
     counts = grams.groupBy("author", "g").agg(F.count(F.lit(1)).alias("c"))
     ordered = grams.join(counts, ["author", "g"]).groupBy("author", "id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("o"))

@@ -14,7 +14,7 @@ from quillspan.operators import backfill, order, similar, state, summary
 from quillspan.operators import progress as P
 from quillspan.plans import reports as R
 from quillspan.plans import roles
-from quillspan.plans.roles import pct_sql, read
+from quillspan.plans.roles import num_sql, pct_sql, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,15 +38,21 @@ _RATES = ", ".join(f"{pct_sql(n, 'units')} as {n}_rate" for n in ("executed", "o
 _DATE = "coalesce(strftime({0}, '%Y/%m/%d'), '-') as {0}"
 
 
-@query(roles.SQL + f"""select page_key, coalesce(nullif(classroom, ''), 'unknown') as classroom, student_id, student_name, grade, division, subject, target_no, target_name,
-  {_DATE.format('start_date')}, {_DATE.format('end_date')}, progress_delay, units, executed, on_time, before, after, not_executed, {_RATES}, {_DATE.format('latest')}, coalesce(textbooks, '-') as textbooks
-  from progress join overview using (page_key)""")
+_STUDENT = "coalesce(nullif(classroom, ''), 'unknown') as classroom, student_id, grade, student_name, division, subject"
+
+
+@query(roles.SQL + f"""select {_STUDENT}, target_no, target_name, progress_delay, {_DATE.format('start_date')}, {_DATE.format('end_date')}, coalesce(period_text, '-') as period_text, is_current,
+  coalesce(textbooks, '-') as textbooks, target_score, coalesce(current_score, '-') as current_score, units, executed, on_time, before, after, not_executed, {_RATES}, {_DATE.format('latest')} from progress join overview using (page_key)""")
 def report_progress(s, d):
     return R.report_progress(roles.overview(s, d), _progress(s, d))
 
 
-@query(roles.SQL + f"""select page_key, coalesce(nullif(classroom, ''), 'unknown') as classroom, student_id, row_no, unit_name, textbook, {_DATE.format('exec_date')}, {pct_sql('score', 'max_score')} as score_rate,
-  target_no, coalesce(target_name, '-') as target_name, {_DATE.format('start_date')}, {_DATE.format('end_date')}, coalesce(progress_delay, 'OK') as progress_delay, timing from timed join overview using (page_key)""")
+_UNITS = f"""select {_STUDENT}, target_no, coalesce(target_name, '-') as target_name, coalesce(progress_delay, 'OK') as progress_delay, {_DATE.format('start_date')}, {_DATE.format('end_date')}, unit_name, middle_unit, textbook,
+  problem_code, {_DATE.format('exec_date')}, timing, exec_date is not null as executed, {num_sql('score')} as score, {num_sql('max_score')} as max_score, {pct_sql('score', 'max_score')} as score_rate, coalesce(today_textbook, '-') as today_textbook,
+  division_text, confirm_test from timed join overview using (page_key)"""
+
+
+@query(roles.SQL + _UNITS)
 def report_unit_detail(s, d):
     return R.report_units(roles.units(s, d), roles.overview(s, d), roles.targets(s, d))
 
@@ -68,7 +74,7 @@ def progress_consistency(s, d):
 
 
 @query(roles.SQL + """, late as (select page_key, string_agg(target_name, ', ' order by seq) as delayed from targets where progress_delay <> 'OK' group by 1)
-  select page_key, coalesce(nullif(classroom, ''), 'unknown') as classroom, student_name, coalesce(delayed, '-') as delayed, coalesce(severity, '-') as severity,
+  select coalesce(nullif(classroom, ''), 'unknown') as classroom, student_name, subject, coalesce(delayed, '-') as delayed, coalesce(severity, '-') as severity,
     coalesce(nullif(array_to_string(case when len(fix_items) > 0 then fix_items else list_concat(errors, warnings) end, '; '), ''), '-') as reasons
   from overview left join late using (page_key) left join findings using (page_key) where delayed is not null or coalesce(severity, 'PASS') <> 'PASS'""")
 def report_attention(s, d):
@@ -80,9 +86,12 @@ def delayed_targets(s, d):
     return P.delayed_targets(roles.targets(s, d))
 
 
-@query(roles.SQL + """select page_key, severity, coalesce(nullif(classroom, ''), 'unknown') as classroom, coalesce(nullif(array_to_string(errors, chr(10)), ''), '-') as errors,
-  coalesce(nullif(array_to_string(warnings, chr(10)), ''), '-') as warnings, coalesce(nullif(array_to_string(reviews, chr(10)), ''), '-') as reviews, coalesce(nullif(array_to_string(fix_items, chr(10)), ''), '-') as fix_items
-  from findings join overview using (page_key)""")
+_FINDINGS = f"""select {_STUDENT}, severity, coalesce(nullif(array_to_string(fix_items, chr(10)), ''), '-') as fix_items, coalesce(nullif(array_to_string(errors, chr(10)), ''), '-') as errors,
+  coalesce(nullif(array_to_string(warnings, chr(10)), ''), '-') as warnings, author, coalesce(school, '-') as school, findings.textbook, coalesce(plan, '-') as plan, '-' as student, '-' as test, '-' as homework, coalesce(loose, '-') as unclassified
+  from findings join overview using (page_key)"""
+
+
+@query(roles.SQL + _FINDINGS)
 def report_findings(s, d):
     return R.report_findings(roles.findings(s, d), roles.overview(s, d))
 
@@ -105,9 +114,11 @@ def report_summary(s, d):
     return R.report_summary(_progress(s, d).join(pages, "page_key"), found)
 
 
-@query("select page_id::varchar as page_key, case when contains(url, '0') then 'detail' else 'lesson' end as kind, url, case when length(h) > 2000 then substr(h, 1, 2000) || '...[cut]' else h end as html from (select page_id, url, regexp_replace(html, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') as h from pages)")
+@query("""select url, '-' as fetched_at, case when contains(url, '0') then 'detail' else 'lesson' end as kind, case when length(h) > 32000 then substr(h, 1, 32000) || '...[cut]' else h end as html,
+  case when page_id % 4 = 0 then '-' else 'fetched' end as status, case when page_id % 5 = 0 then 'timeout' else '-' end as error from (select page_id, url, regexp_replace(html, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') as h from pages)""")
 def report_raw_pages(s, d):
-    return R.report_raw_pages(read(s, d, "pages").withColumn("page_key", F.col("page_id").cast("string")), most=2000, detail_part="0")
+    own = {"fetched_at": F.lit(None).cast("timestamp"), "status": F.when(F.col("page_id") % 4 > 0, "fetched"), "error": F.when(F.col("page_id") % 5 == 0, "timeout")}
+    return R.report_raw_pages(read(s, d, "pages").withColumns(own), detail_part="0")
 
 
 @query(roles.SQL + "select page_key, row_no, unit_name, student_id, classroom from units join overview using (page_key)")
@@ -202,6 +213,20 @@ def copied_texts(s, d):
     return similar.flag_similar(read(s, d, "documents"), "source", "text").select("doc_id", "copied")
 
 
+@query(_SIMILAR.replace("from documents group by all", "from documents where lang <> 'fr' group by all") + """, e as (select author, a as t, b as o from q union all select author, b, a from q),
+  n as (select e.author, e.t, sum(copies) as near from e join t on t.author = e.author and t.t = e.o group by all),
+  f as (select t.author, t.t from t left join n using (author, t) where t.copies - 1 + coalesce(near, 0) >= 2 and length(t.t) >= 3),
+  g2 as (select author, t from f union select e.author, e.o from e join f on f.author = e.author and f.t = e.t),
+  k as (select doc_id, lang <> 'fr' and g2.t is not null as copied from documents left join g2 on g2.author = upper(source) and g2.t = regexp_replace(text, '\\s', '', 'g'))
+  select doc_id, copied, case when copied and doc_id % 3 > 0 then 'WARNING' when doc_id % 3 > 0 then 'PASS' else 'ERROR' end as severity,
+    case when doc_id % 2 = 0 then case when copied then 'old,looks_copied' else 'old' end when copied then 'looks_copied' else '' end as warnings, case when copied then 'rewrite in own words' else '' end as fix_items from k""")
+def copied_findings(s, d):
+    k, none = F.col("doc_id"), F.array().cast("array<string>")
+    own = read(s, d, "documents").withColumns({"severity": F.when(k % 3 > 0, "PASS").otherwise("ERROR"), "warnings": F.when(k % 2 == 0, F.array(F.lit("old"))).otherwise(none), "fix_items": none})
+    out = similar.flag_similar(own, "source", "text", exclude=F.col("lang") == "fr")
+    return out.select("doc_id", "copied", "severity", F.array_join("warnings", ",").alias("warnings"), F.array_join("fix_items", ",").alias("fix_items"))
+
+
 @query("""with w as (select doc_id, list_distinct(list_transform(range(1, greatest(length(lang || source), 2)), lambda i: substr(lang || source, i, 2))) as a, list_distinct(list_transform(range(1, greatest(length(source), 2)), lambda i: substr(source, i, 2))) as b from documents)
   select doc_id, len(a)::int as n_grams, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) as jaccard from w""")
 def ngram_jaccard(s, d):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.keys import curriculum_key
+from quillspan.functions.values import is_current
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The day on which targets are looked at.
+TODAY = "1996-01-01"
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three targets for each page: the first year, the second, and one without a period."""
     seq = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
@@ -32,6 +37,9 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_key", "order_key", "seq", F.concat(F.lit("T"), F.col("seq")).alias("target_no"), F.concat(F.lit("target "), F.col("seq")).alias("target_name"),
         F.when(F.col("seq") < 3, F.expr("date_add(order_date, (seq - 1) * 366)")).alias("start_date"), F.when(F.col("seq") < 3, F.expr("date_add(order_date, (seq - 1) * 366 + 366 - seq)")).alias("end_date"),
         F.when((F.col("order_key") + F.col("seq")) % 5 == 0, "DELAY").otherwise("OK").alias("progress_delay"),
+        (F.col("order_key") % 60 + 40).cast("string").alias("target_score"), F.when(F.col("order_key") % 4 > 0, (F.col("order_key") % 50).cast("string")).alias("current_score"),
+    ).withColumns(
+        {"is_current": is_current(F.lit(TODAY).cast("date"), F.col("start_date"), F.col("end_date")), "period_text": F.concat(F.date_format("start_date", "yyyy/MM/dd"), F.lit(" ~ "), F.date_format("end_date", "yyyy/MM/dd"))}
     )
 
 
@@ -45,7 +53,8 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = F.create_map(F.lit("T1"), F.col("l_linenumber") % 2 == 1, F.lit("T2"), F.col("l_quantity") > 25, F.lit("T3"), F.col("l_discount") >= 0.05)
     return l.select(
         "page_key", "row_no", F.col("p_name").alias("unit_name"), F.col("p_brand").alias("textbook"), F.when(F.col("l_returnflag") != "N", F.to_date("l_shipdate")).alias("exec_date"),
-        F.col("l_quantity").alias("score"), F.lit(50.0).alias("max_score"), checks.alias("target_checks"),
+        F.col("l_quantity").alias("score"), F.lit(50.0).alias("max_score"), checks.alias("target_checks"), F.col("p_type").alias("middle_unit"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("problem_code"),
+        F.when(F.col("l_linenumber") == 1, F.col("p_brand")).alias("today_textbook"), F.lit("home").alias("division_text"), F.col("l_linestatus").alias("confirm_test"),
     )
 
 
@@ -70,7 +79,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.select(
         F.col("doc_id").alias("order_key"),
         pick(F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("n_chars") < 200, "short")).alias("errors"), pick(F.when(F.col("quality") == 0, "poor"), F.when(F.col("lang") != "en", "foreign")).alias("warnings"),
-        pick(F.when(F.col("n_chars") > 8000, "long")).alias("reviews"), pick(F.when(F.col("toxic") == 1, "soften"), F.when(F.col("n_chars") < 200, "extend")).alias("fix_items"),
+        F.map_filter(F.create_map(*(x for k, v in (("author", F.col("source")), ("textbook", F.col("lang")), ("plan", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("plan "), F.col("doc_id")))), ("school", F.when(F.col("doc_id") % 3 == 0, "high"))) for x in (F.lit(k), v))), lambda _, v: v.isNotNull()).alias("sections"),
+        F.when(F.col("doc_id") % 5 == 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>")).alias("unclassified"), pick(F.when(F.col("n_chars") > 8000, "long")).alias("reviews"), pick(F.when(F.col("toxic") == 1, "soften"), F.when(F.col("n_chars") < 200, "extend")).alias("fix_items"),
     )
     severity = F.when(F.size("errors") > 0, "ERROR").when(F.size("reviews") > 0, "REVIEW").when(F.size("warnings") > 0, "WARNING").otherwise("PASS")
     return d.withColumn("severity", severity).join(overview(spark, sf_dir).select("page_key", "order_key"), "order_key").drop("order_key")
@@ -85,16 +95,17 @@ with overview as (
 targets as (
   select page_key, order_key, seq, 'T' || seq as target_no, 'target ' || seq as target_name,
     case when seq < 3 then order_date + (seq - 1) * 366 end as start_date, case when seq < 3 then order_date + ((seq - 1) * 366 + 366 - seq) end as end_date,
-    case when (order_key + seq) % 5 = 0 then 'DELAY' else 'OK' end as progress_delay
+    case when (order_key + seq) % 5 = 0 then 'DELAY' else 'OK' end as progress_delay, (order_key % 60 + 40)::varchar as target_score, case when order_key % 4 > 0 then (order_key % 50)::varchar end as current_score,
+    coalesce(date '1996-01-01' between start_date and end_date, false) as is_current, strftime(start_date, '%Y/%m/%d') || ' ~ ' || strftime(end_date, '%Y/%m/%d') as period_text
   from overview, (values (1), (2), (3)) v(seq)),
 line as (
   select *, row_number() over (partition by l_orderkey order by l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as row_no from lineitem),
 units as (
   select page_key, row_no::int as row_no, p_name as unit_name, p_brand as textbook, case when l_returnflag <> 'N' then l_shipdate::date end as exec_date, l_quantity as score, 50.0::double as max_score,
-    l_linenumber % 2 = 1 as t1, l_quantity > 25 as t2, l_discount >= 0.05 as t3
+    p_type as middle_unit, 'p' || l_partkey as problem_code, case when l_linenumber = 1 then p_brand end as today_textbook, 'home' as division_text, l_linestatus as confirm_test, l_linenumber % 2 = 1 as t1, l_quantity > 25 as t2, l_discount >= 0.05 as t3
   from line join part on l_partkey = p_partkey join overview on l_orderkey = order_key),
 assigned as (
-  select page_key, row_no, unit_name, textbook, exec_date, score, max_score, unnest(case when t1 or t2 or t3 then list_filter([case when t1 then 'T1' end, case when t2 then 'T2' end, case when t3 then 'T3' end], lambda x: x is not null) else ['-'] end) as target_no from units),
+  select page_key, row_no, unit_name, textbook, exec_date, score, max_score, middle_unit, problem_code, today_textbook, division_text, confirm_test, unnest(case when t1 or t2 or t3 then list_filter([case when t1 then 'T1' end, case when t2 then 'T2' end, case when t3 then 'T3' end], lambda x: x is not null) else ['-'] end) as target_no from units),
 timed as (
   select a.*, t.target_name, t.start_date, t.end_date, t.progress_delay,
     case when t.target_no is null then case when exec_date is null then 'not_executed' else 'on_time' end when exec_date is null then 'not_executed' when start_date is null or end_date is null then 'undecided'
@@ -111,14 +122,19 @@ progress as (
     coalesce(not_executed, 0)::int as not_executed, latest, textbooks
   from targets t left join counts using (page_key, target_no) left join books using (page_key, target_no)),
 findings as (
-  select page_key, errors, warnings, reviews, fix_items, case when len(errors) > 0 then 'ERROR' when len(reviews) > 0 then 'REVIEW' when len(warnings) > 0 then 'WARNING' else 'PASS' end as severity
-  from (select doc_id, list_filter([case when toxic = 1 then 'toxic' end, case when n_chars < 200 then 'short' end], lambda x: x is not null) as errors,
+  select page_key, errors, warnings, reviews, fix_items, source as author, lang as textbook, case when doc_id % 2 = 0 then 'plan ' || doc_id end as plan, case when doc_id % 3 = 0 then 'high' end as school, case when doc_id % 5 = 0 then lang || chr(10) || source end as loose,
+    case when len(errors) > 0 then 'ERROR' when len(reviews) > 0 then 'REVIEW' when len(warnings) > 0 then 'WARNING' else 'PASS' end as severity
+  from (select doc_id, source, lang, list_filter([case when toxic = 1 then 'toxic' end, case when n_chars < 200 then 'short' end], lambda x: x is not null) as errors,
       list_filter([case when quality = 0 then 'poor' end, case when lang <> 'en' then 'foreign' end], lambda x: x is not null) as warnings, list_filter([case when n_chars > 8000 then 'long' end], lambda x: x is not null) as reviews,
       list_filter([case when toxic = 1 then 'soften' end, case when n_chars < 200 then 'extend' end], lambda x: x is not null) as fix_items
     from documents left join labels using (doc_id)) join overview on order_key = doc_id)
 """
 
 
+def num_sql(v: str) -> str:
+    return f"coalesce(case when {v} = floor({v}) then {v}::bigint::varchar else {v}::varchar end, '-')"
+
+
 def pct_sql(a: str, b: str) -> str:
     v = f"round_even({a} / {b} * 100, 1)"
     return f"case when {b} > 0 then case when {v} = floor({v}) then {v}::bigint::varchar else {v}::varchar end else '-' end"

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from quillspan.functions.text import clean_branch_name
 from quillspan.operators import rules, sections, state
 from quillspan.operators import progress as P
-from quillspan.plans import html_roles, roles
-from quillspan.plans.queries import query
+from quillspan.plans import html_roles, jobs, reports, roles
+from quillspan.plans.queries import _FINDINGS, _UNITS, query
 from quillspan.plans.roles import read
-from quillspan.schemas import PAGES
+from quillspan.schemas import PAGES, STORE
 from quillspan.sources import html as H
 from quillspan.sources.scratch import scratch
-from quillspan.streaming.upserts import Snapshots, page_updates, stream_merge
+from quillspan.sources.store import publish_reports, read_store, write_store
+from quillspan.streaming.upserts import Snapshots, page_updates, stream_merge, stream_parsed
 
 _SECTIONS = (
     "with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents where text is not null), "
@@ -54,6 +55,9 @@ def _rule_sql() -> str:
     doubt = f"(not {blank['school']} and (contains(m_school, 'ion') or contains(m_school, 'unknown')))"
     no_type, goal = f"(not {blank['school']} and not {doubt} and not contains(m_school, 'th'))", f"(seasonal and {blank['goal']})"
     listed = lambda xs: "list_filter([" + ", ".join(f"case when {c} then '{i}' end" for i, c in xs) + "], lambda x: x is not null)"
+    has = lambda i, fix, of="errors": f"case when list_contains({of}, '{i}') then '{fix}' end"
+    fixes = ", ".join([*(has(f"{n}_missing", f"add the section {n}") for n in _NAMES[:6]), has("textbook_status", "state how far the textbook is"), *(has(f"{n}_short", f"write more on {n}") for n in ("plan", "student")),
+        "case when list_has_any(errors, ['school_last_year', 'school_public', 'school_exam']) then 'name the school' end", has("school_uncertain", "settle the school", "reviews"), has("course_count", "state the number of lessons")])
     pivot = ", ".join(f"coalesce(max(text) filter (name = '{n}'), '') as m_{n}" for n in _NAMES)
     return (
         _SECTIONS + f", m as (select doc_id, {pivot}, coalesce(max(1) filter (name = ''), 0) = 1 as loose from s group by 1), "
@@ -61,6 +65,7 @@ def _rule_sql() -> str:
         f"e as (select doc_id, none, loose, {listed(errors)} as errors, {listed([('school_uncertain', doubt)])} as reviews, {listed([('school_no_type', no_type), ('course_goal', goal)])} as w from k), "
         "f as (select *, case when loose and len(errors) + len(reviews) + len(w) > 0 then list_append(w, 'unclassified') when loose then ['unclassified_info'] else w end as warnings from e) "
         "select doc_id, case when none then 'blank' else array_to_string(errors, ',') end as errors, case when none then '' else array_to_string(reviews, ',') end as reviews, case when none then '' else array_to_string(warnings, ',') end as warnings, "
+        "case when none then 'write a text' else array_to_string(list_filter([" + fixes + "], lambda x: x is not null), ',') end as fix_items, "
         "case when none then 'CRITICAL' when len(errors) > 0 then 'ERROR' when len(reviews) > 0 then 'REVIEW' when len(warnings) > 0 then 'WARNING' else 'PASS' end as severity from f"
     )
 
@@ -68,30 +73,40 @@ def _rule_sql() -> str:
 @query(_rule_sql())
 def note_rules(s, d):
     n = roles.notes(s, d).withColumn("x", sections.sections_column(F.col("text"), roles.ALIASES)).select("*", "x.*")
-    own = rules.section_rules(F.col("sections"), F.col("unclassified"), F.col("grade"), F.col("course"), F.col("division"), roles.WORDS, {"plan": 5, "student": 3})
-    return rules.evaluate_rules(n, own, "text").select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("errors", "reviews", "warnings")), "severity")
+    n = rules.section_facts(n, "sections", roles.WORDS)
+    own = rules.section_rules(F.col("facts"), F.col("unclassified"), F.col("grade"), F.col("course"), F.col("division"), roles.WORDS, {"plan": 5, "student": 3})
+    return rules.evaluate_rules(n, own, "text").select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("errors", "reviews", "warnings", "fix_items")), "severity")
 
 
-@query(roles.SQL + "select page_index, (row_number() over (partition by page_index order by row_index) - 1)::int as row_index, grade, division, subject, student_id || ' ' || student_name as student, '/detail?k=' || page_key as detail_url from overview")
+#: The demo student of the listing.
+DEMO = "Customer#000000001"
+
+
+@query(roles.SQL + f"""select * from (select page_index, (row_number() over (partition by page_index order by row_index) - 1)::int as row_index, grade, division, subject, student_id, student_name, '/detail?k=' || page_key as detail_url from overview) where student_name <> '{DEMO}'""")
 def html_listing(s, d):
-    parsed = H.parse_list_pages(html_roles.listing_pages(roles.overview(s, d)))
-    return parsed.select("page_index", "row_index", "grade", "division", "subject", "student", "detail_url")
+    parsed = H.parse_list_pages(html_roles.listing_pages(roles.overview(s, d)), demo=(DEMO, ""))
+    return parsed.select("page_index", "row_index", "grade", "division", "subject", "student_id", "student_name", "detail_url")
 
 
 def _parsed(s: SparkSession, d: str) -> DataFrame:
     return H.parse_detail_pages(html_roles.detail_pages(roles.overview(s, d), roles.targets(s, d), roles.units(s, d)))
 
 
-@query(roles.SQL + "select page_key, (seq - 1)::int as seq, target_no, target_name, strftime(start_date, '%Y/%m/%d') as start_text, strftime(end_date, '%Y/%m/%d') as end_text, coalesce(date '1996-01-01' between start_date and end_date, false) as is_current, progress_delay from targets")
+@query(roles.SQL + "select page_key, (seq - 1)::int as seq, target_no, target_name, strftime(start_date, '%Y/%m/%d') as start_text, strftime(end_date, '%Y/%m/%d') as end_text, is_current, progress_delay, target_score, coalesce(current_score, '') as current_score from targets")
 def html_targets(s, d):
     t = H.explode_targets(_parsed(s, d), F.lit("1996-01-01").cast("date"))
-    return t.select("page_key", "seq", "target_no", "target_name", *(F.date_format(f"{x}_date", "yyyy/MM/dd").alias(f"{x}_text") for x in ("start", "end")), "is_current", "progress_delay")
+    return t.select("page_key", "seq", "target_no", "target_name", *(F.date_format(f"{x}_date", "yyyy/MM/dd").alias(f"{x}_text") for x in ("start", "end")), "is_current", "progress_delay", "target_score", "current_score")
+
 
+@query(roles.SQL + "select page_key, student_id, grade, 'Writer: ' || student_name || chr(10) || 'Test: ok' as note, 'a,b' as materials, '' as error from overview")
+def html_info(s, d):
+    return _parsed(s, d).select("page_key", F.element_at("info", "student").alias("student_id"), F.element_at("info", "grade").alias("grade"), "note", F.array_join("materials", ",").alias("materials"), F.coalesce("error", F.lit("")).alias("error"))
 
-@query(roles.SQL + "select page_key, row_no, unit_name, textbook, strftime(exec_date, '%Y/%m/%d') as exec_text, score, round_even(score / 50 * 100, 1) as score_rate, 'home' as division_text, t1, t2, t3 from units")
+
+@query(roles.SQL + "select page_key, row_no, unit_name, textbook, strftime(exec_date, '%Y/%m/%d') as exec_text, score, round_even(score / 50 * 100, 1) as score_rate, middle_unit, problem_code, division_text, confirm_test, coalesce(today_textbook, '') as today_textbook, t1, t2, t3 from units")
 def html_units(s, d):
     u = H.explode_units(_parsed(s, d))
-    return u.select("page_key", "row_no", "unit_name", "textbook", F.date_format("exec_date", "yyyy/MM/dd").alias("exec_text"), "score", "score_rate", "division_text", *(F.element_at("target_checks", k).alias(k.lower()) for k in ("T1", "T2", "T3")))
+    return u.select("page_key", "row_no", "unit_name", "textbook", F.date_format("exec_date", "yyyy/MM/dd").alias("exec_text"), "score", "score_rate", "middle_unit", "problem_code", "division_text", "confirm_test", F.coalesce("today_textbook", F.lit("")).alias("today_textbook"), *(F.element_at("target_checks", k).alias(k.lower()) for k in ("T1", "T2", "T3")))
 
 
 @query(roles.SQL + "select page_key, classroom from overview")
@@ -174,22 +189,23 @@ def repaired_progress(s, d):
     return P.target_progress(t, H.explode_units(parsed)).select("page_key", "target_no", "units", "executed", "on_time", "before", "after", "not_executed")
 
 
-@query(_PAGES + """, e as (select user_id::varchar as page_key, event_id, case when event_type in (select min(event_type) from events) then 'fetched' when event_type in (select max(event_type) from events) then 'failed' end as kind from events),
+@query(_PAGES + """, e as (select user_id::varchar as page_key, event_id, case when event_type in (select min(event_type) from events) then 'fetched' when event_type in (select max(event_type) from events) and user_id % 5 > 0 then 'failed' end as kind from events),
   u as (select page_key, arg_max(kind, event_id) as last, count(*) filter (kind = 'failed')::int as failures from e where kind is not null group by 1)
-  select page_key, case last when 'fetched' then 'fetched' when 'failed' then 'fetch_failed' else status end as status, (retries + coalesce(failures, 0))::int as retries from pages left join u using (page_key)""")
+  select page_key, case last when 'fetched' then case when status = 'saved' and failures = 0 then 'saved' else 'fetched' end when 'failed' then 'fetch_failed' else status end as status, (retries + coalesce(failures, 0))::int as retries from pages left join u using (page_key)""")
 def stream_updates(s, d):
     """The events as a stream of updates, merged batch by batch; the result is that of one batch.
 
-    A saved page that was only fetched again is shown as fetched, as its failures come first in a batch.
+    Every fifth user has no failures: a saved page that was only fetched again stays saved; one that failed
+    before is fetched.
     """
     e = read(s, d, "events")
     kinds = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
     stream = s.readStream.schema(e.schema).parquet(_stream_path(s, d, e))
     u = stream.select(
-        F.when(F.col("event_type") == kinds["a"], "fetched").when(F.col("event_type") == kinds["b"], "failed").alias("kind"), F.col("user_id").cast("string").alias("page_key"),
+        F.when(F.col("event_type") == kinds["a"], "fetched").when((F.col("event_type") == kinds["b"]) & (F.col("user_id") % 5 > 0), "failed").alias("kind"), F.col("user_id").cast("string").alias("page_key"),
         F.col("props").alias("html"), F.col("ts").alias("at"), F.col("event_type").alias("error"), F.col("event_id").alias("seq"),
     )
-    start = _pages(s, d).withColumn("status", F.when(F.col("status") == "saved", "saved").otherwise(F.col("status")))
+    start = _pages(s, d)
     snap = Snapshots(s, scratch(s, "snapshots"), s.createDataFrame([], PAGES))
     snap.write(-1, start)
     stream_merge(u, snap, page_updates, scratch(s, "offsets"), good="kind is not null").awaitTermination()
@@ -201,3 +217,71 @@ def _stream_path(s: SparkSession, d: str, e: DataFrame) -> str:
     path = scratch(s, "events")
     e.write.parquet(path)
     return path
+
+
+_KEPT_PAGES = "overview where order_key % 3 > 0"
+
+
+def _store(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The role tables as a store: pages of every third order are fetched and not parsed, all others saved with their rows."""
+    o = roles.overview(s, d)
+    waiting = F.col("order_key") % 3 == 0
+    page = html_roles.detail_pages(o, roles.targets(s, d), roles.units(s, d))
+    own = {"status": F.when(waiting, "fetched").otherwise("saved"), "retries": F.lit(0), "detail_url": F.lit("")}
+    o = o.join(page, "page_key").withColumns(own)
+    typed = lambda df, name: df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORE[name].fields))
+    saved = o.where(~waiting).select("page_key")
+    t, u = roles.targets(s, d).join(saved, "page_key", "left_semi"), roles.units(s, d).join(saved, "page_key", "left_semi")
+    return {"pages": typed(o, "pages"), "targets": typed(t, "targets"), "units": typed(u, "units"), "progress": typed(P.target_progress(t, u), "progress"), "findings": typed(roles.findings(s, d).join(saved, "page_key", "left_semi"), "findings")}
+
+
+@query(roles.SQL + """select 'page' as kind, page_key, 'saved' as what from overview union all select 'target', page_key, target_no || '/' || target_name || '/' || progress_delay from targets
+  union all select 'unit', page_key, row_no || '/' || unit_name from units union all select 'progress', page_key, target_no || '/' || units || '/' || on_time || '/' || after from progress""")
+def repair_job(s, d):
+    """The job itself on a store with pages that were fetched and never parsed, and with rows of a page that is gone."""
+    store = _store(s, d)
+    lost = store["units"].limit(1).withColumn("page_key", F.lit("gone"))
+    out, _ = jobs.repair({**store, "units": store["units"].unionByName(lost)}, F.lit(roles.TODAY).cast("date"), roles.ALIASES, roles.WORDS, {"plan": 5, "student": 3})
+    row = lambda name, kind, *cols: out[name].select(F.lit(kind).alias("kind"), "page_key", F.concat_ws("/", *cols).alias("what"))
+    found = [row("pages", "page", "status"), row("targets", "target", "target_no", "target_name", "progress_delay"), row("units", "unit", "row_no", "unit_name"), row("progress", "progress", "target_no", "units", "on_time", "after")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+@query(roles.SQL + "select page_key, row_no, unit_name, strftime(exec_date, '%Y/%m/%d') as exec_text, score, t1 from units where page_key in (select page_key from " + _KEPT_PAGES + ")")
+def store_round_trip(s, d):
+    place = scratch(s, "store")
+    write_store(_store(s, d), place)
+    return read_store(s, place)["units"].select("page_key", "row_no", "unit_name", F.date_format("exec_date", "yyyy/MM/dd").alias("exec_text"), "score", F.element_at("target_checks", "T1").alias("t1"))
+
+
+@query(roles.SQL + _FINDINGS)
+def published_findings(s, d):
+    place = publish_reports({"findings": reports.report_findings(roles.findings(s, d), roles.overview(s, d))}, scratch(s, "reports"), required=("findings",))
+    return s.read.parquet(f"{place}/findings")
+
+
+@query(roles.SQL + f"select * from ({_UNITS} where order_key % 3 > 0) where student_name <> '{DEMO}'")
+def demo_excluded_units(s, d):
+    return jobs.all_reports(_store(s, d), demo_full=DEMO)["units"]
+
+
+@query(roles.SQL + """, k as (select student_id, arg_min(classroom, (row_index, page_key)) as known from overview where classroom <> '' group by 1)
+  select target_no, coalesce(known, 'unknown') as classroom, count(*) as n from progress join overview using (page_key) left join k using (student_id) where overview.order_key % 3 > 0 group by all""")
+def backfilled_progress(s, d):
+    return jobs.all_reports(jobs.backfill_classrooms(_store(s, d)))["progress"].groupBy("target_no", "classroom").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(roles.SQL + "select page_key, 'saved' as status, (select count(*) from targets t where t.page_key = o.page_key)::int as n_targets, (select count(*) from units u where u.page_key = o.page_key)::int as n_units from overview o where order_key % 3 = 0")
+def stream_parsed_pages(s, d):
+    """Fetched pages as a stream, parsed and saved batch by batch."""
+    waiting = _store(s, d)["pages"].where("status = 'fetched'")
+    source = scratch(s, "fetched")
+    waiting.repartition(3).write.parquet(source)
+    snaps = {name: Snapshots(s, scratch(s, f"snap-{name}"), s.createDataFrame([], schema)) for name, schema in STORE.items()}
+    snaps["pages"].write(-1, s.read.parquet(source))
+    stream = s.readStream.schema(PAGES).option("maxFilesPerTrigger", 2).parquet(source)
+    parse = lambda df: jobs.parsed_tables(df, F.lit(roles.TODAY).cast("date"), roles.ALIASES, roles.WORDS, {"plan": 5, "student": 3})
+    stream_parsed(stream, snaps, parse, scratch(s, "offsets")).awaitTermination()
+    count = lambda name: snaps[name].read().groupBy("page_key").agg(F.count(F.lit(1)).cast("int").alias(f"n_{name}"))
+    out = snaps["pages"].read().select("page_key", "status").join(count("targets"), "page_key", "left").join(count("units"), "page_key", "left")
+    return out.fillna(0, ["n_targets", "n_units"])

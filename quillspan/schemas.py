@@ -25,7 +25,7 @@ TARGETS = _schema(
 )
 UNITS = _schema(
     "page_key string, row_no int, unit_name string, middle_unit string, textbook string, problem_code string, score double, max_score double, score_rate double, "
-    "exec_date date, division_text string, confirm_test string, target_checks map<string,boolean>"
+    "exec_date date, today_textbook string, division_text string, confirm_test string, target_checks map<string,boolean>"
 )
 PROGRESS = _schema(
     "page_key string, target_no string, units int, executed int, on_time int, before int, after int, not_executed int, executed_rate double, on_time_rate double, "

@@ -5,15 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new place under the cluster's ``spark.checkpoint.dir``, or under a folder of our own where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Where that is unset, a folder of our own in local mode; a cluster must set it."""
     global _own
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        _own = base = _own or tempfile.mkdtemp(prefix="quillspan-")
-    return f"{base.rstrip('/')}/quillspan-{label}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+    _own = _own or tempfile.mkdtemp(prefix="quillspan-")
+    return _own
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/quillspan-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` as a table in the shared folder and reads it back, so that what is made from it doesn't make it again."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

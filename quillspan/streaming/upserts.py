@@ -57,25 +57,38 @@ def stream_merge(stream: DataFrame, snapshots: Snapshots, merge: Callable[[DataF
 def page_updates(pages: DataFrame, updates: DataFrame) -> DataFrame:
     """Merges ``kind, page_key, html, at, error, seq``: what was fetched and what failed, in the order of ``seq``.
 
-    The last update of a key decides its state; all failures of the batch count.
+    The last update of a key decides its state; all failures of the batch count. A saved page that was only
+    fetched again stays saved.
     """
     last = updates.groupBy("page_key").agg(F.max_by("kind", "seq").alias("_last"))
     got = updates.where("kind = 'fetched'").withColumnRenamed("at", "fetched_at").select("page_key", "html", "fetched_at", "seq")
     lost = updates.where("kind = 'failed'").select("page_key", "error", "seq")
     after_failed = apply_failed(pages, lost, ["seq"])
-    saved_before = pages.select("page_key", F.col("status").alias("_was"), F.col("error").alias("_err"))
     # A page whose last update is a fetch is fetched again, as if its failures had come before.
-    merged = apply_fetched(after_failed.where("page_key is not null"), got, ["seq"]).join(last, "page_key", "left").join(saved_before, "page_key", "left")
+    merged = apply_fetched(after_failed.where("page_key is not null"), got, ["seq"]).join(last, "page_key", "left")
     failed_last = F.col("_last") == "failed"
     errors = lost.groupBy("page_key").agg(F.max_by("error", "seq").alias("_e"))
     merged = merged.join(errors, "page_key", "left")
     return merged.withColumns({"status": F.when(failed_last, "fetch_failed").otherwise(F.col("status")), "error": F.when(failed_last, F.col("_e")).otherwise(F.col("error"))}).select(*pages.columns)
 
 
-def stream_parsed(pages_stream: DataFrame, store: dict[str, DataFrame], parse: Callable[[DataFrame], dict[str, DataFrame]], sink: Callable[[dict[str, DataFrame], int], None], checkpoint: str) -> StreamingQuery:
-    """Parses pages as they come and saves each micro-batch's child tables through ``sink``."""
+def stream_parsed(
+    pages_stream: DataFrame, snapshots: dict[str, Snapshots], parse: Callable[[DataFrame], tuple[dict[str, DataFrame], DataFrame]], checkpoint: str, errors: str | None = None
+) -> StreamingQuery:
+    """Parses pages as they come and saves each micro-batch's child tables into the snapshots.
+
+    Every batch starts from the snapshots before it, so batches add up and one that is delivered again gives
+    the same. ``parse`` returns the child tables and the pages that could not be parsed; these go to ``errors``.
+    """
 
     def batch(df: DataFrame, n: int) -> None:
-        sink(save_parsed(store, parse(df)), n)
+        df = df.persist()
+        tables, bad = parse(df)
+        store = {name: s.read(before=n) for name, s in snapshots.items()}
+        for name, table in save_parsed(store, tables).items():
+            snapshots[name].write(n, table)
+        if errors:
+            bad.write.mode("overwrite").parquet(f"{errors}/batch={n}")
+        df.unpersist()
 
     return pages_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,7 +10,7 @@ from quillspan.operators import backfill, order, progress, rules, sections, simi
 from quillspan.schemas import PAGES, STORE
 from quillspan.sources import html
 from quillspan.sources.store import publish_reports, read_store, write_store
-from quillspan.streaming.upserts import Snapshots, page_updates, stream_merge
+from quillspan.streaming.upserts import Snapshots, page_updates, stream_merge, stream_parsed
 
 
 def column(spark, values_, make, kind="string"):
@@ -19,6 +19,8 @@ def column(spark, values_, make, kind="string"):
 
 
 def test_text(spark):
+    assert column(spark, ["Ann Lee", "demo x", "", None], lambda c: text.is_demo_name(c, "demo", "")) == [False, True, False, False]
+    assert column(spark, ["Ann Lee", "demo x"], lambda c: text.is_demo_name(c, "", "demox")) == [False, True] and column(spark, ["Ann"], lambda c: text.is_demo_name(c, "", "")) == [False]
     assert column(spark, [None, " Ａ　b ", "　"], text.normalize_text) == ["", "A b", ""]
     assert column(spark, ["Ａ b\tC", None], text.normalize_for_match) == ["abc", ""]
     assert column(spark, [" ｎ/A", "x", None], lambda c: text.is_blank_or_placeholder(c, ["n/a"])) == [True, False, True]
@@ -35,7 +37,7 @@ def test_text(spark):
 
 
 def test_values(spark):
-    assert column(spark, ["on 2026/2/3.", "2026-02-30", "２０２６／１２／０１", None], values.parse_date) == [date(2026, 2, 3), None, date(2026, 12, 1), None]
+    assert column(spark, ["on 2026/2/3.", "2026-02-30", "２０２６／１２／０１", "٢٠٢٦/٠٣/०९", None], values.parse_date) == [date(2026, 2, 3), None, date(2026, 12, 1), date(2026, 3, 9), None]
     got = column(spark, ["2026/1/1 ~ 2026/2/1", "2026/1/1〜", "~2026/2/1", "2026/1/1", ""], values.parse_period)
     a, b = date(2026, 1, 1), date(2026, 2, 1)
     assert [(r.start, r.end) for r in got] == [(a, b), (a, None), (None, b), (a, a), (None, None)]
@@ -159,6 +161,78 @@ def test_store_and_publish(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{out}/r").count() == 2
 
 
+def test_tables_that_cannot_be_replaced_stay(spark, tmp_path, monkeypatch):
+    from quillspan.sources import store as S
+
+    path = str(tmp_path / "store")
+    store = {**state.empty_store(spark), "pages": pages(spark, {"page_key": "a", "status": "saved"})}
+    write_store(store, path)
+    real = S._fs
+
+    def broken(spark, path):
+        fs, Path = real(spark, path)
+
+        class Store:
+            def __getattr__(self, name):
+                return getattr(fs, name)
+
+            def rename(self, a, b):
+                return False if a.toString().endswith("/progress") and "_new" in a.toString() else fs.rename(a, b)
+
+        return Store(), Path
+
+    monkeypatch.setattr(S, "_fs", broken)
+    with pytest.raises(OSError):
+        write_store({**store, "pages": pages(spark, {"page_key": "b"}, {"page_key": "c"})}, path)
+    monkeypatch.undo()
+    assert [r.page_key for r in read_store(spark, path)["pages"].collect()] == ["a"] and set(STORE) <= {p.name for p in (tmp_path / "store").iterdir()}
+
+
+def test_incomplete_reports_are_not_published(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "reports")
+    report = spark.createDataFrame([(1, "x"), (2, "y\nz")], "a int, b string")
+    assert publish_reports({"r": report}, out, fmt="csv") == out
+    monkeypatch.setattr(type(report), "count", lambda self: 0)
+    with pytest.raises(OSError):
+        publish_reports({"r": report}, out)
+    monkeypatch.undo()
+    assert spark.read.option("header", True).option("multiLine", True).csv(f"{out}/r").count() == 2 and not [p for p in tmp_path.iterdir() if ".new-" in p.name]
+
+
+def test_parsed_stream_adds_up(spark, tmp_path, monkeypatch):
+    """Two batches give what one gives; a page that cannot be parsed goes to the errors and the others go on."""
+    from quillspan.plans import jobs
+
+    grid = "<table class=units><tr><th>Unit<th>T1<tr><td>u<td><input checked></table>"
+    rows = [{"page_key": k, "status": "fetched", "html": grid, "retries": 0} for k in "abcd"]
+    source = str(tmp_path / "in")
+    for part in (rows[:2], rows[2:]):
+        pages(spark, *part).coalesce(1).write.mode("append").parquet(source)
+    words = {n: [] for n in ("placeholder", "status", "uncertain", "school_type", "public", "exam", "seasonal")}
+    calls = []
+
+    def parse(df):
+        calls.append(df.count())
+        return jobs.parsed_tables(df.where("page_key <> 'd'"), F.lit("2026-01-10").cast("date"), ALIASES, words, {})[0], df.where("page_key = 'd'").select("page_key", F.lit("broken").alias("error"))
+
+    results = []
+    for name, files in (("two", 1), ("one", 9)):
+        snaps = {n: Snapshots(spark, str(tmp_path / name / n), spark.createDataFrame([], schema)) for n, schema in STORE.items()}
+        snaps["pages"].write(-1, pages(spark, *rows))
+        stream = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files).parquet(source)
+        stream_parsed(stream, snaps, parse, str(tmp_path / name / "cp"), str(tmp_path / name / "bad")).awaitTermination()
+        results.append((sorted((r.page_key, r.status) for r in snaps["pages"].read().collect()), sorted(r.page_key for r in snaps["units"].read().collect()), [r.page_key for r in spark.read.parquet(str(tmp_path / name / "bad")).collect()]))
+    assert results[0] == results[1] == ([("a", "saved"), ("b", "saved"), ("c", "saved"), ("d", "fetched")], ["a", "b", "c"], ["d"])
+    assert sorted(calls) == [2, 2, 4]
+
+
+def test_broken_page_gives_its_message(spark, monkeypatch):
+    monkeypatch.setattr(html, "detail_record", lambda h, labels: 1 / 0 if h == "bad" else {"info": [], "note": h, "materials": [], "targets": [], "units": []})
+    df = spark.createDataFrame([("a", "bad"), ("b", "good")], "page_key string, html string")
+    got = {r.page_key: (r.note, r.error) for r in html.parse_detail_pages(df).collect()}
+    assert got["b"] == ("good", None) and got["a"][0] is None and got["a"][1].startswith("ZeroDivisionError")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     start = pages(spark, *({"page_key": str(i), "status": "unfetched", "retries": 0} for i in range(5)))
     rows = [("fetched" if i % 3 else "failed", str(i % 5), f"h{i}", None, f"e{i}", i) for i in range(20)] + [(None, "1", None, None, None, 99)]
@@ -194,5 +268,6 @@ def test_repair_and_reports(spark, tmp_path):
     assert {n: df.count() for n, df in again.items()} == {n: df.count() for n, df in own.items()} == {"pages": 2, "targets": 1, "units": 1, "progress": 1, "findings": 1}
     got = jobs.all_reports(own, "demo", "demox")
     assert got["progress"].first().on_time_rate == "100" and got["attention"].first().delayed == "mid"
-    assert [r.page_key for r in got["raw_pages"].collect()] == ["a"] and got["units"].first().timing == "on_time"
+    assert {n: len(got[n].columns) for n in got if n != "summary"} == {"attention": 6, "progress": 28, "units": 24, "findings": 18, "raw_pages": 6}
+    assert [r.html[:6] for r in got["raw_pages"].collect()] == ["<table"] and got["units"].first().timing == "on_time"
     assert got["findings"].first().severity == "ERROR" and {(r.level, r.value) for r in got["summary"].collect()} == {(0, "all"), (1, "unknown"), (2, "9")}
