@@ -3,36 +3,22 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.sources.scratch import scratch
+
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 256
-_own_dir: str | None = None
 _written: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Where that is unset, a folder of our own in local mode; a cluster must set it."""
-    global _own_dir
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="quillspan-")
-    return _own_dir
-
-
 def new_place(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; what is put there goes with ``drop_written``."""
-    _written.append(f"{shared_dir(spark)}/quillspan-{label}-{uuid.uuid4().hex}")
+    _written.append(scratch(spark, label))
     return _written[-1]
 
 

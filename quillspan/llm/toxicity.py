@@ -127,18 +127,18 @@ def _arcs(token: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
         yield arcs
 
 
-def decode(token: str, model: np.ndarray, spaced: bool = False) -> str:
+def decode(token: str, model: np.ndarray, spaced: bool = False, few: int = 40) -> str:
     """The likeliest restored text of a lower-case token or run of letters, of any length.
 
     Exact: the state is the last two letters, of which there are at most ``SIZE`` squared, and all are kept.
-    A step over few states is done one by one, over many on the matrix of all.
+    Steps over ``few`` states or less are done one by one, the rest on the matrix of all.
     """
     steps = list(_arcs(token, spaced))
     code = lambda out: int(_CODE[min(ord(out), len(_CODE) - 1)])
     # A path's text is held as its last letter and the path before, so a step takes the same time at any length.
     paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     at = 0
-    while at < len(steps) and len(paths) <= 40:
+    while at < len(steps) and len(paths) <= few:
         arcs = [(out, code(out) if out else -1, cost) for out, cost in steps[at]]
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in paths.items():

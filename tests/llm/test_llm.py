@@ -50,6 +50,37 @@ def test_interleave(spark, edges, empty):
     assert all(abs(r["count"] - share[r.stratum] / 8) <= 1.5 for r in got)
 
 
+def test_interleave_is_a_plain_sort(spark):
+    from pyspark.sql import functions as F
+
+    from quillspan.llm.shared import mixed_bits
+
+    docs = spark.range(700).selectExpr("if(id % 50 = 0, null, id div 2) as doc_id", "concat('t', id % 90) as text", "if(id % 10 < 7, 'hot', if(id % 10 = 8, null, concat('s', id % 3))) as source")
+    own = docs.select("doc_id", "source", F.octet_length("text") + 1, F.crc32(F.col("text").cast("binary")), mixed_bits(F.col("doc_id"), F.col("source"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")), seed=17))
+    rows = [tuple(r) for r in own.collect()]
+    u = {r.s: (r.h % (1 << 20) + 0.5) / (1 << 20) for r in docs.select("source").distinct().select(F.col("source").alias("s"), mixed_bits(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), seed=18).alias("h")).collect()}
+    key = lambda r: (r[4] % (1 << 64), r[0] is not None, r[0] or 0, r[3], r[2])
+    line = []
+    for stratum in {r[1] for r in rows}:
+        some = sorted((r for r in rows if r[1] == stratum), key=key)
+        line += [((i + 1 - u[stratum]) / len(some), r[4], *key(r)[1:], r) for i, r in enumerate(some)]
+    want = [(r[0], r[1], r[3]) for *_, r in sorted(line, key=lambda x: x[:-1])]
+    got = sorted(sharding.interleave(docs, shards=8).collect(), key=lambda r: r.position)
+    assert [(r.doc_id, r.stratum, r.text_crc32) for r in got] == want
+    assert [(r.shard, r.slot) for r in got] == [(k, i) for k in range(8) for i in range(-(-700 * (k + 1) // 8) - -(-700 * k // 8))]
+
+
+def test_fingerprint_bit_by_bit():
+    import xxhash
+
+    for text in ["", "One", "a B", "a b c d a b c", "Ä x Ö y Ä x Ö", " t\tu\x0bv \x1c w\n", "w " * 300, *(" ".join(f"W{(i * k) % 37}" for i in range(90)) for k in range(1, 6))]:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] * bool(w)
+        h = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+        assert simhash.fingerprint(text.encode()) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)), text
+
+
 def _brute_components(fps, bits):
     parent = {i: i for i in fps}
 
@@ -212,15 +243,67 @@ def test_pii_base(spark, edges, empty):
     assert pii.fit(empty).trees == [] and pii.find_spans(edges, pii.fit(edges)).count() == 12
 
 
-def test_pii_learns_and_masks(spark):
+def _disguised(kind, hit, r):
+    """Another spelling of a strict span; the spellings are this test's own."""
+    if kind == "email":
+        user, host = hit.split("@")
+        at, dot = [("(at)", "(dot)"), (" (at) ", " (dot) "), ("[at]", "[dot]")][r.integers(3)]
+        return user + at + host.replace(".", dot)
+    if kind == "ip":
+        return ["[.]", "(.)", " . ", "(dot)", " dot "][r.integers(5)].join(hit.split("."))
+    if kind == "card":
+        d = re.sub(r"\D", "", hit)
+        return "._/"[r.integers(3)].join(d[i : i + 4] for i in range(0, 16, 4)) if len(d) == 16 else hit
+    bare = re.sub(r"[()]", "", re.sub(r"^\+\d+ ", "", hit))
+    return [re.sub(r"^\+\d+ ", "", hit), bare.replace(" ", "-"), bare.replace(" ", ".").replace("-", ".")][r.integers(3)]
+
+
+def test_pii_finds_disguised_spans(spark):
+    """All strict spans of the documents are written another way; precision and recall are measured against their places."""
+    place = "/root/testdata/sf0.01"
+    if not os.path.isdir(place):
+        pytest.skip("no driver tables")
+    docs = spark.read.parquet(f"{place}/documents.parquet")
+    model = pii.fit(docs)
+    r, texts, want = np.random.default_rng(1), [], []
+    for (text,) in docs.where("text rlike '[0-9@]'").orderBy("doc_id").select("text").collect():
+        out, at, own = "", 0, []
+        for kind, start, end in sorted((x.split(":") for x in base_spans(text).split(",") if x), key=lambda x: int(x[1])):
+            if int(start) >= at:
+                new = _disguised(kind, text[int(start) : int(end)], r)
+                out += text[at : int(start)]
+                own.append((pii.KINDS.index(kind), len(out), len(out) + len(new)))
+                out, at = out + new, int(end)
+        if own:
+            texts.append(out + text[at:])
+            want.append(set(own))
+    got = {x.doc_id: set(map(tuple, x.spans)) for x in pii.find_spans(docs_of(spark, texts), model).collect()}
+    hits, planted, found = sum(len(got[i] & w) for i, w in enumerate(want)), sum(map(len, want)), sum(map(len, got.values()))
+    assert planted > 50 and hits >= 0.95 * planted and hits >= 0.9 * found
+
+
+def test_pii_overlaps_and_masks(spark):
     from pyspark.sql import functions as F
 
-    texts = [f"word {i} call +1 (555) {100 + i}-{1000 + i} end key {i * 7919 % 10**8:08d}x" for i in range(300)] + ["now (555) 123-4567 end"]
-    docs = docs_of(spark, texts)
+    line = "a few words stand here so that there is a line to plant spans into and to read on "
+    docs = docs_of(spark, [line * (1 + i % 3) for i in range(40)])
     model = pii.fit(docs)
-    assert 3 in model.thresholds
-    row = docs.where("doc_id = 5").select(pii.redacted(F.col("text"), pii.spans_column(F.col("text"), model)).alias("t")).first().t
-    assert row.startswith("word 5 call <PHONE> end key")
+    assert set(model.thresholds) == {0, 1, 2, 3}
+    card, other = "4465758382889437", "4337166598464399"
+    cases = {
+        f"pay {card} {other} now": [(2, 4, 20), (2, 21, 37)], f"pay {card[:-1]}8 now": [], "on 2024-05-17 and 17.05.2024 - 18.05.2024": [], "ring +1 (555) 123-4567 10.20.30.40 soon": [(1, 23, 34), (3, 5, 22)],
+        "write anna (at) example (dot) com today": [(0, 6, 33)], "version 1.2.3 of 2021": [], "ring (555) 123-4567 or": [(3, 5, 19)],
+    }
+    rows = docs_of(spark, list(cases))
+    got = {x.doc_id: x for x in pii.find_spans(rows, model).collect()}
+    for i, (text, want) in enumerate(cases.items()):
+        assert sorted(map(tuple, got[i].spans)) == want, text
+    ordered = sorted(map(tuple, got[0].spans))
+    assert all(a[2] <= b[1] for a, b in zip(ordered, ordered[1:], strict=False))
+    masked = [x.t for x in rows.orderBy("doc_id").select(pii.redacted(F.col("text"), pii.spans_column(F.col("text"), model)).alias("t")).collect()]
+    assert masked[0] == "pay <CARD> <CARD> now" and masked[4] == "write <EMAIL> today" and masked[1].startswith("pay 4465")
+    one = pii.fit(docs.limit(1))
+    assert one.thresholds and pii.isotonic([(0.0, 4, 0), (1.0, 2, 2), (2.0, 2, 1), (3.0, 5, 5)]) == [(-0.025, 0.0), (0.975, 0.75), (2.975, 1.0)]
 
 
 def _stats(t):
@@ -253,6 +336,38 @@ def test_trees():
     assert trees.boosted(x[:0], y[:0]).probability(x[:3]).tolist() == [0.5] * 3
 
 
+def test_features_and_trees_one_by_one():
+    from quillspan.llm.document_stats import N_FEATURES
+
+    for t in ["", "One.", "a b a b a b!! | x = 1\na b\na b\n", "Ä ö, " * 20, "x1 " * 50 + "#*$"]:
+        w, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        n, count = max(1, len(w)), lambda chars: sum(t.count(c) for c in chars)  # noqa: B023
+        times, upper, lower = Counter(w), sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t)
+        _, chars, symbols, dup, again = _stats(t)
+        want = [np.log1p(len(w)), chars / n, symbols / n, dup / max(1, len(lines)), again / n, upper / max(1, upper + lower), t.count("!!") / n, max(1, len(times)) / n, max(times.values(), default=0) / n, sum(a == b for a, b in zip(w, w[1:], strict=False)) / n]
+        want += [count(".") / n, count(",") / n, count("0123456789") / n, count("|") / n, count("!?") / n, len(lines) / n, count("()[]{}=_/\\@+:;\"") / n]
+        assert len(want) == N_FEATURES and np.allclose(Stats(t.encode()).features(), want), t
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(400, 6)), r.integers(0, 2, 400).astype(float)
+    for m in (trees.boosted(x, y, trees=7), trees.random_forest(x, y, trees=7)):
+        for row, total in zip(x[:50], m.sums(x[:50]), strict=True):
+            want = m.base
+            for k in range(len(m.leaf)):
+                at = 0
+                for _ in range(m.depth):
+                    at = 2 * at + (2 if row[m.feature[k, at]] > m.cut[k, at] else 1)
+                want += m.leaf[k, at - (2**m.depth - 1)]
+            assert abs(want - total) < 1e-9
+
+
+def test_clashing_columns_and_repeated_labels(spark):
+    docs = spark.createDataFrame([(i, "the lesson went well " * (i % 5 + 1), i, i, "x", "y") for i in range(60)] * 2, "doc_id long, text string, y long, _id long, half string, m string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2, 5) for i in range(60)] + [(1, 0, 0, 5), (2, None, None, 5)], "doc_id long, quality int, toxic int, text int")
+    rows = quality_model.labelled_rows(docs, labels, "quality", 5, 0, 1000, "doc_id", "text").collect()
+    assert len(rows) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(60)) and sum(r.y for r in rows) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(1, 60, 2))
+    assert quality_model.score(docs, quality_model.fit(docs, labels)).count() == toxicity.score(docs, toxicity.fit(docs, labels)).count() == 120
+
+
 def test_quality_model(spark, edges, empty):
     clean, junk = "The lesson went well and the next one starts at noon.\n", "buy### now$$$ !!! "
     docs = docs_of(spark, [(clean if i % 3 else junk) * (3 + i % 20) for i in range(400)])
@@ -277,6 +392,50 @@ def test_toxicity(spark, edges, empty):
     assert toxicity.score(edges, toxicity.fit(edges, labels.limit(0))).count() == 12 and toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def test_disguised_words_in_real_texts(spark):
+    """Words that the model has learned, put into clean texts in every disguise, are found as well as the plain words are."""
+    place = "/root/testdata/sf0.01"
+    if not os.path.isdir(place):
+        pytest.skip("no driver tables")
+    docs, labels = spark.read.parquet(f"{place}/documents.parquet"), spark.read.parquet(f"{place}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    words = sorted(w for w in model.weights if not w.endswith("-") and len(w) > 4)
+    carrier = docs.where("lang = 'en' and length(text) between 300 and 900").join(labels.where("toxic = 0 and quality = 1"), "doc_id", "left_semi").orderBy("doc_id").first().text.split(" ")
+    leet = str.maketrans("oieast", "013457")
+    scorer = toxicity.Scorer(model.letters, model.weights)
+    score = lambda w: model.trees.probability(np.asarray([scorer.features(" ".join([*carrier[:20], w, *carrier[20:]]).encode())]))[0]
+    assert len(words) >= 5 and score("and") < 0.3
+    plain = {w for w in words if score(w) >= 0.3}
+    for disguise in (lambda w: w.translate(leet), " ".join, "..........".join, ".".join, lambda w: w[:2] + w[1] * 70 + w[2:], lambda w: w.upper() + "!!"):
+        assert len({w for w in plain if score(disguise(w)) >= 0.3}) >= 0.9 * len(plain), disguise(words[0])
+    assert len(plain) >= 0.8 * len(words)
+
+
+def test_decoding_is_exact():
+    r = np.random.default_rng(2)
+    letters = np.log(r.dirichlet(np.ones(toxicity.SIZE) / 4, (toxicity.SIZE, toxicity.SIZE)) + 1e-9).astype(np.float32)
+    code = lambda c: int(toxicity._CODE[ord(c)])
+
+    def best(token):
+        found = {("", 0.0)}
+        for arcs in toxicity._arcs(token, False):
+            found = {(t + out, cost + c) for t, cost in found for out, c in arcs}
+
+        def value(t, cost):
+            c = [0, 0, *map(code, t), 0]
+            return sum(float(letters[c[i], c[i + 1], c[i + 2]]) for i in range(len(c) - 2)) - cost
+
+        return max(value(t, cost) for t, cost in found), value, found
+
+    for token in ["1d10t", "a$$", "b00b!", "x.y", "aa1", "4@3!", "s7up1d"]:
+        top, value, found = best(token)
+        own = toxicity.decode(token, letters)
+        assert abs(max(value(t, c) for t, c in found if t == own) - top) < 1e-3, token
+    # With few states a step is done one by one, with many on the matrix: both ways give the same.
+    for word in ["1d10t4@0$" * 3, "h3ll0.w0r1d!" * 4]:
+        assert toxicity.decode(word, letters, few=10**9) == toxicity.decode(word, letters, few=0)
+
+
 @pytest.fixture(scope="module")
 def restorer(spark):
     r = np.random.default_rng(5)
