@@ -36,12 +36,12 @@ def written_so_far() -> int:
 
 def drop_written(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
     """Deletes the tables that this driver has written since a mark, but those that ``keep`` reads; call it when the results made from them are saved."""
-    held = {f.rpartition("/")[0] for df in keep for f in df.inputFiles()}
-    held = {"/".join(("", *x.split(":", 1)[-1].strip("/").split("/"))) for x in held}
     Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    bare = lambda p: Path.getPathWithoutSchemeAndAuthority(p).toString()
+    held = {bare(Path(f).getParent()) for df in keep for f in df.inputFiles()}
     for place in _written[since:]:
         path = Path(place)
-        if Path.getPathWithoutSchemeAndAuthority(path).toString() not in held:
+        if bare(path) not in held:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
             _written.remove(place)
 

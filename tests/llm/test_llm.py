@@ -610,8 +610,10 @@ def test_pipeline_stages(spark, tmp_path):
 def test_written_tables_are_dropped(spark):
     from quillspan.llm.shared import drop_written, written
 
-    df = written(spark.range(3).toDF("x"), "test")
-    assert df.count() == 3
+    df, none, other = (written(spark.range(n).toDF("x"), "test") for n in (3, 0, 5))
+    gone = other.inputFiles()[0].removeprefix("file://")
+    drop_written(spark, keep=(df, none))
+    assert df.count() == 3 and none.count() == 0 and not os.path.exists(gone)
     place = df.inputFiles()[0].removeprefix("file://")
     drop_written(spark)
     assert not os.path.exists(place)
