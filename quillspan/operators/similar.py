@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import nfkc, without_blanks
+from quillspan.sources.scratch import written
 
 
 def char_ngrams(text: Column, n: int = 2) -> Column:
@@ -51,6 +52,7 @@ def similar_pairs(texts: DataFrame, short: int = 15, n: int = 2) -> DataFrame:
     gram, so one common author is spread over its grams. ``texts`` has ``author, t``.
     """
     long = texts.where(F.length("t") >= max(short, n)).select("author", "t", F.xxhash64("author", "t").alias("id"), gram_numbers(F.col("t"), n).alias("set"))
+    long = written(long, "sets")  # read six times below
     grams = long.select("author", "id", F.size("set").alias("n"), F.explode("set").alias("g"))
     counts = grams.groupBy("author", "g").agg(F.count(F.lit(1)).alias("c"))
     ordered = grams.join(counts, ["author", "g"]).groupBy("author", "id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("o"))
@@ -61,11 +63,14 @@ def similar_pairs(texts: DataFrame, short: int = 15, n: int = 2) -> DataFrame:
     met = a.join(b, ["author", "g"]).where("id_a < id_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
     first = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.min("i_a").alias("i_a"), F.min("i_b").alias("i_b"))
     first = first.where("9 * least(n_a - i_a, n_b - i_b) >= 4 * (n_a + n_b)").select("id_a", "id_b")
-    sets = long.select("id", "author", "t", "set")
-    one = first.join(sets.select(F.col("id").alias("id_a"), "author", F.col("t").alias("ta"), F.col("set").alias("sa")), "id_a")
-    both = one.join(sets.select(F.col("id").alias("id_b"), F.col("author").alias("_author"), F.col("t").alias("tb"), F.col("set").alias("sb")), "id_b").where("author = _author")
+    # Only sets of numbers travel to be compared; texts come back for the pairs that hold.
+    sets = long.select("id", "set")
+    both = first.join(sets.select(F.col("id").alias("id_a"), F.col("set").alias("sa")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("set").alias("sb")), "id_b")
     both = both.withColumn("both", F.size(F.array_intersect("sa", "sb"))).where("5 * both >= 4 * (size(sa) + size(sb) - both)")
-    return both.select("author", F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))
+    both = both.select("id_a", "id_b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))
+    one = both.join(long.select(F.col("id").alias("id_a"), "author", F.col("t").alias("ta")), "id_a")
+    both = one.join(long.select(F.col("id").alias("id_b"), F.col("author").alias("_author"), F.col("t").alias("tb")), "id_b").where("author = _author")
+    return both.select("author", F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), "jaccard")
 
 
 def flagged_texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
