@@ -174,11 +174,21 @@ _BEFORE = ("", "", "", "mail ", "tel. ", "card: ", "at ", "(", '"', "server ", "
 _AFTER = ("", "", ",", ".", ")", '"', " ", ";", "", "")
 
 
+def _last_id(ids: DataFrame, most: int) -> tuple[int, int | None]:
+    """How many of the ``most`` smallest different ids there are, and the last of them; no text travels for it."""
+    share = 50 * most / max(1, ids.count())
+    for part in ids.where(F.col("id") < int(share * (1 << 64)) - (1 << 63)) if share < 1 else None, ids:
+        found = part.distinct().orderBy("id").limit(most).agg(F.count(F.lit(1)), F.max("id")).first() if part is not None else (0, None)
+        if found[0] == most:
+            break
+    return found[0], found[1]
+
+
 def planted(docs: DataFrame, carriers: int, text_col: str = "text") -> DataFrame:
     """``id, form, kind, t, spans, whole``: lines with one spelling or decoy each, the spans planted and the whole stretch.
 
-    Each of at most ``carriers`` texts, chosen by a hash, gives a line of words for every spelling, cut at a
-    place drawn from the whole text.
+    Each of at most ``carriers`` different texts, chosen by a hash, gives a line of words for every spelling, cut
+    at a place drawn from the whole text; fewer texts give several lines each, so there are as many in all.
     """
 
     def drawn(n: int, *of: Column, seed: int) -> Column:
@@ -192,7 +202,11 @@ def planted(docs: DataFrame, carriers: int, text_col: str = "text") -> DataFrame
         return bound(d, lambda x: F.concat(x, F.pmod(F.lit(1000) - luhn_sum(F.concat(x, F.lit("0"))) + (0 if right else drawn(9, seed=seed + 2) + 1), F.lit(10)).cast("string")))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.xxhash64(text).alias("id"), text.alias("t")).orderBy("id", F.length("t")).limit(carriers)
+    own = docs.select(F.xxhash64(text).alias("id"), text.alias("t"))
+    n, last = _last_id(own.select("id"), carriers)
+    own = own.where(F.col("id") <= F.lit(last).cast("long")).groupBy("id").agg(F.min("t").alias("t"))
+    again = F.explode(F.sequence(F.lit(1), F.lit(-(-carriers // max(1, n)))))  # few texts give several lines each
+    own = own.select("id", "t", again.alias("nth")).select(F.xxhash64("id", "nth").alias("id"), "t")
     spot = lambda seed: F.pmod(mixed_bits(F.col("id"), seed=seed), F.greatest(F.length("t"), F.lit(1))).cast("int") + 1
     left, right = (F.regexp_replace(F.substr(F.col("t"), spot(n), F.lit(50)), p, "") for n, p in ((1, r"^\S*\s?|[0-9@+]"), (2, r"\s?\S*$|[0-9@+]")))
     forms = [{"form": n, "kind": kind, "chars": list(x), "from": [i for i, c in enumerate(x) if c == "{"], "to": [i for i, c in enumerate(x) if c == "}"]} for n, (kind, x) in enumerate(SPELLINGS)]
