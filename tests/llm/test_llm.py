@@ -607,6 +607,37 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 5
 
 
+def test_pipeline_keeps_documents_apart_by_id_and_text(spark, tmp_path):
+    import corpus_pipeline
+
+    r = np.random.default_rng(12)
+    a, b, c, d = (" ".join(f"w{x}" for x in r.integers(0, 10**6, 70)) for _ in range(4))
+    item = " ".join(f"k{i}" for i in range(30))
+    rows = [(1, a, "first"), (1, b, "other text, same id"), (2, a + " end", "near copy of 1"), (3, c, "kept"), (3, c, "again"), (None, a, "no id"), (None, d, "no id, own text"), (4, None, "null"), (4, "", "empty"), (9, f"{b} x {item}", "leak"), (3, d + " " + item, "leak of id 3")]
+    docs = spark.createDataFrame([(*x, "n", "m", "u") for x in rows], "doc_id long, text string, note string, _row string, key_id_0 string, leak string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    notes = sorted(x.note for x in kept.collect())
+    assert notes == sorted(["first", "other text, same id", "again", "no id, own text", "null", "empty", "leak", "leak of id 3"])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.drop_leaks(spark, kept, str(tmp_path))
+    assert clean.columns == docs.columns and sorted(x.note for x in clean.collect()) == sorted(set(notes) - {"leak", "leak of id 3"})
+
+
+def test_large_group_of_near_copies(spark):
+    """Over a thousand different texts in a chain-free group, and strangers that share half of their words with it."""
+    r = np.random.default_rng(13)
+    base = [f"w{x}" for x in r.integers(0, 10**6, 120)]
+    texts = []
+    for i in range(1100):
+        own = list(base)
+        own[int(r.integers(0, 120))] = f"v{i}"
+        texts.append(" ".join(own))
+    texts += [" ".join([*base[:60], *(f"z{i}_{k}" for k in range(60))]) for i in range(30)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(docs_of(spark, texts), cap=200).collect()}
+    assert {got[i] for i in range(1100)} == {0} and all(got[i] == i for i in range(1100, 1130))
+
+
 def test_written_tables_are_dropped(spark):
     from quillspan.llm.shared import drop_written, written
 
