@@ -76,10 +76,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what an earlier stage wrote for itself goes when its result is written."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; when a stage's result is written, what was written before it goes."""
+    docs, mark = table(spark, sf_dir, "documents"), written_so_far()
     for name, stage in STAGES[:-1]:
-        mark = written_so_far()
         docs = written(stage(spark, docs, sf_dir), name)
         drop_written(spark, mark, keep=(docs,))
     return STAGES[-1][1](spark, docs, sf_dir)
