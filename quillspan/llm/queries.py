@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, pii, quality_model, quality_rules, secrets, toxicity
+from quillspan.llm import decontaminate, fill_in_middle, lexical_search, ngram_join, pii, quality_model, quality_rules, secrets, toxicity
 from quillspan.llm.packing import pack
 from quillspan.llm.sharding import interleave
 from quillspan.llm.shared import table
@@ -75,6 +75,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, language, secrets.fit(secrets.labelled_findings(docs, language)))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents"), words=5, num=4, den=5)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
@@ -86,8 +100,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_secret_scan": op10_secret_scan,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op6_decontamination": decontaminate.ORACLE,
+    "op11_ngram_join": ngram_join.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
