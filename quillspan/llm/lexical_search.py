@@ -135,7 +135,7 @@ def _block_rows(vectors: DataFrame, weights: np.ndarray, pairs: list[tuple[int,
         order = np.lexsort((doc, terms))
         terms, doc, value = terms[order], doc[order].astype(np.int32), value[order]
         known, start = np.unique(terms, return_index=True)
-        ends = np.append(start[1:], len(terms))
+        ends = np.append(start, len(terms))[1:]
         lists = {int(t): (doc[a:b], value[a:b]) for t, a, b in zip(known, start, ends, strict=True)}
         met, joint = [], []
         for n, (a, b) in enumerate(pairs):
@@ -200,7 +200,7 @@ def _search(index: DataFrame, items: list[list[tuple[int, ...]]], pairs: list[tu
             for i in range(batch.num_rows):
                 ids, terms, ends, docs, values, met, joint = (batch.column(c)[i] for c in ("ids", "terms", "ends", "docs", "impacts", "pairs", "joint"))
                 docs, values, ends = docs.values.to_numpy(), values.values.to_numpy(), ends.as_py()
-                lists = {t: (docs[a:b], values[a:b]) for t, a, b in zip(terms.as_py(), [0, *ends[:-1]], ends, strict=True)}
+                lists = {t: (docs[a:b], values[a:b]) for t, a, b in zip(terms.as_py(), [0, *ends][:-1], ends, strict=True)}
                 block = Block(np.asarray(ids.as_py(), object), lists, {pairs[p]: j[0] for p, j in zip(met.as_py(), joint.as_py(), strict=True)})
                 for n, units in enumerate(items):
                     some, score = block.best(units, floor[n], k)
