@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import nfkc, without_blanks
+from quillspan.operators.groups import group_sizes
 from quillspan.sources.scratch import written
 
 
@@ -44,62 +47,112 @@ def _texts(df: DataFrame, author: str, text: str) -> DataFrame:
     return own.where("author <> '' and length(t) >= 3").groupBy("author", "t").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def similar_pairs(texts: DataFrame, short: int = 15, n: int = 2) -> DataFrame:
+#: Longs of a set's parity, and texts that meet others as one block.
+PARITY, BLOCK = 8, 1024
+
+
+def parity(sets: Column) -> Column:
+    """``PARITY`` longs of bits that a set's numbers, hashed, turn over: two sets differ in at least as many numbers as their parities in bits."""
+
+    @F.arrow_udf("array<long>")
+    def bits(column: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(column), 1024):
+            part = column.slice(at, 1024)
+            sizes = part.value_lengths().to_numpy(zero_copy_only=False)
+            place = (part.flatten().to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)
+            row = np.repeat(np.arange(len(part)), sizes)
+            turned = np.bincount(row * 64 * PARITY + place.astype(np.int64), minlength=len(part) * 64 * PARITY).astype(np.uint8) & 1
+            out.append(np.packbits(turned.reshape(len(part) * PARITY, 64), axis=1, bitorder="little").view(np.int64).reshape(-1))
+        flat = np.concatenate(out) if out else np.empty(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, PARITY), pa.int32()), pa.array(flat))
+
+    return bits(sets)
+
+
+def _ids(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("id", F.xxhash64("author", "t"))
+
+
+def similar_sets(sets: DataFrame, most_pairs: int = 10**13) -> DataFrame:
+    """``id_a, id_b, jaccard`` with id_a < id_b: sets of one author that share four fifths or more of what they hold together.
+
+    Exact. Similar sets are in the same band of sizes, each a quarter larger than the one before, or in
+    neighbouring ones, so an author's sets meet within two bands only, in blocks of ``BLOCK`` sets on one side:
+    a common author or band is many small groups. What meets is compared by size and by 512 bits of
+    parity inside the join; only pairs that pass come out of it, and these are verified on the sets. ``sets`` has
+    ``author, id, set``. Where more than ``most_pairs`` pairs would meet, nothing is begun and an error raised.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9)
+    own = sets.select("author", "id", F.size("set").alias("n"), parity(F.col("set")).alias("p")).where("n > 0").withColumn("band", band)
+    own = own.select("author", "id", "n", "band", *(F.col("p")[i].alias(f"p{i}") for i in range(PARITY)))
+    own = written(own, "parity")
+    sizes = own.groupBy("author", "band").agg(F.count(F.lit(1)).alias("m"))
+    below = sizes.select("author", (F.col("band") + 1).alias("band"), F.col("m").alias("w"))
+    sizes = written(sizes.join(below, ["author", "band"], "left").withColumn("w", F.coalesce("w", F.lit(0)) + F.col("m")), "bands")
+    total = sizes.agg(F.sum(F.col("m").cast("double") * F.col("w"))).first()[0] or 0
+    if total > most_pairs:
+        raise ValueError(f"{total:.3g} pairs of texts would meet; the limit is {most_pairs:.3g}")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("long")
+    sizes = sizes.select("author", "band", blocks.alias("blocks"))
+    y = own.join(sizes, ["author", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
+    x = own.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(sizes, ["author", "band"])
+    x = x.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    c = lambda side, name: F.col(f"{side}.{name}")
+    # Of sets of one size the smaller id comes first, so a pair meets once.
+    order = (c("x", "n") < c("y", "n")) | (c("x", "n") == c("y", "n")) & (c("x", "id") < c("y", "id"))
+    apart = sum((F.bit_count(c("x", f"p{i}").bitwiseXOR(c("y", f"p{i}"))) for i in range(PARITY)), F.lit(0))
+    near = x.alias("x").join(y.alias("y"), ["author", "band", "block"]).where(order & (5 * c("x", "n") >= 4 * c("y", "n")) & (9 * apart <= c("x", "n") + c("y", "n")))
+    near = written(near.select(F.least("x.id", "y.id").alias("id_a"), F.greatest("x.id", "y.id").alias("id_b")), "near")
+    side = lambda k: sets.select(F.col("id").alias(f"id_{k}"), F.col("set").alias(f"s{k}"))
+    both = near.join(side("a"), "id_a").join(side("b"), "id_b").withColumn("m", F.size(F.array_intersect("sa", "sb")))
+    return both.where("5 * m >= 4 * (size(sa) + size(sb) - m)").select("id_a", "id_b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))
+
+
+def _long_sets(texts: DataFrame, short: int, n: int) -> DataFrame:
+    long = _ids(texts).where(F.length("t") >= max(short, n))
+    return written(long.select("author", "id", gram_numbers(F.col("t"), n).alias("set")), "sets")
+
+
+def similar_pairs(texts: DataFrame, short: int = 15, n: int = 2, most_pairs: int = 10**13) -> DataFrame:
     """``author, a, b, jaccard`` with a < b: different long texts of one author whose n-gram sets share four fifths or more.
 
-    Exact. Each set's rarest grams are its prefix, long enough that two similar sets share one of them;
-    only texts that meet in a prefix gram, and whose sizes fit, are compared. The join is on author and
-    gram, so one common author is spread over its grams. ``texts`` has ``author, t``.
+    Exact, see ``similar_sets``; texts come back only for the pairs that hold. ``texts`` has ``author, t``.
     """
-    long = texts.where(F.length("t") >= max(short, n)).select("author", "t", F.xxhash64("author", "t").alias("id"), gram_numbers(F.col("t"), n).alias("set"))
-    long = written(long, "sets")  # read six times below
-    grams = long.select("author", "id", F.size("set").alias("n"), F.explode("set").alias("g"))
-    counts = grams.groupBy("author", "g").agg(F.count(F.lit(1)).alias("c"))
-    ordered = grams.join(counts, ["author", "g"]).groupBy("author", "id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("o"))
-    # Of n grams, any ceil(4n/5) include one of the first n - ceil(4n/5) + 1.
-    prefix = ordered.select("author", "id", "n", F.posexplode(F.slice("o", F.lit(1), F.expr("n - (4 * n + 4) div 5 + 1"))).alias("i", "x"))
-    a, b = (prefix.select("author", "x.g", F.col("id").alias(f"id_{k}"), F.col("n").alias(f"n_{k}"), F.col("i").alias(f"i_{k}")) for k in "ab")
-    # Sizes must fit; so must what is left behind the place where two sets first meet.
-    met = a.join(b, ["author", "g"]).where("id_a < id_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    first = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.min("i_a").alias("i_a"), F.min("i_b").alias("i_b"))
-    first = first.where("9 * least(n_a - i_a, n_b - i_b) >= 4 * (n_a + n_b)").select("id_a", "id_b")
-    # Only sets of numbers travel to be compared; texts come back for the pairs that hold.
-    sets = long.select("id", "set")
-    both = first.join(sets.select(F.col("id").alias("id_a"), F.col("set").alias("sa")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("set").alias("sb")), "id_b")
-    both = both.withColumn("both", F.size(F.array_intersect("sa", "sb"))).where("5 * both >= 4 * (size(sa) + size(sb) - both)")
-    both = both.select("id_a", "id_b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))
-    one = both.join(long.select(F.col("id").alias("id_a"), "author", F.col("t").alias("ta")), "id_a")
-    both = one.join(long.select(F.col("id").alias("id_b"), F.col("author").alias("_author"), F.col("t").alias("tb")), "id_b").where("author = _author")
+    both = similar_sets(_long_sets(texts, short, n), most_pairs)
+    own = _ids(texts.select("author", "t"))
+    one = both.join(own.select(F.col("id").alias("id_a"), "author", F.col("t").alias("ta")), "id_a")
+    both = one.join(own.select(F.col("id").alias("id_b"), F.col("author").alias("_author"), F.col("t").alias("tb")), "id_b").where("author = _author")
     return both.select("author", F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), "jaccard")
 
 
-def flagged_texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``author, t`` of the texts in groups of three records or more, copies counted.
+def similar_groups(texts: DataFrame, short: int = 15, n: int = 2, most_pairs: int = 10**13) -> DataFrame:
+    """``author, t, copies, group, size``: every text's group of similar texts, over any number of links, and the records in it.
 
-    A text is in such a group exactly if it, or a text it is similar to, has two records beside it.
+    Short texts are similar only if equal, so they are groups by themselves. ``texts`` has ``author, t, copies``;
+    ``group`` is a number that the group's texts share.
     """
-    sides = pairs.select("author", F.col("a").alias("t"), F.col("b").alias("o")).unionByName(pairs.select("author", F.col("b").alias("t"), F.col("a").alias("o")))
-    weight = texts.select("author", F.col("t").alias("o"), "copies")
-    around = sides.join(weight, ["author", "o"]).groupBy("author", "t").agg(F.sum("copies").alias("near"))
-    degree = texts.join(around, ["author", "t"], "left").withColumn("others", F.col("copies") - 1 + F.coalesce("near", F.lit(0)))
-    full = degree.where("others >= 2").select("author", "t")
-    beside = sides.join(full, ["author", "t"], "left_semi").select("author", F.col("o").alias("t"))
-    return full.unionByName(beside).distinct()
+    edges = similar_sets(_long_sets(texts, short, n), most_pairs).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    own = _ids(texts)
+    sized = group_sizes(own.select(F.col("id").alias("node"), "copies"), edges, "copies")
+    return own.join(sized.select(F.col("node").alias("id"), F.col("root").alias("group"), "size"), "id").select("author", "t", "copies", "group", "size")
 
 
-def flag_similar(df: DataFrame, author: str = "author", text: str = "text", short: int = 15, warning: str = "looks_copied", fix: str = "rewrite in own words", exclude: Column | None = None) -> DataFrame:
-    """Adds ``copied``, and, where there are findings' columns, the warning and its fix item once; PASS becomes WARNING.
+def flag_similar(df: DataFrame, author: str = "author", text: str = "text", short: int = 15, warning: str = "looks_copied", fix: str = "rewrite in own words", exclude: Column | None = None, least: int = 3) -> DataFrame:
+    """Adds ``copied`` (in a group of ``least`` records or more), ``copy_group`` and ``copy_size``.
 
-    Rows that ``exclude`` holds for, rows without an author and texts under three characters are compared
-    with nothing. Short texts are similar only if equal.
+    Where there are findings' columns, copied ones get the warning and its fix item once; PASS becomes WARNING.
+    Rows that ``exclude`` holds for, rows without an author and texts under three characters are compared with
+    nothing: their group is null. Short texts are similar only if equal.
     """
     compared = df if exclude is None else df.where(~exclude)
     texts = _texts(compared, author, text)
-    found = flagged_texts(texts, similar_pairs(texts, short)).select(F.col("author").alias("_a"), F.col("t").alias("_t"), F.lit(True).alias("copied"))
+    found = similar_groups(written(texts, "texts"), short).select(F.col("author").alias("_a"), F.col("t").alias("_t"), F.col("group").alias("copy_group"), F.col("size").alias("copy_size"))
     own = df.withColumns({"_a": F.upper(without_blanks(nfkc(F.col(author)))), "_t": without_blanks(nfkc(F.col(text)))})
     if exclude is not None:
         own = own.withColumn("_a", F.when(~exclude, F.col("_a")))
-    out = own.join(found, ["_a", "_t"], "left").withColumn("copied", F.coalesce("copied", F.lit(False))).select(*df.columns, "copied")
+    own = own.join(found, ["_a", "_t"], "left").withColumn("copied", F.coalesce(F.col("copy_size") >= least, F.lit(False)))
+    out = own.select(*df.columns, "copied", "copy_group", "copy_size")
     if {"warnings", "fix_items", "severity"} <= set(df.columns):
         add = lambda c, v: F.when(F.col("copied"), F.array_union(c, F.array(F.lit(v)))).otherwise(F.col(c))
         out = out.withColumns({"warnings": add("warnings", warning), "fix_items": add("fix_items", fix), "severity": F.when(F.col("copied") & (F.col("severity") == "PASS"), "WARNING").otherwise(F.col("severity"))})

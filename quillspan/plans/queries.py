@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import keys as K
@@ -213,6 +213,32 @@ def copied_texts(s, d):
     return similar.flag_similar(read(s, d, "documents"), "source", "text").select("doc_id", "copied")
 
 
+#: Records in chains: each text is like the one before and the one after it and no other; some numbers are missing, so chains have one, two or four links.
+_CHAIN_GAPS = (0, 1, 3, 6)
+
+
+def _chains(s: SparkSession, d: str) -> DataFrame:
+    """``k, author, text``: a window of 30 letters that moves on by two with every customer."""
+    letter = lambda x: F.decode(F.unhex(F.hex(19968 + x % 20000)), "UTF-16BE")
+    k = F.col("c_custkey")
+    text = F.array_join(F.transform(F.sequence(2 * k, 2 * k + 29), letter), "")
+    return read(s, d, "customer").where(~(k % 11).isin(*_CHAIN_GAPS)).select(k.alias("k"), F.concat(F.lit("n"), F.expr("c_custkey div 500")).alias("author"), text.alias("text"))
+
+
+_CHAINS = f"""with recursive c as (select c_custkey as k, 'n' || (c_custkey // 500) as author, array_to_string(list_transform(range(2 * c_custkey, 2 * c_custkey + 30), lambda x: chr((19968 + x % 20000)::int)), '') as t from customer where c_custkey % 11 not in {_CHAIN_GAPS}),
+  g as (select k, author, list_transform(range(1, 30), lambda i: substr(t, i, 2)) as g from c),
+  e as (select a.k as a, b.k as b from g a join g b on a.author = b.author and a.k <> b.k and abs(a.k - b.k) < 15 where len(list_intersect(a.g, b.g)) * 5 >= 4 * (58 - len(list_intersect(a.g, b.g)))),
+  r(k, root) as (select k, k from c union select e.b, r.root from r join e on r.k = e.a),
+  w as (select k, min(root) as root from r group by 1), n as (select root, count(*) as size from w group by 1)"""
+
+
+@query(_CHAINS + " select k, root, size, size >= 2 as in_2, size >= 3 as in_3, size >= 4 as in_4 from w join n using (root)")
+def copied_groups(s, d):
+    """Groups over any number of links, named by their smallest record, and who is in one of two, three or four records or more."""
+    flagged = similar.flag_similar(_chains(s, d), least=2).withColumn("root", F.min("k").over(Window.partitionBy("copy_group")))
+    return flagged.select("k", "root", F.col("copy_size").alias("size"), F.col("copied").alias("in_2"), *((F.col("copy_size") >= n).alias(f"in_{n}") for n in (3, 4)))
+
+
 @query(_SIMILAR.replace("from documents group by all", "from documents where lang <> 'fr' group by all") + """, e as (select author, a as t, b as o from q union all select author, b, a from q),
   n as (select e.author, e.t, sum(copies) as near from e join t on t.author = e.author and t.t = e.o group by all),
   f as (select t.author, t.t from t left join n using (author, t) where t.copies - 1 + coalesce(near, 0) >= 2 and length(t.t) >= 3),
