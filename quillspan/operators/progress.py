@@ -45,12 +45,14 @@ def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: str, sep
 def target_progress(targets: DataFrame, units: DataFrame) -> DataFrame:
     """Counts and rates of every target; one without units stays, with counts of 0 and no rates.
 
-    Executed units of a target without a period count as after it.
+    A target is a row of its page, told by ``seq``: of several that have one number, each counts the number's
+    units by its own period. Executed units of a target without a period count as after it.
     """
     own = assigned_units(units.select("page_key", "row_no", "exec_date", "textbook", "target_checks")).drop("target_checks")
-    joined = own.join(targets.select("page_key", "target_no", "start_date", "end_date"), ["page_key", "target_no"])
+    periods = targets.select("page_key", "seq", "target_no", "start_date", "end_date")
+    joined = own.join(periods, ["page_key", "target_no"])
     t = timing(F.col("exec_date"), F.col("start_date"), F.col("end_date"))
-    counts = joined.withColumn("t", t).groupBy("page_key", "target_no").agg(
+    counts = joined.withColumn("t", t).groupBy("page_key", "seq").agg(
         F.count(F.lit(1)).alias("units"),
         F.count("exec_date").alias("executed"),
         F.count_if(F.col("t") == "on_time").alias("on_time"),
@@ -60,15 +62,26 @@ def target_progress(targets: DataFrame, units: DataFrame) -> DataFrame:
         F.max("exec_date").alias("latest"),
     )
     books = ordered_distinct(own, ["page_key", "target_no"], "textbook", "row_no")
-    out = targets.join(counts, ["page_key", "target_no"], "left").join(books, ["page_key", "target_no"], "left")
+    out = targets.join(counts, ["page_key", "seq"], "left").join(books, ["page_key", "target_no"], "left")
     numbers = ["units", "executed", "on_time", "before", "after", "not_executed"]
     out = out.withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast("int") for n in numbers})
     return out.withColumns({f"{n}_rate": pct(F.col(n), F.col("units")) for n in numbers[1:]})
 
 
+def with_targets(progress: DataFrame, targets: DataFrame) -> DataFrame:
+    """Progress rows with their target's columns; rows kept from before ``seq`` was stored take the last target of their number."""
+    there = progress.where("seq is not null").join(targets.drop("target_no"), ["page_key", "seq"], "left")
+    before = progress.where("seq is null").drop("seq").join(last_target(targets), ["page_key", "target_no"], "left")
+    return there.unionByName(before.select(*there.columns))
+
+
+#: What doesn't add up in a row of progress.
+INCONSISTENT = "units <> on_time + before + after + not_executed or executed <> on_time + before + after"
+
+
 def inconsistent(progress: DataFrame) -> DataFrame:
     """Rows whose counts don't add up; none are expected."""
-    return progress.where("units <> on_time + before + after + not_executed or executed <> on_time + before + after")
+    return progress.where(INCONSISTENT)
 
 
 def delayed_targets(targets: DataFrame, default: str = "?", sep: str = ", ") -> DataFrame:

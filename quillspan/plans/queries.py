@@ -41,8 +41,18 @@ _DATE = "coalesce(strftime({0}, '%Y/%m/%d'), '-') as {0}"
 _STUDENT = "coalesce(nullif(classroom, ''), 'unknown') as classroom, student_id, grade, student_name, division, subject"
 
 
-@query(roles.SQL + f"""select {_STUDENT}, target_no, target_name, progress_delay, {_DATE.format('start_date')}, {_DATE.format('end_date')}, coalesce(period_text, '-') as period_text, is_current,
-  coalesce(textbooks, '-') as textbooks, target_score, coalesce(current_score, '-') as current_score, units, executed, on_time, before, after, not_executed, {_RATES}, {_DATE.format('latest')} from progress join overview using (page_key)""")
+_PROGRESS = f"""select {_STUDENT}, target_no, target_name, progress_delay, {_DATE.format('start_date')}, {_DATE.format('end_date')}, coalesce(period_text, '-') as period_text, is_current,
+  coalesce(textbooks, '-') as textbooks, target_score, coalesce(current_score, '-') as current_score, units, executed, on_time, before, after, not_executed, {_RATES}, {_DATE.format('latest')} from progress join overview using (page_key)"""
+
+
+@query(roles.SQL + roles.REPEATED + "select page_key, seq::int as seq, target_no, units, executed, on_time, before, after, not_executed, strftime(latest, '%Y/%m/%d') as latest_text, textbooks from rprogress")
+def progress_by_target(s, d):
+    """Pages on which a target's number stands twice: each counts by its own period."""
+    p = P.target_progress(roles.repeated_targets(s, d), roles.units(s, d))
+    return p.select("page_key", "seq", "target_no", "units", "executed", "on_time", "before", "after", "not_executed", F.date_format("latest", "yyyy/MM/dd").alias("latest_text"), "textbooks")
+
+
+@query(roles.SQL + _PROGRESS)
 def report_progress(s, d):
     return R.report_progress(roles.overview(s, d), _progress(s, d))
 

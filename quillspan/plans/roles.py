@@ -43,6 +43,15 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets, and on many pages T1 once more with the third year as its period, or T2 without one."""
+    t, k = targets(spark, sf_dir), F.col("order_key")
+    first = t.where((F.col("seq") == 1) & (k % 2 == 0)).withColumns({"seq": F.lit(4), "target_name": F.lit("again 1"), "start_date": F.date_add("start_date", 732), "end_date": F.date_add("end_date", 732)})
+    second = t.where((F.col("seq") == 2) & (k % 3 == 1)).withColumns({"seq": F.lit(5), "target_name": F.lit("again 2"), "start_date": F.lit(None).cast("date"), "end_date": F.lit(None).cast("date")})
+    more = first.unionByName(second).withColumns({"is_current": F.lit(False), "period_text": F.lit(None).cast("string")})
+    return t.unionByName(more)
+
+
 LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
@@ -130,6 +139,22 @@ findings as (
     from documents left join labels using (doc_id)) join overview on order_key = doc_id)
 """
 
+#: Targets that repeat a number, and their progress; goes on from ``SQL``.
+REPEATED = """,
+rtargets as (
+  select * from targets
+  union all select page_key, order_key, 4, target_no, 'again 1', start_date + 732, end_date + 732, progress_delay, target_score, current_score, false, null from targets where seq = 1 and order_key % 2 = 0
+  union all select page_key, order_key, 5, target_no, 'again 2', null, null, progress_delay, target_score, current_score, false, null from targets where seq = 2 and order_key % 3 = 1),
+rcounts as (
+  select page_key, t.seq, count(*) as units, count(exec_date) as executed, count(*) filter (exec_date between t.start_date and t.end_date) as on_time, count(*) filter (exec_date < t.start_date) as before,
+    count(*) filter (exec_date > t.end_date or exec_date is not null and t.start_date is null) as after, count(*) filter (exec_date is null) as not_executed, max(exec_date) as latest
+  from assigned join rtargets t using (page_key, target_no) group by all),
+rprogress as (
+  select t.*, coalesce(units, 0)::int as units, coalesce(executed, 0)::int as executed, coalesce(on_time, 0)::int as on_time, coalesce(before, 0)::int as before, coalesce(after, 0)::int as after,
+    coalesce(not_executed, 0)::int as not_executed, latest, textbooks
+  from rtargets t left join rcounts using (page_key, seq) left join books using (page_key, target_no))
+"""
+
 
 def num_sql(v: str) -> str:
     return f"coalesce(case when {v} = floor({v}) then {v}::bigint::varchar else {v}::varchar end, '-')"

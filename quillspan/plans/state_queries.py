@@ -9,7 +9,7 @@ from quillspan.functions.text import clean_branch_name
 from quillspan.operators import rules, sections, state
 from quillspan.operators import progress as P
 from quillspan.plans import html_roles, jobs, reports, roles
-from quillspan.plans.queries import _FINDINGS, _UNITS, query
+from quillspan.plans.queries import _FINDINGS, _PROGRESS, _UNITS, query
 from quillspan.plans.roles import read
 from quillspan.schemas import PAGES, STORE
 from quillspan.sources import html as H
@@ -222,7 +222,7 @@ def _stream_path(s: SparkSession, d: str, e: DataFrame) -> str:
 _KEPT_PAGES = "overview where order_key % 3 > 0"
 
 
-def _store(s: SparkSession, d: str) -> dict[str, DataFrame]:
+def _store(s: SparkSession, d: str, targets: DataFrame | None = None) -> dict[str, DataFrame]:
     """The role tables as a store: pages of every third order are fetched and not parsed, all others saved with their rows."""
     o = roles.overview(s, d)
     waiting = F.col("order_key") % 3 == 0
@@ -231,7 +231,7 @@ def _store(s: SparkSession, d: str) -> dict[str, DataFrame]:
     o = o.join(page, "page_key").withColumns(own)
     typed = lambda df, name: df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORE[name].fields))
     saved = o.where(~waiting).select("page_key")
-    t, u = roles.targets(s, d).join(saved, "page_key", "left_semi"), roles.units(s, d).join(saved, "page_key", "left_semi")
+    t, u = (roles.targets(s, d) if targets is None else targets).join(saved, "page_key", "left_semi"), roles.units(s, d).join(saved, "page_key", "left_semi")
     return {"pages": typed(o, "pages"), "targets": typed(t, "targets"), "units": typed(u, "units"), "progress": typed(P.target_progress(t, u), "progress"), "findings": typed(roles.findings(s, d).join(saved, "page_key", "left_semi"), "findings")}
 
 
@@ -265,6 +265,12 @@ def demo_excluded_units(s, d):
     return jobs.all_reports(_store(s, d), demo_full=DEMO)["units"]
 
 
+@query(roles.SQL + roles.REPEATED + f"select * from ({_PROGRESS.replace('from progress', 'from rprogress')} where overview.order_key % 3 > 0)")
+def repeated_target_report(s, d):
+    """The whole report on pages that repeat a target's number: a row for each target and no more."""
+    return jobs.all_reports(_store(s, d, roles.repeated_targets(s, d)))["progress"]
+
+
 @query(roles.SQL + """, k as (select student_id, arg_min(classroom, (row_index, page_key)) as known from overview where classroom <> '' group by 1)
   select target_no, coalesce(known, 'unknown') as classroom, count(*) as n from progress join overview using (page_key) left join k using (student_id) where overview.order_key % 3 > 0 group by all""")
 def backfilled_progress(s, d):

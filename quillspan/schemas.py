@@ -28,7 +28,7 @@ UNITS = _schema(
     "exec_date date, today_textbook string, division_text string, confirm_test string, target_checks map<string,boolean>"
 )
 PROGRESS = _schema(
-    "page_key string, target_no string, units int, executed int, on_time int, before int, after int, not_executed int, executed_rate double, on_time_rate double, "
+    "page_key string, seq int, target_no string, units int, executed int, on_time int, before int, after int, not_executed int, executed_rate double, on_time_rate double, "
     "before_rate double, after_rate double, not_executed_rate double, latest date, textbooks string"
 )
 FINDINGS = _schema(
