@@ -51,23 +51,59 @@ GENERATORS = (
 )
 FEATURES = ("kind", "gen", "size", "digits", "groups", "first", "last", "longest", "spaces", "points", "dashes", "marks", "plus", "paren", "luhn", "octets", "before", "after", "cue")
 _SPAN = "struct<kind:int,start:int,end:int>"
+_CANDIDATE = "struct<kind:int,start:int,end:int," + ",".join(f"{f}:int" for f in FEATURES[1:]) + ">"
+#: Code points of the blocks that a text is cut into, so that what stands at a place is found without walking to it.
+_PIECE = 1024
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches as an array of ``start, end, hit``, counted in code points from 0."""
+def scanned(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, or maxima, of an array of numbers.
 
-    def places(gaps: Column) -> Column:
-        def step(acc: Column, pair: Column) -> Column:
-            start = acc["pos"] + F.length(pair["gap"])
-            end = start + F.length(pair["hit"])
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit")))).alias("out"))
+    By blocks: an array that grows by an element at a time is copied each time, so only those within a block of
+    512 do, and then that of the blocks' totals.
+    """
+    block = 512
+
+    def grown(a: Column) -> Column:
+        return F.aggregate(a, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(merge(x, F.element_at(acc, -1))))))
+
+    def blocks(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda i: grown(F.slice(a, i * block + 1, block)))
+
+    def joined(parts: Column) -> Column:
+        totals = grown(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return F.flatten(F.zip_with(parts, F.concat(F.array(F.lit(None).cast("int")), F.slice(totals, 1, F.size(parts) - 1)), lambda p, t: F.transform(p, lambda x: F.when(t.isNull(), x).otherwise(merge(x, t)))))
+
+    return bound(values, lambda a: F.when(F.size(a) <= block, grown(a)).otherwise(bound(blocks(a), joined)))
+
+
+def located(text: Column, pattern: str, context: int = 0) -> Column:
+    """All matches as an array of ``start, end, hit``, counted in code points from 0; with a ``context``, also as many characters before it, at least, as ``near`` and the one after it as ``next``.
+
+    Places are running sums of lengths, and context comes from the neighbouring pieces, so no text is walked for each match.
+    """
 
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        none = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
-        return F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), none, step, lambda acc: acc["out"])
+    def places(pieces: Column) -> Column:
+        gaps, hits = pieces["gaps"], pieces["hits"]
 
-    return bound(F.split(text, pattern, -1), places)
+        def one(hit: Column, i: Column) -> Column:
+            end = F.get(pieces["ends"], i)
+            cols = [(end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit")]
+            if context:
+                back = F.greatest(i - 4, F.lit(0))  # a candidate has six characters or more
+                around = F.zip_with(F.slice(gaps, back + 1, i - back), F.slice(hits, back + 1, i - back), lambda g, h: F.concat(g, h))
+                near = F.concat(F.array_join(around, ""), F.get(gaps, i))
+                cols += [F.right(near, F.lit(context)).alias("near"), F.substr(F.concat(F.coalesce(F.get(gaps, i + 1), F.lit("")), F.coalesce(F.get(hits, i + 1), F.lit(""))), F.lit(1), F.lit(1)).alias("next")]
+            return F.struct(*cols)
+
+        return F.transform(hits, one)
+
+    def summed(pieces: Column) -> Column:
+        lengths = F.transform(pieces["hits"], lambda h, i: F.length(F.get(pieces["gaps"], i)) + F.length(h))
+        return F.struct(pieces["gaps"].alias("gaps"), pieces["hits"].alias("hits"), scanned(lengths, lambda x, y: x + y).alias("ends"))
+
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return bound(bound(found, summed), places)
 
 
 def _digits(hit: Column) -> Column:
@@ -127,7 +163,7 @@ def candidates(text: Column) -> Column:
             groups = F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0))
             n = F.length(_digits(hit))
             kind = F.lit(own_kind) if own_kind >= 0 else F.when((n >= 13) & ~hit.startswith("+"), 2).otherwise(3)
-            near = F.lower(F.substr(text, F.greatest(F.lit(1), m["start"] - 23), F.least(F.lit(24), m["start"])))
+            near = F.lower(m["near"])
             cue = F.when(near.rlike(r"tel|phone|call|mobil|fax|whatsapp"), 3).when(near.rlike(r"card|visa|konto|account|amex"), 2).when(near.rlike(r"mail|contact|write to"), 1).when(near.rlike(r"version|isbn|token|key|order|serial|\bid\b|\bno\b|\$|€"), 4).otherwise(0)
             size = lambda g: F.least(F.length(F.coalesce(g, F.lit(""))), F.lit(20))
             return F.struct(
@@ -137,14 +173,13 @@ def candidates(text: Column) -> Column:
                 F.when(hit.rlike(r"\(at\)|\[at\]|\x20at\x20|\(dot\)|\[dot\]|\x20dot\x20|\[\.\]|\(\.\)|\x20[@.]\x20"), 1).otherwise(0).alias("marks"),
                 hit.startswith("+").cast("int").alias("plus"), F.contains(hit, F.lit("(")).cast("int").alias("paren"), F.when(n.between(13, 19), (luhn_sum(_digits(hit)) % 10 == 0).cast("int")).otherwise(0).alias("luhn"),
                 (_octets(F.regexp_replace(hit, r"^[^0-9]+|[^0-9]+$", "")) & (n > 0)).cast("int").alias("octets"),
-                sort(F.when(m["start"] == 0, "").otherwise(F.substr(text, m["start"], F.lit(1)))).alias("before"), sort(F.substr(text, m["end"] + 1, F.lit(1))).alias("after"), cue.alias("cue"),
+                sort(F.right(m["near"], F.lit(1))).alias("before"), sort(m["next"]).alias("after"), cue.alias("cue"),
             )
 
         return features
 
-    kind = "array<struct<kind:int,start:int,end:int," + ",".join(f"{f}:int" for f in FEATURES[1:]) + ">>"
-    none = F.array().cast(kind)
-    parts = [F.when(there, F.transform(located(text, g), with_features(i, own))).otherwise(none) for i, ((own, g), there) in enumerate(zip(GENERATORS, present, strict=True))]
+    none = F.array().cast(f"array<{_CANDIDATE}>")
+    parts = [F.when(there, F.transform(located(text, g, 24), with_features(i, own))).otherwise(none) for i, ((own, g), there) in enumerate(zip(GENERATORS, present, strict=True))]
     return F.concat(*parts)
 
 
@@ -339,24 +374,60 @@ def fit(docs: DataFrame, precision: float = 0.95, carriers: int = 60, trees: int
         rows.unpersist()
 
 
-def spans_column(text: Column, model: Model, base: Column | None = None) -> Column:
-    """Base spans and those the model adds, in the order of kind and start.
+def added_spans(df: DataFrame, text: str, base: str, model: Model, out: str) -> DataFrame:
+    """Adds ``out``: the base spans and those the model adds, in the order of kind and start.
 
     Of candidates that overlap, the one of the highest probability stays, then the longer, then the earlier one.
+    ``text`` must not be null. Each step is a column of its own, under the name of ``out``.
     """
     if not model.thresholds:
-        return base_spans(text) if base is None else base
-    span = lambda c, *more: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), *more)
+        return df.withColumn(out, F.col(base))
+    none = F.array().cast(f"array<{_SPAN}>")
 
-    def joined(own: Column) -> Column:
-        free = F.filter(candidates(text), lambda c: ~F.exists(own, lambda b: _touch(b, c)))
-        scored = F.filter(F.transform(free, lambda c: F.struct(model.probability(c).alias("p"), (c["end"] - c["start"]).alias("size"), (-c["start"]).alias("early"), span(c).alias("s"), model.threshold(c).alias("cut"))), lambda x: x["p"] >= x["cut"])
-        best = F.sort_array(scored, asc=False)
-        none = F.array().cast(f"array<{_SPAN}>")
-        added = F.aggregate(best, none, lambda acc, x: F.when(F.exists(acc, lambda a: _touch(a, x["s"])), acc).otherwise(F.concat(acc, F.array(x["s"]))))
-        return F.when(F.size(scored) == 0, own).otherwise(F.array_sort(F.concat(own, added)))
+    def scored(c: Column) -> Column:
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), model.probability(c).alias("p"), c["kind"].alias("kind"), model.threshold(c).alias("cut"))
 
-    return bound(base_spans(text) if base is None else base, joined)
+    def best(cluster: Column) -> Column:
+        ranked = F.sort_array(F.transform(cluster, lambda c: F.struct(c["p"].alias("p"), (c["end"] - c["start"]).alias("size"), (-c["start"]).alias("early"), F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")).alias("s"))), asc=False)
+        return F.aggregate(ranked, none, lambda acc, x: F.when(F.exists(acc, lambda a: _touch(a, x["s"])), acc).otherwise(F.concat(acc, F.array(x["s"]))))
+
+    df = df.withColumn(out, candidates(F.col(text))).withColumn(out, untouched(F.col(base), F.col(out)))
+    df = df.withColumn(out, F.filter(F.transform(out, scored), lambda x: x["p"] >= x["cut"]))
+    df = df.withColumn(out, F.when(F.size(out) > 0, clusters(F.col(out))))
+    return df.withColumn(out, F.when(F.col(out).isNull(), F.col(base)).otherwise(F.array_sort(F.concat(base, F.flatten(F.transform(out, best))))))
+
+
+def untouched(spans: Column, others: Column) -> Column:
+    """Those of ``others`` that touch none of ``spans``, by one sorted sweep.
+
+    Spans stand in it at their starts, the others at their ends: one of these touches a span exactly if the
+    largest end of the spans before it lies behind its start.
+    """
+
+    def sweep(c: Column) -> Column:
+        marks = F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("span"), s["end"].alias("until"), F.lit(None).cast(_CANDIDATE).alias("c")))
+        asked = F.transform(c, lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("span"), F.lit(-1).alias("until"), x.alias("c")))
+
+        def kept(line: Column) -> Column:
+            until = scanned(F.transform(line, lambda x: x["until"]), lambda x, y: F.greatest(x, y))
+            return bound(until, lambda u: F.transform(F.filter(line, lambda x, i: (x["span"] == 0) & (F.get(u, i) <= x["c"]["start"])), lambda x: x["c"]))
+
+        return F.when((F.size(spans) == 0) | (F.size(c) == 0), c).otherwise(bound(F.array_sort(F.concat(marks, asked)), kept))
+
+    return bound(others, sweep)
+
+
+def clusters(spans: Column) -> Column:
+    """The spans by start, cut into arrays wherever one begins at or behind the end of all before it."""
+
+    def cut(line: Column) -> Column:
+        def runs(ends: Column) -> Column:
+            firsts = F.filter(F.sequence(F.lit(0), F.size(line) - 1), lambda i: (i == 0) | (F.get(line, i)["start"] >= F.get(ends, i - 1)))
+            return bound(firsts, lambda f: F.transform(f, lambda first, j: F.slice(line, first + 1, F.coalesce(F.get(f, j + 1), F.size(line)) - first)))
+
+        return bound(scanned(F.transform(line, lambda x: x["end"]), lambda x, y: F.greatest(x, y)), runs)
+
+    return bound(F.array_sort(spans), cut)
 
 
 def find_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,7 +438,16 @@ def find_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     own = own.select("doc_id", "t", base_spans(F.col("t")).alias("base"))
-    return own.select("doc_id", "base", spans_column(F.col("t"), model, F.col("base")).alias("spans"))
+    return added_spans(own, "t", "base", model, "spans").select("doc_id", "base", "spans")
+
+
+def masked(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All rows, with personal data in their text replaced by its kind; null texts stay null, other columns stay as they are."""
+    taken = {c.lower() for c in docs.columns}
+    t, base, spans = (next(n for i in range(len(taken) + 1) if (n := f"{name}_{i}") not in taken) for name in ("pii_text", "pii_base", "pii_spans"))
+    own = docs.withColumn(t, F.coalesce(F.col(text_col), F.lit(""))).withColumn(base, base_spans(F.col(t)))
+    own = added_spans(own, t, base, model, spans)
+    return own.withColumn(text_col, F.when(F.col(text_col).isNotNull(), redacted(F.col(t), F.col(spans)))).select(*docs.columns)
 
 
 def is_kind(kind: int) -> Callable[[Column], Column]:
@@ -384,10 +464,24 @@ def redacted(text: Column, spans: Column) -> Column:
     """The text with every stretch of touching spans replaced by the first one's kind in angle brackets."""
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.when(s["start"] < acc["pos"], F.array().cast("array<string>")).otherwise(F.array(F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.element_at(names, s["kind"] + 1)))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], piece).alias("out"))
+    def parts(x: Column) -> Column:
+        line, ends, blocks = x["line"], x["ends"], x["blocks"]
+
+        def piece(a: Column, b: Column) -> Column:
+            first = F.floor(a / _PIECE).cast("int")
+            held = F.array_join(F.slice(blocks, first + 1, F.floor(b / _PIECE).cast("int") - first + 1), "")
+            return F.substr(held, a % _PIECE + 1, b - a)
+
+        def one(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+            return F.when(s["start"] < before, "").otherwise(F.concat(piece(before, s["start"]), F.element_at(names, s["kind"] + 1)))
+
+        last = F.get(ends, F.size(line) - 1)
+        return F.concat(F.array_join(F.transform(line, one), ""), piece(last, F.length(text)))
+
+    def ended(line: Column) -> Column:
+        ends = scanned(F.transform(line, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+        return F.struct(line.alias("line"), ends.alias("ends"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)).alias("blocks"))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["pos"] + 1, F.length(text)))))
+    return F.when(F.size(spans) == 0, text).otherwise(bound(bound(ordered, ended), parts))

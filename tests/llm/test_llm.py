@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -300,7 +301,7 @@ def test_pii_overlaps_and_masks(spark):
         assert sorted(map(tuple, got[i].spans)) == want, text
     ordered = sorted(map(tuple, got[0].spans))
     assert all(a[2] <= b[1] for a, b in zip(ordered, ordered[1:], strict=False))
-    masked = [x.t for x in rows.orderBy("doc_id").select(pii.redacted(F.col("text"), pii.spans_column(F.col("text"), model)).alias("t")).collect()]
+    masked = [x.t for x in pii.masked(rows, model).orderBy("doc_id").select(F.col("text").alias("t")).collect()]
     assert masked[0] == "pay <CARD> <CARD> now" and masked[4] == "write <EMAIL> today" and masked[1].startswith("pay 4465")
     one = pii.fit(docs.limit(1))
     assert one.thresholds and pii.isotonic([(0.0, 4, 0), (1.0, 2, 2), (2.0, 2, 1), (3.0, 5, 5)]) == [(-0.025, 0.0), (0.975, 0.75), (2.975, 1.0)]
@@ -314,6 +315,25 @@ def _stats(t):
     return len(words), sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
+def test_pii_of_long_texts(spark):
+    """Running sums over blocks, and texts of many spans: as many, and as masked, as in short texts, in a time that grows with the text."""
+    from pyspark.sql import functions as F
+
+    numbers = [(i * 7919) % 23 for i in range(2000)]
+    rows = spark.createDataFrame([(numbers[:n],) for n in (0, 1, 511, 512, 513, 1024, 2000)], "a array<int>")
+    for r in rows.select("a", pii.scanned(F.col("a"), lambda x, y: x + y).alias("s"), pii.scanned(F.col("a"), lambda x, y: F.greatest(x, y)).alias("m")).collect():
+        assert r.s == np.cumsum(r.a).tolist() and r.m == np.maximum.accumulate(np.asarray(r.a, int)).tolist()
+    line = "é tel 5552-613-4477, +1 (269) 555-3296 and é@x.de a@b.de, 10.1.2.3; "
+    model = pii.Model(*(getattr(pii.fit(docs_of(spark, ["a few words stand here and there to read on " * 3] * 9)), k) for k in ("trees", "curves", "thresholds")))
+    began = time.time()
+    got = pii.find_spans(docs_of(spark, [line, line * 1500]), model).orderBy("doc_id").collect()
+    one = [(k, a, b) for k, a, b in map(tuple, got[0].spans)]
+    assert len(got[1].base) == 1500 * len(got[0].base) >= 4500 and sorted(map(tuple, got[1].spans)) == sorted((k, a + i * len(line), b + i * len(line)) for i in range(1500) for k, a, b in one)
+    masked = [r.text for r in pii.masked(docs_of(spark, [line, line * 1500]), model).orderBy("doc_id").collect()]
+    assert masked[1] == masked[0] * 1500 and "<PHONE>" in masked[0]
+    assert time.time() - began < 120
+
+
 def test_quality_rules(spark, edges, empty):
     texts = [*EDGES, "a b c a b c d\na b c a b c d\n\nü ü ü ü", "l\n" * 5, "# * $ % & | < >"]
     got = {r.doc_id: r for r in quality_rules.cascade(docs_of(spark, texts)).collect()}
