@@ -59,8 +59,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; ``n_chars`` is that of the new text, null texts stay null."""
     model = pii.fit(docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    masked = docs.withColumn("text", F.when(F.col("text").isNotNull(), pii.redacted(text, pii.spans_column(text, model))))
+    masked = pii.masked(docs, model)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else masked
 
 
