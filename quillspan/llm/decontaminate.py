@@ -7,9 +7,10 @@ bottom-k MinHash sketch - is always in the document: the search has no false neg
 partitioned by their number of shingles, in powers of four, and a partition is searched only for items whose
 required shingles can fit into it. What the sketches find is verified on the shingles' texts.
 
-The documents are read once, whatever the number of items. Up to ``most_probes`` sketch hashes are broadcast and met
-where the documents are; more are joined by a shuffle of the documents' hashes, each with a hash of its text, and
-only what meets goes back to the texts. No hash becomes part of a plan or is collected.
+The search passes on numbers only: a hash of the text, its size class and its shingles' hashes meet the sketches'
+hashes, and what meets is made distinct, however many hashes of an item a text holds. Only texts that meet an item
+are read again to be verified. Up to ``most_probes`` sketch hashes are broadcast, and items and their rows where
+their measured size is small; all else is joined by a shuffle. No hash becomes part of a plan or is collected.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.shared import bound, written
+from quillspan.llm.shared import bound, broadcast_if_small, written
 
 WORDS = r"[\p{L}\p{N}]+"
 
@@ -40,7 +41,7 @@ def _texts(words: Column, n: int) -> Column:
     """The distinct shingles as texts."""
 
     def shingles(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.concat_ws(" ", F.slice(w, i, n)))
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(n))))
         return F.when(F.size(w) >= n, runs).when(F.size(w) > 0, F.array(F.concat_ws(" ", w))).otherwise(F.array().cast("array<string>"))
 
     return F.array_distinct(bound(words, shingles))
@@ -63,7 +64,7 @@ def _size_class(n: Column) -> Column:
 
 
 def contained_items(
-    docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = 5, most_probes: int = 200_000,
+    docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = 5, most_probes: int = 200_000, most_bytes: int = 64 << 20,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id, item_id, n_shingles, n_found, containment``: a row for each document row and item row that it holds.
@@ -79,27 +80,22 @@ def contained_items(
     sketches = item_sketches(items, threshold, words, item_col, item_text)
     sketches = written(sketches.withColumn("key", F.xxhash64(F.array_sort("shingles"))), "items")
     distinct = sketches.groupBy("key").agg(F.first(F.struct("need", "sketch", "shingles")).alias("i")).select("key", "i.*")
-    probes = distinct.select("key", "need", "sketch", F.explode("sketch").alias("h"))
-    index = probes.select("h", "key", _size_class(F.col("need")).alias("class"), "sketch")
-    total, bytes_ = distinct.agg(F.sum(F.size("sketch")), F.sum(F.octet_length(F.to_json("shingles")))).first()
-    small = (total or 0) <= most_probes and (bytes_ or 0) <= 64 * most_probes * words
+    index = distinct.select(_size_class(F.col("need")).alias("class"), "key", F.explode("sketch").alias("h"))
+    rows = sketches.count()
+    probes, bytes_ = distinct.agg(F.coalesce(F.sum(F.size("sketch").cast("long")), F.lit(0)), F.coalesce(F.sum(F.aggregate("shingles", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16)), F.lit(0))).first()
+    sent = lambda df, fits: F.broadcast(df) if fits else df
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
     # Where Spark can't rule out a null it tests for one first, and computes all hashes twice.
-    hashed = lambda text: F.array_distinct(F.coalesce(_hashes(words_of(text), words), F.array().cast("array<bigint>")))
-    if small:
-        met = own.withColumn("_hs", hashed(F.col("text")))
-        met = met.select("*", _size_class(F.size("_hs")).alias("_class"), F.explode_outer("_hs").alias("_h"))
-        met = met.join(F.broadcast(index), (F.col("_h") == F.col("h")) & (F.col("class") <= F.col("_class")))
-        met = met.where(F.col("_h") == F.array_min(F.array_intersect("_hs", "sketch")))  # a document meets an item once
-        met = met.select("doc_id", "text", *keep, "key").join(F.broadcast(distinct.select("key", "shingles", "need")), "key")
-    else:
-        shingles = own.select(F.xxhash64("text").alias("_t"), hashed(F.col("text")).alias("_hs"))
-        shingles = shingles.select("_t", _size_class(F.size("_hs")).alias("_class"), F.explode_outer("_hs").alias("_h")).where("_h is not null")
-        pairs = shingles.join(index, (F.col("_h") == F.col("h")) & (F.col("class") <= F.col("_class"))).select("_t", "key").distinct()
-        met = own.withColumn("_t", F.xxhash64("text")).join(pairs, "_t").join(distinct.select("key", "shingles", "need"), "key")
+    hashed = F.array_distinct(F.coalesce(_hashes(words_of(F.col("text")), words), F.array().cast("array<bigint>")))
+    shingles = own.select(F.xxhash64("text").alias("_t"), hashed.alias("_hs"))
+    shingles = shingles.select("_t", _size_class(F.size("_hs")).alias("_class"), F.explode_outer("_hs").alias("_h")).where("_h is not null")
+    met = shingles.join(sent(index, probes <= most_probes), (F.col("_h") == F.col("h")) & (F.col("class") <= F.col("_class")))
+    pairs = written(met.select("_t", "key").distinct(), "met")
+    met = own.withColumn("_t", F.xxhash64("text")).join(broadcast_if_small(pairs), "_t")
+    met = met.join(sent(distinct.select("key", "shingles", "need"), bytes_ <= most_bytes), "key")
     met = met.withColumn("n_found", F.size(F.array_intersect("shingles", _texts(words_of(F.col("text")), words)))).where("n_found >= need")
     met = met.select("key", "doc_id", F.size("shingles").alias("n_shingles"), "n_found", *keep)
-    out = met.join(F.broadcast(sketches.select("key", "item_id")) if small else sketches.select("key", "item_id"), "key")
+    out = met.join(sent(sketches.select("key", "item_id"), rows <= most_probes), "key")
     return out.select("doc_id", "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"), *keep)
 
 
