@@ -104,95 +104,137 @@ def with_words(model: np.ndarray, words: list[str], share: float = 0.2) -> np.nd
     return np.where(total > 0, np.log((1 - share) * np.exp(model) + share * n / np.maximum(total, 1)), model).astype(np.float32)
 
 
-def _arcs(token: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
-    """What each character may stand for, and at which cost; an empty text stands for nothing.
+class _Arcs(dict):
+    """What a character may stand for, and at which cost, by the character and whether it repeats the one before; an empty text stands for nothing.
 
     In a spaced-out run every letter is followed by a gap, so a gap there is most likely none.
     """
-    before = ""
-    for c in token:
+
+    def __init__(self, spaced: bool):
+        self.spaced = spaced
+
+    def __missing__(self, key: tuple[str, bool]) -> list[tuple[str, int, float]]:
+        c, again = key
         if c.isalpha():
             arcs = [(c, COST["same"])]
-            if c == before:
+            if again:
                 arcs.append(("", COST["again"] + 1.5))
         else:
             arcs = [(x, COST["resembles"]) for x in RESEMBLES.get(c, "")]
             if c.isspace():
-                arcs += [("", 0.2), (" ", 1.8)] if spaced else [("", COST["nothing"] + 1.5), (" ", COST["same"])]
+                arcs += [("", 0.2), (" ", 1.8)] if self.spaced else [("", COST["nothing"] + 1.5), (" ", COST["same"])]
             elif c in SIGNS:
                 arcs.append(("", COST["nothing"] + 1.5))
             else:
                 arcs += [("", 3.5), (c, 3.0)]
-        before = c
-        yield arcs
+        self[key] = found = [(out, int(_CODE[min(ord(out), len(_CODE) - 1)]) if out else -1, cost) for out, cost in arcs]
+        return found
+
+
+def _step(score: np.ndarray, arcs: list[tuple[str, int, float]], model: np.ndarray) -> tuple[np.ndarray, dict]:
+    """The scores after one more character, and by each new letter what it stands for, the letter two before, and whether it was taken."""
+    new = score - min((cost for out, _, cost in arcs if not out), default=np.inf)
+    took: dict[int, tuple[str | np.ndarray, np.ndarray, np.ndarray]] = {}
+    for out, k, cost in arcs:
+        if out:
+            value = score + model[:, :, k] - cost
+            first = value.argmax(axis=0).astype(np.uint8)
+            best = value[first, np.arange(len(first))]
+            better = best > new[:, k]
+            if k in took:  # two signs of one number: the better of the two
+                prior = took[k]
+                took[k] = (np.where(better, out, prior[0]), np.where(better, first, prior[1]), better | prior[2])
+            else:
+                took[k] = (out, first, better)
+            new[:, k] = np.where(better, best, new[:, k])
+    return new, took
+
+
+#: Steps after which what paths say so far is no longer held letter by letter.
+_HELD = 8192
 
 
 def decode(token: str, model: np.ndarray, spaced: bool = False, few: int = 40) -> str:
     """The likeliest restored text of a lower-case token or run of letters, of any length.
 
     Exact: the state is the last two letters, of which there are at most ``SIZE`` squared, and all are kept.
-    Steps over ``few`` states or less are done one by one, the rest on the matrix of all.
+    Steps over ``few`` states or less are done one by one, the rest on the matrix of all. Two letters that can
+    only stand for themselves leave one state, and what led there is written out. Between such places scores are
+    kept at about the square root of the token's length of steps, and the steps from one to the next are done
+    again on the way back, so memory grows with that root and not with the token.
     """
-    steps = list(_arcs(token, spaced))
-    code = lambda out: int(_CODE[min(ord(out), len(_CODE) - 1)])
+    table, n = _Arcs(spaced), len(token)
+    arcs_at = lambda i: table[token[i], i > 0 and token[i] == token[i - 1]]
+    apart = max(1024, 4 * math.isqrt(n))
+    done: list[str] = []
+    # The matrix is of those letters only that the token may give.
+    used = sorted({0, *(k for c in set(token) for again in (False, True) for _, k, _ in table[c, again] if k >= 0)})
+    place = {k: i for i, k in enumerate(used)}
+    small = np.ascontiguousarray(model[np.ix_(used, used, used)])
+    narrow = {key: [(out, place.get(k, -1), cost) for out, k, cost in arcs] for key, arcs in table.items()}
+    arcs_of = lambda i: narrow[token[i], i > 0 and token[i] == token[i - 1]]
     # A path's text is held as its last letter and the path before, so a step takes the same time at any length.
     paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    at = 0
-    while at < len(steps) and len(paths) <= few:
-        arcs = [(out, code(out) if out else -1, cost) for out, cost in steps[at]]
-        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (score, path) in paths.items():
-            for out, k, cost in arcs:
-                if out:
-                    state, value, held = (b, k), score + float(model[a, b, k]) - cost, (out, path)
-                else:
-                    state, value, held = (a, b), score - cost, path
-                if state not in new or value > new[state][0]:
-                    new[state] = (value, held)
-        paths, at = new, at + 1
-    if at == len(steps):
-        path = max(((v + float(model[a, b, 0]), path) for (a, b), (v, path) in paths.items()), key=lambda x: x[0])[1]
-        return "".join(reversed(list(_letters(path))))
-
-    score = np.full((SIZE, SIZE), -np.inf)
-    for (a, b), (v, _) in paths.items():
-        score[a, b] = v
-    back = []
-    for arcs in steps[at:]:
-        silent = min((cost for out, cost in arcs if not out), default=np.inf)
-        new = score - silent
-        took: dict[int, tuple[str, np.ndarray, np.ndarray]] = {}
-        for out, cost in arcs:
-            if out:
-                k = code(out)
-                value = score + model[:, :, k] - cost
-                first = value.argmax(axis=0)
-                best = value[first, np.arange(SIZE)]
-                better = best > new[:, k]
-                if k in took:  # two signs of one number: the better of the two
-                    prior = took[k]
-                    took[k] = (np.where(better, out, prior[0]), np.where(better, first, prior[1]), better | prior[2])
-                else:
-                    took[k] = (np.full(SIZE, out), first, better)
-                new[:, k] = np.where(better, best, new[:, k])
-        back.append(took)
-        score = new
-    a, b = np.unravel_index(int((score + model[:, :, 0]).argmax()), score.shape)
-    found: list[str] = []
-    for took in reversed(back):
-        if int(b) in took and took[int(b)][2][a]:
-            out, first, _ = took[int(b)]
-            found.append(str(out[a]))
-            a, b = first[a], a
-    found += _letters(paths[int(a), int(b)][1])
-    return "".join(reversed(found))
-
-
-def _letters(path: tuple | None) -> Iterator[str]:
-    """The letters of a path from its end."""
+    at = since = 0
+    while at < n:
+        while at < n and len(paths) <= few and at - since < _HELD:
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in paths.items():
+                for out, k, cost in arcs_at(at):
+                    if out:
+                        state, value, held = (b, k), score + float(model[a, b, k]) - cost, (out, path)
+                    else:
+                        state, value, held = (a, b), score - cost, path
+                    if state not in new or value > new[state][0]:
+                        new[state] = (value, held)
+            paths, at = new, at + 1
+            if len(paths) == 1:
+                ((state, (value, path)),) = paths.items()
+                done.append(_letters(path))
+                paths, since = {state: (value, None)}, at
+        if at == n:
+            path = max(((v + float(model[a, b, 0]), path) for (a, b), (v, path) in paths.items()), key=lambda x: x[0])[1]
+            return "".join([*done, _letters(path)])
+
+        score = np.full((len(used), len(used)), -np.inf)
+        for (a, b), (v, _) in paths.items():
+            score[place[a], place[b]] = v
+        begin, kept, alone = at, [], 0
+        while at < n and alone < 2:
+            if (at - begin) % apart == 0:
+                kept.append(score)
+            arcs = arcs_of(at)
+            if len(arcs) > 1 or arcs[0][0]:  # a sign that can only be nothing leaves all states as they are
+                alone = alone + 1 if len(arcs) == 1 else 0
+            score, _ = _step(score, arcs, small)
+            at += 1
+        a, b = map(int, np.unravel_index(int((score + small[:, :, 0] if at == n else score).argmax()), score.shape))
+        value, state = float(score[a, b]), (used[a], used[b])
+        parts: list[str] = []
+        for block in range(len(kept) - 1, -1, -1):
+            first, back, now = begin + block * apart, [], kept[block]
+            for i in range(first, min(at, first + apart)):
+                now, took = _step(now, arcs_of(i), small)
+                back.append(took)
+            found: list[str] = []
+            for took in reversed(back):
+                if b in took and took[b][2][a]:
+                    out, letter, _ = took[b]
+                    found.append(out if isinstance(out, str) else str(out[a]))
+                    a, b = int(letter[a]), a
+            parts.append("".join(reversed(found)))
+        done += [_letters(paths[used[a], used[b]][1]), *reversed(parts)]
+        paths, since = {state: (value, None)}, at
+    return "".join(done)
+
+
+def _letters(path: tuple | None) -> str:
+    """The letters of a path."""
+    found = []
     while path:
-        yield path[0]
+        found.append(path[0])
         path = path[1]
+    return "".join(reversed(found))
 
 
 def _single(word: bytes) -> bool:

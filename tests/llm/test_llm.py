@@ -438,8 +438,9 @@ def test_decoding_is_exact():
 
     def best(token):
         found = {("", 0.0)}
-        for arcs in toxicity._arcs(token, False):
-            found = {(t + out, cost + c) for t, cost in found for out, c in arcs}
+        table = toxicity._Arcs(False)
+        for before, c in zip(" " + token, token, strict=False):
+            found = {(t + out, cost + k) for t, cost in found for out, _, k in table[c, c == before]}
 
         def value(t, cost):
             c = [0, 0, *map(code, t), 0]
@@ -456,6 +457,46 @@ def test_decoding_is_exact():
         assert toxicity.decode(word, letters, few=10**9) == toxicity.decode(word, letters, few=0)
 
 
+def test_decoding_of_long_tokens():
+    """Blocks that are done again on the way back, places where all paths meet, and long repeats give what one pass over all states gives."""
+    import tracemalloc
+
+    r = np.random.default_rng(8)
+    letters = np.log(r.dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE))).astype(np.float32)
+
+    def plain(token):
+        table, score, back = toxicity._Arcs(False), np.full((toxicity.SIZE, toxicity.SIZE), -np.inf), []
+        score[0, 0] = 0
+        for before, c in zip(" " + token, token, strict=False):
+            score, took = toxicity._step(score, table[c, c == before], letters)
+            back.append(took)
+        a, b = map(int, np.unravel_index(int((score + letters[:, :, 0]).argmax()), score.shape))
+        found = []
+        for took in reversed(back):
+            if b in took and took[b][2][a]:
+                out, letter, _ = took[b]
+                found.append(out if isinstance(out, str) else str(out[a]))
+                a, b = int(letter[a]), a
+        return "".join(reversed(found))
+
+    def likelihood(text):
+        c = [0, 0, *toxicity.codes(text).tolist(), 0]
+        return sum(float(letters[c[i], c[i + 1], c[i + 2]]) for i in range(len(c) - 2))
+
+    for alphabet, size in (("0123456789", 3000), ("0123456789ab.-", 4000), ("a", 9000), ("ab1", 9000), ("xyé@4?日€+", 700)):
+        token = "".join(r.choice(list(alphabet), size))
+        want = plain(token)
+        for few in (0, 3, 40):
+            own = toxicity.decode(token, letters, few=few)
+            # Several texts may be equally likely.
+            assert own == want or len(own) == len(want) and abs(likelihood(own) - likelihood(want)) < 1e-6, (alphabet, few)
+    token = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), 400_000))
+    tracemalloc.start()
+    assert len(toxicity.decode(token, letters)) > 200_000
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    tracemalloc.stop()
+
+
 @pytest.fixture(scope="module")
 def restorer(spark):
     r = np.random.default_rng(5)
