@@ -7,7 +7,8 @@ sets are sorted in one order, rare shingles first: two sets as similar as asked
 * the length filter: the smaller set has at least ``similarity`` of the larger one's size;
 * the positional filter: what stands behind the shingle in both sets can still make up the shared part needed;
 * the suffix filter: the shingles before it, which the two don't share if they first meet here, and a lower bound
-  of the difference of what stands behind it, from 256 bits of parity, are within the difference allowed.
+  of the difference of what stands behind it, from 256 bits of parity, are within the difference allowed; and so is
+  the like bound for the two whole sets, from 512 bits.
 
 Pairs that pass in any shingle are made distinct, and each is verified once on the two whole sets.
 
@@ -17,9 +18,10 @@ are counted in full. A set with too few of them for its prefix gives all its shi
 others follow in the same way. A shingle that one document alone holds can't bring two together, so all joins are
 on the shared ones only; the others count as places.
 
-Groups of copies. A shingle that thousands of near copies share isn't turned into all pairs: its members first
-meet one of them, its leader, and links make components. Then only members of different components meet, those
-of the commonest component on one side only. Shingles with the same members count once, the first in the order.
+Groups of copies. A shingle that thousands of near copies share isn't turned into all pairs: its members meet some
+of them, its leaders, and links make components. In the next round only members of other components than the
+leader's meet it. What is in different components after some rounds meets in full, members of the commonest
+component on one side only. Shingles with the same members count once, the first in the order.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ from quillspan.llm.simhash import set_hash, shingle_hashes, shingle_sets
 
 #: Hashes under this, as unsigned numbers, come first in the order.
 FIRST = 5 << 60
-#: Longs of parity for the suffix filter.
-WORDS = 4
+#: Longs of parity for what stands behind a shingle, and for a whole set.
+WORDS, WHOLE = 4, 8
+#: Leaders of a shingle in a round, for its commonest root and for all others, and rounds before all that is left meets.
+LEADERS, ROUNDS = 4, 4
 
 
 def prefix_size(n, num: int, den: int):
@@ -47,16 +51,16 @@ def prefix_size(n, num: int, den: int):
 
 
 def document_sets(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text_key, node, n, n_first, g`` for every row: the set's hash, its size, how many of it come first in the order, and the shingles to be counted.
+    """``doc_id, text_key, node, n, n_first, g, whole`` for every row: the set's hash, its size, how many of it come first in the order, the shingles to be counted, and the set's parity.
 
-    ``g`` is null where the task gave it for the same set shortly before. Rows without words have ``n`` 0.
+    ``g`` and ``whole`` are null where the task gave it for the same set shortly before. Rows without words have ``n`` 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part, found in texts(batch, "text"):
-                node, size, first, given = [], [], [], []
+                node, size, first, given, whole = [], [], [], [], []
                 for text in found:
                     own = np.unique(shingle_hashes(text, words))
                     ahead = int(np.searchsorted(own, np.uint64(FIRST)))
@@ -64,15 +68,22 @@ def document_sets(docs: DataFrame, words: int, num: int, den: int, id_col: str,
                     size.append(len(own))
                     first.append(ahead)
                     given.append(None if node[-1] in seen else own[:ahead] if ahead >= prefix_size(len(own), num, den) else own)
+                    whole.append(None if node[-1] in seen else parity(own))
                     seen.add(node[-1])
                     if len(seen) > 100_000:
                         seen.clear()
                 cols = [part.column("doc_id"), part.column("text_key"), pa.array(np.asarray(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(first, pa.int32())]
                 g = pa.array([None if x is None else x.view(np.int64) for x in given], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*cols, g], ["doc_id", "text_key", "node", "n", "n_first", "g"])
+                yield pa.RecordBatch.from_arrays([*cols, g, pa.array(whole, pa.list_(pa.int64()))], ["doc_id", "text_key", "node", "n", "n_first", "g", "whole"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return small_batches(own).mapInArrow(run, "doc_id long, text_key long, node long, n int, n_first int, g array<long>")
+    return small_batches(own).mapInArrow(run, "doc_id long, text_key long, node long, n int, n_first int, g array<long>, whole array<long>")
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    """Bits that a set's hashes turn over: two sets differ in at least as many shingles as their parities in bits."""
+    turned = np.bincount((own >> np.uint64(9)).astype(np.int64) % (64 * WHOLE), minlength=64 * WHOLE).astype(np.uint8) & 1
+    return np.packbits(turned, bitorder="little").view(np.int64)
 
 
 def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -134,29 +145,41 @@ def may_hold(x: str, y: str, num: int, den: int) -> Column:
     apart = i + j
     for w in range(WORDS):
         apart = apart + F.bit_count(c(x, f"s{w}").bitwiseXOR(c(y, f"s{w}")))
-    return length & place & (apart <= nx + ny - 2 * need)
+    differ = sum((F.bit_count(c(x, f"w{w}").bitwiseXOR(c(y, f"w{w}"))) for w in range(WHOLE)), F.lit(0))
+    return length & place & (apart <= nx + ny - 2 * need) & (differ <= nx + ny - 2 * need)
 
 
 def pairs_of(found: DataFrame) -> DataFrame:
     return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def leader_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b``: each member of a shingle with the smallest member, where the filters let them."""
-    own = [c for c in rows.columns if c not in ("k", "rare")]
-    leaders = rows.groupBy("k").agg(F.min(F.struct(*own)).alias("l")).select("k", "l.*")
-    return pairs_of(rows.alias("x").join(leaders.alias("y"), "k").where((F.col("x.node") != F.col("y.node")) & may_hold("x", "y", num, den)))
+def mixed_rows(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The rows of shingles whose members have several roots under ``links``, with ``root`` and ``big``, the commonest root of the shingle; without links every node is its own root."""
+    if links is None:
+        own = rows.withColumn("root", F.col("node"))
+    else:
+        own = rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = written(own, "rooted")
+    big = own.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.max(F.struct("m", "root")).alias("b"), F.count(F.lit(1)).alias("roots"))
+    return written(own.join(written(big.where("roots > 1").select("k", F.col("b.root").alias("big")), "big"), "k"), "mixed")
 
 
-def rest_pairs(rows: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b``: members of a shingle with different roots, where the filters let them; a node that ``roots`` lacks is its own."""
-    own = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = own.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("k")
-    own = written(own.join(mixed, "k"), "mixed")
-    big = own.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.max(F.struct("m", "root")).alias("b"))
-    own = own.join(written(big.select("k", F.col("b.root").alias("big")), "big"), "k")
-    few = own.where("root <> big")
-    met = few.alias("x").join(own.alias("y"), "k").where((F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.big")) | (F.col("x.node") < F.col("y.node"))) & may_hold("x", "y", num, den))
+def leader_pairs(rows: DataFrame, nth: int, num: int, den: int) -> DataFrame:
+    """``a, b``: each member of a shingle with its leaders of other roots, where the filters let them.
+
+    A shingle has up to ``LEADERS`` leaders of its commonest root and as many of all others, drawn by a hash that
+    changes with ``nth``, so shingles with nearly the same members have the same leaders.
+    """
+    own = [c for c in rows.columns if c not in ("k", "rare", "big")]
+    slot = F.struct((F.col("root") == F.col("big")).alias("of"), F.pmod(F.xxhash64(F.lit(2 * nth), "node"), F.lit(LEADERS)).alias("slot"))
+    leaders = rows.groupBy("k", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(2 * nth + 1), "node").alias("h"), *own)).alias("l")).select("k", "l.*")
+    return pairs_of(rows.alias("x").join(leaders.alias("y"), "k").where((F.col("x.root") != F.col("y.root")) & may_hold("x", "y", num, den)))
+
+
+def rest_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: members of a shingle with different roots, where the filters let them."""
+    few = rows.where("root <> big")
+    met = few.alias("x").join(rows.alias("y"), "k").where((F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.big")) | (F.col("x.node") < F.col("y.node"))) & may_hold("x", "y", num, den))
     return pairs_of(met)
 
 
@@ -179,23 +202,35 @@ def linked_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5
     """
     own = written(document_sets(docs, words, num, den, id_col, text_col), "sets")
     some = own.where("n > 0")
-    rows = written(meeting_rows(written(prefixes(some, num, den), "prefixes")), "meeting")
+    rows = written(meeting_rows(written(prefixes(some, num, den), "prefixes")), "members")
+    nodes = written(rows.select("node").distinct(), "nodes")
+    whole = some.where("whole is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("whole").alias("w"))
+    rows = written(rows.join(whole, "node").select(*rows.columns, *(F.col("w")[w].alias(f"w{w}") for w in range(WHOLE))), "meeting")
 
     # One document of each node that meets another is read again for its whole set.
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    keys = some.join(written(rows.select("node").distinct(), "nodes"), "node", "left_semi").groupBy("node").agg(F.min(row).alias("r"))
+    keys = some.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(row).alias("r"))
     keys = broadcast_if_small(written(keys.select(F.col("r.doc_id").alias("key_id"), F.col("r.text_key").alias("key_text")), "keys"))
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     text = text.join(keys, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_key") == F.col("key_text")), "left_semi")
     sets = written(shingle_sets(text, words).dropDuplicates(["node"]), "wholes")
 
-    first = written(leader_pairs(rows, num, den), "leaders")
-    links = written(verified(first, sets, num, den), "links")
-    rest = written(rest_pairs(rows, components(links), num, den).join(first, ["a", "b"], "left_anti"), "rest")
-    links = written(links.unionByName(verified(rest, sets, num, den)), "links")
-
-    least = some.groupBy("node").agg(F.min("doc_id").alias("least")).join(components(links), "node", "left")
-    least = written(least.withColumn("root", F.coalesce("root", "node")), "roots")
+    links = tried = None
+    for nth in range(ROUNDS + 1):
+        mixed = mixed_rows(rows, links)
+        if mixed.isEmpty():
+            break
+        pairs = leader_pairs(mixed, nth, num, den) if nth < ROUNDS else rest_pairs(mixed, num, den)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = written(verified(pairs, sets, num, den), "links")
+        links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
+
+    least = some.groupBy("node").agg(F.min("doc_id").alias("least"))
+    if links is None:
+        least = least.withColumn("root", F.col("node"))
+    else:
+        least = least.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = written(least, "roots")
     ids = written(least.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     named = written(least.join(ids, "root").select("node", "component_id"), "named")
     out = own.select("doc_id", "n", "node").join(named, "node", "left")
