@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import clean_branch_name
+from quillspan.operators import events as EV
 from quillspan.operators import rules, sections, state
 from quillspan.operators import progress as P
 from quillspan.plans import html_roles, jobs, reports, roles
@@ -13,9 +16,10 @@ from quillspan.plans.queries import _FINDINGS, _PROGRESS, _UNITS, query
 from quillspan.plans.roles import read
 from quillspan.schemas import PAGES, STORE
 from quillspan.sources import html as H
-from quillspan.sources.scratch import scratch
-from quillspan.sources.store import publish_reports, read_store, write_store
-from quillspan.streaming.upserts import Snapshots, page_updates, stream_merge, stream_parsed
+from quillspan.sources.keyed import KeyedTable
+from quillspan.sources.scratch import scratch, written
+from quillspan.sources.store import publish_reports, read_store, watched, write_bucketed, write_store
+from quillspan.streaming.upserts import Snapshots, page_updates, stream_events, stream_merge, stream_parsed
 
 _SECTIONS = (
     "with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents where text is not null), "
@@ -184,7 +188,7 @@ def state_saved(s, d):
 @query(roles.SQL + "select page_key, target_no, units, executed, on_time, before, after, not_executed from progress")
 def repaired_progress(s, d):
     """Saved pages parsed anew and counted: the repair job's chain from HTML to progress."""
-    parsed = _parsed(s, d)
+    parsed = written(_parsed(s, d), "parsed")  # read twice below
     t = H.explode_targets(parsed, F.lit("1996-01-01").cast("date"))
     return P.target_progress(t, H.explode_units(parsed)).select("page_key", "target_no", "units", "executed", "on_time", "before", "after", "not_executed")
 
@@ -291,3 +295,109 @@ def stream_parsed_pages(s, d):
     count = lambda name: snaps[name].read().groupBy("page_key").agg(F.count(F.lit(1)).cast("int").alias(f"n_{name}"))
     out = snaps["pages"].read().select("page_key", "status").join(count("targets"), "page_key", "left").join(count("units"), "page_key", "left")
     return out.fillna(0, ["n_targets", "n_units"])
+
+
+#: Events of three kinds by their number: every fourth of each, the rest is none; a parse knows a room two times in three, and every other one brings HTML.
+_MIXED = """, e as (select user_id::varchar as page_key, event_id as seq, event_type, props, case when event_id % 4 = 0 then 'fetched' when event_id % 4 = 1 and user_id % 5 > 0 then 'failed' when event_id % 4 = 2 and user_id % 7 > 0 then 'parsed' end as kind,
+    case when event_id % 3 = 0 then '-' else 'room ' || event_id end as room, case when event_id % 8 = 2 then 'p' || event_id end as own, case when event_id % 5 = 0 then '' else 'grade ' || event_id end as g from events),
+  k as (select e.*, p.status as was, max(seq) filter (kind = 'failed') over before as f, max(seq) filter (kind = 'parsed') over before as q from e join pages p using (page_key) where kind is not null window before as (partition by page_key order by seq rows between unbounded preceding and 1 preceding)),
+  h as (select *, case when f is null and q is null then coalesce(was = 'saved', false) else coalesce(q, -1) > coalesce(f, -1) end as saved from k),
+  u as (select page_key, arg_max(kind, seq) as last, arg_max(saved, seq) as saved, arg_max(event_type, seq) as message, count(*) filter (kind = 'failed')::int as failures,
+      arg_max(case when kind = 'fetched' then props else own end, seq) filter (kind = 'fetched' and not saved or kind = 'parsed' and own is not null) as html, arg_min(props, seq) filter (kind = 'fetched') as fill,
+      arg_max(room, seq) filter (kind = 'parsed' and room <> '-') as room, arg_min(g, seq) filter (kind = 'parsed' and g <> '') as g from h group by 1)"""
+
+
+@query(_PAGES + _MIXED + """
+  select page_key, case last when 'failed' then 'fetch_failed' when 'parsed' then 'saved' when 'fetched' then case when u.saved then 'saved' else 'fetched' end else status end as status, case when last = 'failed' then message end as error,
+    (retries + coalesce(failures, 0))::int as retries, coalesce(u.html, pages.html, u.fill) as html, coalesce(room, classroom) as classroom, case when grade <> '' then grade else coalesce(u.g, grade) end as grade from pages left join u using (page_key)""")
+def replayed_events(s, d):
+    """Fetched, failed and parsed events of a page, mixed and in order."""
+    k, u = F.col("event_id"), F.col("user_id")
+    kind = F.when(k % 4 == 0, "fetched").when((k % 4 == 1) & (u % 5 > 0), "failed").when((k % 4 == 2) & (u % 7 > 0), "parsed")
+    e = read(s, d, "events").withColumns({"page_key": u.cast("string"), "seq": k, "k": kind, "error": F.col("event_type"), "classroom": F.when(k % 3 == 0, "-").otherwise(F.concat(F.lit("room "), k)), "grade": F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("grade "), k))})
+    e = e.withColumn("html", F.when(F.col("k") == "fetched", F.col("props")).when(k % 8 == 2, F.concat(F.lit("p"), k)))
+    mixed = [EV.as_events(e.where(F.col("k") == x).drop(*(["classroom", "grade"] if x != "parsed" else [])), x) for x in EV.KINDS]
+    return EV.replay(_pages(s, d), mixed[0].unionByName(mixed[1]).unionByName(mixed[2])).select("page_key", "status", "error", "retries", "html", "classroom", "grade")
+
+
+_STREAMED = """, e as (select user_id::varchar as page_key, event_id as seq, event_type, case when event_id % 3 = 0 then 'fetched' when event_id % 3 = 1 and user_id % 5 > 1 then 'failed' end as kind from events),
+  u as (select page_key, arg_max(kind, seq) as last, max(seq) filter (kind = 'fetched') as f, max(seq) filter (kind = 'failed') as x, arg_max(event_type, seq) filter (kind = 'failed') as message, count(*) filter (kind = 'failed')::int as failures from e where kind is not null group by 1),
+  r as (select page_key, status as was, retries, u.*, status <> 'saved' and f is not null as parsed, coalesce(status <> 'saved' and f % 4 = 0, false) as broken from pages left join u using (page_key))"""
+
+
+@query(_PAGES + _STREAMED + """
+  select page_key, case when last is null then was when last = 'failed' then 'fetch_failed' when broken then 'parse_failed' when parsed or failures = 0 then 'saved' else 'fetched' end as status,
+    case when last = 'failed' then message when last = 'fetched' and broken then '0 of the page''s parts found' end as error, (retries + coalesce(failures, 0) + broken::int)::int as retries, case when parsed and not broken then 'u' || f else '' end as units from r""")
+def stream_page_events(s, d):
+    """A stream of fetches, some of pages that can't be parsed, and failures: status, message, retries and children.
+
+    A page that is saved at the start is never parsed, only fetched again.
+    """
+    k, u = F.col("event_id"), F.col("user_id")
+    grid = F.concat(F.lit("<table class=units><tr><th>Unit<th>T1<tr><td>u"), k, F.lit("<td><input checked></table>"))
+    e = read(s, d, "events").withColumns({"page_key": u.cast("string"), "seq": k, "html": F.when(k % 4 == 0, "<p>sorry").otherwise(grid), "error": F.col("event_type"), "fetched_at": F.col("ts").cast("timestamp")})
+    fetched, failed = EV.as_events(e.where(k % 3 == 0).drop("error"), "fetched"), EV.as_events(e.where((k % 3 == 1) & (u % 5 > 1)).drop("html", "fetched_at"), "failed")
+    source = scratch(s, "page-events")
+    fetched.unionByName(failed).coalesce(1).write.parquet(source)
+    tables = {name: KeyedTable(s, scratch(s, f"keyed-{name}"), schema, buckets=8) for name, schema in STORE.items()}
+    tables["pages"].merge(0, _pages(s, d), lambda old: _pages(s, d))
+    # Batches are numbered from 0 by the stream; the start is there before the first.
+    parse = lambda df: jobs.parsed_tables(df, F.lit(roles.TODAY).cast("date"), roles.ALIASES, roles.WORDS, {"plan": 5, "student": 3}, least_parts=1)
+    stream_events(s.readStream.schema(EV.EVENTS).parquet(source), tables, parse, scratch(s, "offsets"), first=1).awaitTermination()
+    units = tables["units"].read().groupBy("page_key").agg(F.array_join(F.array_sort(F.collect_list("unit_name")), ",").alias("units"))
+    return tables["pages"].read().join(units, "page_key", "left").select("page_key", "status", "error", "retries", F.coalesce("units", F.lit("")).alias("units"))
+
+
+@query(_PAGES + ", u as (select user_id::varchar as page_key, arg_max(event_type, (ts, event_id)) as error, count(*)::int as n from events where user_id % 50 = 1 group by 1) select page_key, case when n is null then status else 'fetch_failed' end as status, (retries + coalesce(n, 0))::int as retries from pages left join u using (page_key)")
+def keyed_merge(s, d):
+    """A merge of a few pages' failures into a table kept in hashed partitions."""
+    table = KeyedTable(s, scratch(s, "keyed"), PAGES, buckets=16)
+    table.merge(0, _pages(s, d), lambda old: _pages(s, d))
+    u = read(s, d, "events").where("user_id % 50 = 1").select(F.col("user_id").cast("string").alias("page_key"), F.col("event_type").alias("error"), "ts", "event_id")
+    for number in (1, 1):  # delivered again, it changes nothing
+        table.merge(number, u, lambda old: state.apply_failed(old, u, ["ts", "event_id"]))
+    return table.read().select("page_key", "status", "retries")
+
+
+@query(roles.SQL + "select count(*) as n_rows, count(*) filter (units <> on_time + before + after + not_executed or executed <> on_time + before + after) as broken from progress")
+def progress_watched(s, d):
+    """The metric that a job looks at before it publishes progress, taken while the table is written."""
+    own, seen = watched(P.target_progress(roles.targets(s, d), roles.units(s, d)), P.INCONSISTENT)
+    own.write.parquet(scratch(s, "progress"))
+    return s.createDataFrame([(seen.get["rows"], seen.get["broken"])], "n_rows long, broken long")
+
+
+@query(roles.SQL + "select page_key, row_no, unit_name, student_id, classroom from units join overview using (page_key)")
+def bucketed_units_with_page(s, d):
+    """The join of units with their pages on tables bucketed by the page key."""
+    store = {"pages": roles.overview(s, d), "units": roles.units(s, d).drop("target_checks")}
+    kept = write_bucketed(store, f"quillspan_{uuid.uuid4().hex}", buckets=8)
+    return reports.units_with_page(kept["units"], kept["pages"]).select("page_key", "row_no", "unit_name", "student_id", "classroom")
+
+
+@query(roles.SQL + f"select *, row_number() over (order by page_index, row_index, page_key, row_no, target_no) - 1 as place from ({_UNITS.replace('select ', 'select page_index, row_index, page_key, row_no, ', 1)} where order_key % 3 > 0)".replace("select *, row_number", "select * exclude (page_index, row_index, page_key, row_no), row_number"))
+def ordered_unit_report(s, d):
+    """A published report read back file by file, with each row's place: page by page, in the order of its units."""
+    place = publish_reports({"units": jobs.all_reports(_store(s, d), ordered=True)["units"]}, scratch(s, "reports"), required=("units",))
+    own = s.read.parquet(f"{place}/units").select("*", "_metadata.file_name", "_metadata.row_index")
+    sizes = own.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    first = sizes.select("file_name", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return own.join(first, "file_name").withColumn("place", F.col("first") + F.col("row_index")).drop("file_name", "row_index", "first")
+
+
+@query(roles.SQL + """, t as (select upper(source) as author, regexp_replace(text, '\\s', '', 'g') as t, count(*) as copies from documents join overview on order_key = doc_id where student_name <> '""" + DEMO + """' group by all),
+  g as (select author, t, copies, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) as g from t where length(t) >= 15),
+  p as (select a.author, a.t as a, b.t as b, len(list_intersect(a.g, b.g)) as m, len(a.g) as x, len(b.g) as y from g a join g b on a.author = b.author and a.t < b.t and 5 * least(len(a.g), len(b.g)) >= 4 * greatest(len(a.g), len(b.g))),
+  q as (select author, a, b from p where 5 * m >= 4 * (x + y - m)), e as (select author, a as t, b as o from q union all select author, b, a from q),
+  n as (select e.author, e.t, sum(copies) as near from e join t on t.author = e.author and t.t = e.o group by all),
+  f as (select t.author, t.t from t left join n using (author, t) where t.copies - 1 + coalesce(near, 0) >= 1 and length(t.t) >= 3)
+  select page_key, f.t is not null and student_name <> '""" + DEMO + """' as copied from documents join overview on order_key = doc_id left join f on f.author = upper(source) and f.t = regexp_replace(text, '\\s', '', 'g')""")
+def copies_flagged_in_store(s, d):
+    """Copied notes as a step of a job: findings of the store with a warning, demo students left out; groups of two or more."""
+    docs = read(s, d, "documents").select(F.col("doc_id").alias("order_key"), F.create_map(F.lit("author"), "source", F.lit("student"), "text").alias("sections"))
+    o = roles.overview(s, d)
+    f = docs.join(o.select("page_key", "order_key"), "order_key").drop("order_key")
+    empty = {"severity": F.lit("PASS"), **{c: F.array().cast("array<string>") for c in ("errors", "warnings", "reviews", "fix_items", "unclassified")}}
+    store = {**state.empty_store(s), "pages": o, "findings": f.withColumns(empty)}
+    return jobs.flag_copies(store, least=2, demo_full=DEMO)["findings"].select("page_key", F.array_contains("warnings", "looks_copied").alias("copied"))

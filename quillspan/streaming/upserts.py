@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillspan.operators.events import as_events, replaced, replay
 from quillspan.operators.state import apply_failed, apply_fetched, save_parsed
+from quillspan.sources.keyed import KeyedTable
+from quillspan.sources.scratch import drop_written, written_so_far
 from quillspan.sources.store import _fs
 
 
@@ -92,3 +95,46 @@ def stream_parsed(
         df.unpersist()
 
     return pages_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_events(
+    stream: DataFrame, tables: dict[str, KeyedTable], parse: Callable[[DataFrame], tuple[dict[str, DataFrame], DataFrame]], checkpoint: str,
+    rejects: str | None = None, every: str | None = None, first: int = 0,
+) -> StreamingQuery:
+    """Fetches and failures as they come, in the form of ``events.EVENTS``, parsed and saved batch by batch.
+
+    A batch's last fetch of a page that isn't saved is parsed, with the page's attributes; one that is saved is
+    never parsed again. Parses and parse errors become events right behind their fetch, and all events are
+    replayed in order: a page that can't be parsed is ``parse_failed`` with its message and one more retry.
+    Only partitions with a page of the batch are rewritten. Children go first and pages last, each under
+    the batch's number, so a batch that is delivered again finds what it found before. Rows without a key or
+    of another kind go to ``rejects``. With ``every``, a batch begins each such interval; else what is there is
+    taken once. The source's own options bound a batch. Batches are numbered from ``first`` on, which must be over
+    the number of the tables' last merge when the stream is new.
+    """
+
+    def batch(df: DataFrame, n: int) -> None:
+        spark, mark = df.sparkSession, written_so_far()
+        df = df.persist()
+        fine = F.coalesce(F.col("kind").isin("fetched", "failed") & F.col("page_key").isNotNull(), F.lit(False))
+        if rejects:
+            df.where(~fine).write.mode("overwrite").parquet(f"{rejects}/batch={n}")
+        came = df.where(fine)
+        last = came.where("kind = 'fetched'").groupBy("page_key").agg(F.max_by(F.struct("html", "fetched_at", "seq"), F.struct("seq", "step")).alias("f"))
+        todo = tables["pages"].read().where("status is null or status <> 'saved'").join(last, "page_key")
+        todo = todo.withColumns({"html": F.col("f.html"), "fetched_at": F.col("f.fetched_at"), "event_seq": F.col("f.seq")}).drop("f")
+        found, bad = parse(todo.drop("event_seq"))
+        at = todo.select("page_key", F.col("event_seq").alias("seq")).persist()
+        events = came.unionByName(as_events(found["pages"].join(at, "page_key"), "parsed", 1))
+        events = events.unionByName(as_events(bad.join(at, "page_key").withColumn("status", F.lit("parse_failed")), "failed", 1))
+        for name in ("targets", "units", "progress", "findings"):
+            if name in found:
+                new = found[name].join(at.withColumnRenamed("seq", "event_seq"), "page_key").withColumn("event_step", F.lit(1))
+                tables[name].merge(first + n, found["pages"].select("page_key"), lambda old, new=new: replaced(old, new, events))
+        tables["pages"].merge(first + n, came.select("page_key"), lambda old: replay(old, events))
+        for x in (df, at):
+            x.unpersist()
+        drop_written(spark, mark)
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
