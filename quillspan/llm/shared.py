@@ -9,41 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.sources.scratch import scratch
+from quillspan.sources.scratch import drop_written, new_place, written, written_so_far
+
+__all__ = ["drop_written", "new_place", "written", "written_so_far"]
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 256
-_written: list[str] = []
-
-
-def new_place(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; what is put there goes with ``drop_written``."""
-    _written.append(scratch(spark, label))
-    return _written[-1]
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: a cut in the lineage that survives lost executors."""
-    path = new_place(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def written_so_far() -> int:
-    """A mark for ``drop_written``."""
-    return len(_written)
-
-
-def drop_written(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Deletes the tables that this driver has written since a mark, but those that ``keep`` reads; call it when the results made from them are saved."""
-    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    bare = lambda p: Path.getPathWithoutSchemeAndAuthority(p).toString()
-    held = {bare(Path(f).getParent()) for df in keep for f in df.inputFiles()}
-    for place in _written[since:]:
-        path = Path(place)
-        if bare(path) not in held:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-            _written.remove(place)
 
 
 def small_batches(df: DataFrame) -> DataFrame:
