@@ -21,20 +21,6 @@ def char_ngrams(text: Column, n: int = 2) -> Column:
     return F.when(F.length(text) < n, F.array(text)).otherwise(F.transform(F.array(F.split(text, "")), grams)[0])
 
 
-def gram_numbers(text: Column, n: int = 2) -> Column:
-    """``char_ngrams`` as numbers, one for each: its code points in base 2**21 for up to two, else a 64-bit hash."""
-
-    def grams(c: Column) -> Column:
-        def one(i: Column) -> Column:
-            points = [F.get(c, i + k) for k in range(n)]
-            return points[0] if n == 1 else F.shiftleft(points[0], 21) + points[1] if n == 2 else F.xxhash64(*points)
-
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), one))
-
-    points = F.transform(F.split(text, ""), lambda x: F.ascii(x).cast("long"))
-    return F.when(F.length(text) < n, F.array(F.xxhash64(text))).otherwise(F.transform(F.array(points), grams)[0])
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """The shared part of two sets; 1 if both are empty."""
     both = F.size(F.array_intersect(a, b))
@@ -51,23 +37,31 @@ def _texts(df: DataFrame, author: str, text: str) -> DataFrame:
 PARITY, BLOCK = 8, 1024
 
 
-def parity(sets: Column) -> Column:
-    """``PARITY`` longs of bits that a set's numbers, hashed, turn over: two sets differ in at least as many numbers as their parities in bits."""
+def gram_sets(text: Column, n: int = 2) -> Column:
+    """``struct<set, parity>``: the text's n-grams as sorted numbers, and ``PARITY`` longs of bits that they, hashed, turn over.
+
+    Two sets differ in at least as many grams as their parities in bits. A gram's number is its code points in
+    base 2**21 for up to two of them, else a 64-bit hash; a text shorter than ``n`` has none.
+    """
 
-    @F.arrow_udf("array<long>")
-    def bits(column: pa.Array) -> pa.Array:
-        out = []
-        for at in range(0, len(column), 1024):
-            part = column.slice(at, 1024)
-            sizes = part.value_lengths().to_numpy(zero_copy_only=False)
-            place = (part.flatten().to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)
-            row = np.repeat(np.arange(len(part)), sizes)
-            turned = np.bincount(row * 64 * PARITY + place.astype(np.int64), minlength=len(part) * 64 * PARITY).astype(np.uint8) & 1
-            out.append(np.packbits(turned.reshape(len(part) * PARITY, 64), axis=1, bitorder="little").view(np.int64).reshape(-1))
-        flat = np.concatenate(out) if out else np.empty(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, PARITY), pa.int32()), pa.array(flat))
+    def grams(own: str) -> np.ndarray:
+        points = np.frombuffer(own.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        out = np.zeros(max(0, len(points) - n + 1), np.uint64)
+        for k in range(n):
+            out = out * np.uint64(0x9E3779B97F4A7C15 if n > 2 else 1 << 21) + points[k : k + len(out)]
+        return np.unique(out)
 
-    return bits(sets)
+    @F.arrow_udf("struct<set:array<long>,parity:array<long>>")
+    def run(texts: pa.Array) -> pa.Array:
+        sets = [grams(x or "") for x in texts.to_pylist()]
+        bits = []
+        for own in sets:
+            turned = np.bincount((own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(55)).astype(np.int64), minlength=64 * PARITY).astype(np.uint8) & 1
+            bits.append(np.packbits(turned, bitorder="little").view(np.int64))
+        lists = [pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())) for found in (sets, bits)]
+        return pa.StructArray.from_arrays(lists, ["set", "parity"])
+
+    return run.asNondeterministic()(text)  # else every use of a field would make the set again
 
 
 def _ids(texts: DataFrame) -> DataFrame:
@@ -81,12 +75,11 @@ def similar_sets(sets: DataFrame, most_pairs: int = 10**13) -> DataFrame:
     neighbouring ones, so an author's sets meet within two bands only, in blocks of ``BLOCK`` sets on one side:
     a common author or band is many small groups. What meets is compared by size and by 512 bits of
     parity inside the join; only pairs that pass come out of it, and these are verified on the sets. ``sets`` has
-    ``author, id, set``. Where more than ``most_pairs`` pairs would meet, nothing is begun and an error raised.
+    ``author, id, set, parity``. Where more than ``most_pairs`` pairs would meet, nothing is begun and an error raised.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9)
-    own = sets.select("author", "id", F.size("set").alias("n"), parity(F.col("set")).alias("p")).where("n > 0").withColumn("band", band)
-    own = own.select("author", "id", "n", "band", *(F.col("p")[i].alias(f"p{i}") for i in range(PARITY)))
-    own = written(own, "parity")
+    own = sets.select("author", "id", F.size("set").alias("n"), "parity").where("n > 0").withColumn("band", band)
+    own = written(own.select("author", "id", "n", "band", *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY))), "parity")
     sizes = own.groupBy("author", "band").agg(F.count(F.lit(1)).alias("m"))
     below = sizes.select("author", (F.col("band") + 1).alias("band"), F.col("m").alias("w"))
     sizes = written(sizes.join(below, ["author", "band"], "left").withColumn("w", F.coalesce("w", F.lit(0)) + F.col("m")), "bands")
@@ -111,7 +104,7 @@ def similar_sets(sets: DataFrame, most_pairs: int = 10**13) -> DataFrame:
 
 def _long_sets(texts: DataFrame, short: int, n: int) -> DataFrame:
     long = _ids(texts).where(F.length("t") >= max(short, n))
-    return written(long.select("author", "id", gram_numbers(F.col("t"), n).alias("set")), "sets")
+    return written(long.select("author", "id", gram_sets(F.col("t"), n).alias("x")).select("author", "id", "x.set", "x.parity"), "sets")
 
 
 def similar_pairs(texts: DataFrame, short: int = 15, n: int = 2, most_pairs: int = 10**13) -> DataFrame:
@@ -119,8 +112,9 @@ def similar_pairs(texts: DataFrame, short: int = 15, n: int = 2, most_pairs: int
 
     Exact, see ``similar_sets``; texts come back only for the pairs that hold. ``texts`` has ``author, t``.
     """
-    both = similar_sets(_long_sets(texts, short, n), most_pairs)
-    own = _ids(texts.select("author", "t"))
+    texts = written(texts.select("author", "t"), "texts")  # read three times
+    both = written(similar_sets(_long_sets(texts, short, n), most_pairs), "pairs")
+    own = _ids(texts)
     one = both.join(own.select(F.col("id").alias("id_a"), "author", F.col("t").alias("ta")), "id_a")
     both = one.join(own.select(F.col("id").alias("id_b"), F.col("author").alias("_author"), F.col("t").alias("tb")), "id_b").where("author = _author")
     return both.select("author", F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), "jaccard")

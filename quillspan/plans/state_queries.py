@@ -77,7 +77,7 @@ def _rule_sql() -> str:
 @query(_rule_sql())
 def note_rules(s, d):
     n = roles.notes(s, d).withColumn("x", sections.sections_column(F.col("text"), roles.ALIASES)).select("*", "x.*")
-    n = rules.section_facts(n, "sections", roles.WORDS)
+    n = rules.section_facts(n, "sections", roles.WORDS, plain="plain")
     own = rules.section_rules(F.col("facts"), F.col("unclassified"), F.col("grade"), F.col("course"), F.col("division"), roles.WORDS, {"plan": 5, "student": 3})
     return rules.evaluate_rules(n, own, "text").select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("errors", "reviews", "warnings", "fix_items")), "severity")
 
