@@ -114,6 +114,8 @@ class _Arcs(dict):
         self.spaced = spaced
 
     def __missing__(self, key: tuple[str, bool]) -> list[tuple[str, int, float]]:
+        if len(self) >= 100_000:
+            self.clear()
         c, again = key
         if c.isalpha():
             arcs = [(c, COST["same"])]
@@ -131,6 +133,9 @@ class _Arcs(dict):
         return found
 
 
+_ARCS = {spaced: _Arcs(spaced) for spaced in (False, True)}
+
+
 def _step(score: np.ndarray, arcs: list[tuple[str, int, float]], model: np.ndarray) -> tuple[np.ndarray, dict]:
     """The scores after one more character, and by each new letter what it stands for, the letter two before, and whether it was taken."""
     new = score - min((cost for out, _, cost in arcs if not out), default=np.inf)
@@ -163,16 +168,11 @@ def decode(token: str, model: np.ndarray, spaced: bool = False, few: int = 40) -
     kept at about the square root of the token's length of steps, and the steps from one to the next are done
     again on the way back, so memory grows with that root and not with the token.
     """
-    table, n = _Arcs(spaced), len(token)
+    table, n = _ARCS[spaced], len(token)
     arcs_at = lambda i: table[token[i], i > 0 and token[i] == token[i - 1]]
     apart = max(1024, 4 * math.isqrt(n))
     done: list[str] = []
-    # The matrix is of those letters only that the token may give.
-    used = sorted({0, *(k for c in set(token) for again in (False, True) for _, k, _ in table[c, again] if k >= 0)})
-    place = {k: i for i, k in enumerate(used)}
-    small = np.ascontiguousarray(model[np.ix_(used, used, used)])
-    narrow = {key: [(out, place.get(k, -1), cost) for out, k, cost in arcs] for key, arcs in table.items()}
-    arcs_of = lambda i: narrow[token[i], i > 0 and token[i] == token[i - 1]]
+    used: list[int] = []  # the matrix is of those letters only that the token may give
     # A path's text is held as its last letter and the path before, so a step takes the same time at any length.
     paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     at = since = 0
@@ -196,6 +196,13 @@ def decode(token: str, model: np.ndarray, spaced: bool = False, few: int = 40) -
             path = max(((v + float(model[a, b, 0]), path) for (a, b), (v, path) in paths.items()), key=lambda x: x[0])[1]
             return "".join([*done, _letters(path)])
 
+        if not used:
+            narrow = {(c, again): table[c, again] for c in set(token) for again in (False, True)}
+            used = sorted({0, *(k for arcs in narrow.values() for _, k, _ in arcs if k >= 0)})
+            place = {k: i for i, k in enumerate(used)}
+            small = np.ascontiguousarray(model[np.ix_(used, used, used)])
+            narrow = {key: [(out, place.get(k, -1), cost) for out, k, cost in arcs] for key, arcs in narrow.items()}
+            arcs_of = lambda i: narrow[token[i], i > 0 and token[i] == token[i - 1]]  # noqa: B023, E731
         score = np.full((len(used), len(used)), -np.inf)
         for (a, b), (v, _) in paths.items():
             score[place[a], place[b]] = v
