@@ -87,14 +87,17 @@ def is_demo_name(name: Column, family: str, full: str) -> Column:
 
 def split_id_name(text: Column, detail: bool = False) -> Column:
     """``id, name`` from ``id name``. In the detail form a blank must stand between, and bracketed readings go."""
-    own = normalize_text(text)
     gap = f"[{BLANK}]+" if detail else f"[{BLANK}]*"
-    code = F.regexp_extract(own, f"^([0-9A-Za-z-]+){gap}(.*)$", 1)
-    rest = F.regexp_extract(own, f"^([0-9A-Za-z-]+){gap}(.*)$", 2)
-    name = F.when(code == "", own).otherwise(rest)
-    if detail:
-        name = strip(F.regexp_replace(name, r"\([^)]*\)|\[[^\]]*\]", ""))
-    return F.struct(code.alias("id"), strip(name).alias("name"))
+
+    def parts(own: Column) -> Column:
+        code = F.regexp_extract(own, f"^([0-9A-Za-z-]+){gap}(.*)$", 1)
+        rest = F.regexp_extract(own, f"^([0-9A-Za-z-]+){gap}(.*)$", 2)
+        name = F.when(code == "", own).otherwise(rest)
+        if detail:
+            name = strip(F.regexp_replace(name, r"\([^)]*\)|\[[^\]]*\]", ""))
+        return F.struct(code.alias("id"), strip(name).alias("name"))
+
+    return F.transform(F.array(normalize_text(text)), parts)[0]  # the cell is normalised once
 
 
 def split_flag_from_name(name: Column, marker: str, flag: str) -> Column:
