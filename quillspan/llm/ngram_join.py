@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components
-from quillspan.llm.shared import broadcast_if_small, small_batches, texts, written
+from quillspan.llm.shared import broadcast_if_small, drop_written, small_batches, texts, written, written_so_far
 from quillspan.llm.simhash import set_hash, shingle_hashes, shingle_sets
 
 #: Hashes under this, as unsigned numbers, come first in the order.
@@ -185,7 +185,9 @@ def rest_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sets have this exact similarity or more; ``sets`` has ``node, shingles``."""
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"))
+    # Of the sets only those in a pair are shuffled.
+    some = {k: written(pairs.select(k).distinct(), "ends") for k in ("a", "b")}
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")).join(broadcast_if_small(some[k]), k, "left_semi")
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.withColumn("both", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
     return both.where(den * F.col("both") >= num * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
@@ -200,6 +202,7 @@ def linked_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5
     component of null ids only has a null ``component_id``. Texts are whole; other columns are ignored; an empty
     table gives no rows.
     """
+    mark = written_so_far()
     own = written(document_sets(docs, words, num, den, id_col, text_col), "sets")
     some = own.where("n > 0")
     rows = written(meeting_rows(written(prefixes(some, num, den), "prefixes")), "members")
@@ -207,6 +210,11 @@ def linked_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5
     whole = some.where("whole is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("whole").alias("w"))
     rows = written(rows.join(whole, "node").select(*rows.columns, *(F.col("w")[w].alias(f"w{w}") for w in range(WHOLE))), "meeting")
 
+    # Shingles are no longer needed, and they are most of what was written.
+    own = written(own.select("doc_id", "text_key", "node", "n"), "nodes")
+    some = own.where("n > 0")
+    drop_written(docs.sparkSession, mark, keep=(own, rows, nodes))
+
     # One document of each node that meets another is read again for its whole set.
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     keys = some.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(row).alias("r"))
@@ -217,12 +225,14 @@ def linked_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5
 
     links = tried = None
     for nth in range(ROUNDS + 1):
+        mark = written_so_far()
         mixed = mixed_rows(rows, links)
         if mixed.isEmpty():
             break
         pairs = leader_pairs(mixed, nth, num, den) if nth < ROUNDS else rest_pairs(mixed, num, den)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = written(verified(pairs, sets, num, den), "links")
+        drop_written(docs.sparkSession, mark, keep=(pairs, found))
         links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
 
     least = some.groupBy("node").agg(F.min("doc_id").alias("least"))
