@@ -15,8 +15,9 @@ Pairs that pass in any shingle are made distinct, and each is verified once on t
 The order. Counting all shingles would shuffle more than the texts. Any order common to all sets is right, so
 those shingles come first whose hash is in the lower five sixteenths, by how many documents hold them; they
 are counted in full. A set with too few of them for its prefix gives all its shingles to be counted, and the
-others follow in the same way. A shingle that one document alone holds can't bring two together, so all joins are
-on the shared ones only; the others count as places.
+others follow in the same way. A shingle that one node alone gives can't bring two together, so all joins are on the
+shared ones only; the others stand before the shared ones of their half and count as places. Each given shingle is
+shuffled once: the window that counts it also tells whether it is shared.
 
 Groups of copies. A shingle that thousands of near copies share isn't turned into all pairs: its members meet some
 of them, its leaders, and links make components. In the next round only members of other components than the
@@ -27,14 +28,15 @@ component on one side only. Shingles with the same members count once, the first
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components
-from quillspan.llm.shared import broadcast_if_small, drop_written, small_batches, texts, written, written_so_far
+from quillspan.llm.shared import broadcast_if_small, drop_written, release_shuffles, small_batches, texts, written, written_so_far
 from quillspan.llm.simhash import set_hash, shingle_hashes, shingle_sets
 
 #: Hashes under this, as unsigned numbers, come first in the order.
@@ -43,6 +45,8 @@ FIRST = 5 << 60
 WORDS, WHOLE = 4, 8
 #: Leaders of a shingle in a round, for its commonest root and for all others, and rounds before all that is left meets.
 LEADERS, ROUNDS = 4, 4
+#: Parts of the shingles, by hash, that are counted one after the other, so that one part's shuffle is on disk at a time.
+PARTS = 2
 
 
 def prefix_size(n, num: int, den: int):
@@ -86,16 +90,24 @@ def parity(own: np.ndarray) -> np.ndarray:
     return np.packbits(turned, bitorder="little").view(np.int64)
 
 
+def shared_rows(sets: DataFrame) -> DataFrame:
+    """``node, n, n_first, g, c`` for each given shingle that two nodes or more give: ``c`` counts the rows that give it."""
+    given = sets.where("g is not null").select("node", "n", "n_first", F.explode("g").alias("g"))
+    of = Window.partitionBy("g")
+    tables = []
+    for part in range(PARTS):
+        some = given.where(F.pmod("g", F.lit(PARTS)) == part).select("*", F.count(F.lit(1)).over(of).alias("c"), F.min("node").over(of).alias("x"), F.max("node").over(of).alias("y"))
+        tables.append(written(some.where("x <> y").drop("x", "y"), "shared"))
+        release_shuffles(sets.sparkSession)
+    return reduce(DataFrame.unionByName, tables)
+
+
 def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     """``rare, node, n, i, s0, s1, s2, s3``: a row for each shared shingle in a node's prefix, with its place and the parity of the shared ones behind it.
 
     ``rare`` is the shingle as a struct that sorts in the common order: whether it comes later, its count, its hash.
     """
-    given = sets.where("g is not null")
-    every = given.select(F.explode("g").alias("g"))
-    shared = written(every.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
-    rows = given.select("node", "n", "n_first", F.explode("g").alias("g")).join(shared, "g")
-    rows = rows.groupBy("node", "n", "n_first").agg(F.collect_set(F.struct("c", "g")).alias("x"))
+    rows = shared_rows(sets).groupBy("node", "n", "n_first").agg(F.collect_set(F.struct("c", "g")).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +119,7 @@ def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
                 c, g, late = c[order], g[order], late[order]
                 ahead = int((~late).sum())
                 rank = np.arange(len(g))
-                # Shingles that no other document gave stand before the shared ones of their half.
+                # Shingles that no other node gave stand before the shared ones of their half.
                 place = np.where(late, n - len(g) + rank, first - ahead + rank)
                 bits = np.zeros((len(g) + 1, 4), np.int64)
                 bits[rank, (g >> 6) & 3] = np.int64(1) << (g & 63)
@@ -158,10 +170,11 @@ def mixed_rows(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         own = rows.withColumn("root", F.col("node"))
     else:
-        own = rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = rows.join(broadcast_if_small(written(components(links), "roots")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = written(own, "rooted")
     big = own.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.max(F.struct("m", "root")).alias("b"), F.count(F.lit(1)).alias("roots"))
-    return written(own.join(written(big.where("roots > 1").select("k", F.col("b.root").alias("big")), "big"), "k"), "mixed")
+    big = written(big.where("roots > 1").select("k", F.col("b.root").alias("big")), "big")
+    return written(own.join(broadcast_if_small(big), "k"), "mixed")
 
 
 def leader_pairs(rows: DataFrame, nth: int, num: int, den: int) -> DataFrame:
@@ -205,7 +218,9 @@ def linked_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5
     mark = written_so_far()
     own = written(document_sets(docs, words, num, den, id_col, text_col), "sets")
     some = own.where("n > 0")
-    rows = written(meeting_rows(written(prefixes(some, num, den), "prefixes")), "members")
+    rows = written(prefixes(some, num, den), "prefixes")
+    release_shuffles(docs.sparkSession)
+    rows = written(meeting_rows(rows), "members")
     nodes = written(rows.select("node").distinct(), "nodes")
     whole = some.where("whole is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("whole").alias("w"))
     rows = written(rows.join(whole, "node").select(*rows.columns, *(F.col("w")[w].alias(f"w{w}") for w in range(WHOLE))), "meeting")
@@ -214,6 +229,7 @@ def linked_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5
     own = written(own.select("doc_id", "text_key", "node", "n"), "nodes")
     some = own.where("n > 0")
     drop_written(docs.sparkSession, mark, keep=(own, rows, nodes))
+    release_shuffles(docs.sparkSession)
 
     # One document of each node that meets another is read again for its whole set.
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
@@ -233,6 +249,7 @@ def linked_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = written(verified(pairs, sets, num, den), "links")
         drop_written(docs.sparkSession, mark, keep=(pairs, found))
+        release_shuffles(docs.sparkSession)
         links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
 
     least = some.groupBy("node").agg(F.min("doc_id").alias("least"))

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.sources.scratch import drop_written, new_place, written, written_so_far
+from quillspan.sources.scratch import drop_written, new_place, release_shuffles, written, written_so_far
 
-__all__ = ["drop_written", "new_place", "written", "written_so_far"]
+__all__ = ["drop_written", "new_place", "release_shuffles", "written", "written_so_far"]
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 256

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,14 @@ def written_so_far() -> int:
     return len(_written)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Has the files of shuffles that no plan needs any more deleted: Spark does so once the driver has collected the plan, which may be half an hour later."""
+    for _ in range(2):  # the end of the last job may still be on its way to listeners, which hold its plan
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def drop_written(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
     """Deletes the tables that this driver has written since a mark, but those that ``keep`` reads; call it when the results made from them are saved."""
     Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -233,3 +233,47 @@ def test_ngram_join_edges(spark):
     began = time.time()
     assert {x.component_id for x in join.linked_documents(docs_of(spark, texts)).collect()} == {0}
     assert time.time() - began < 120
+
+
+def _shuffled(spark):
+    """Records shuffled by each stage so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_ngram_join_shuffles_given_shingles_once(spark):
+    """Disk: no shingle is shuffled to be counted and again to be joined, and what counting shuffled doesn't stay."""
+    texts = [" ".join(f"d{i}w{k}" for k in range(500)) for i in range(40)] + [" ".join(f"d{i}w{k}" for k in range(20, 500)) for i in range(3)]
+    sets = join.written(join.document_sets(docs_of(spark, texts).repartition(2), 5, 4, 5, "doc_id", "text"), "sets")
+    given = sets.where("g is not null").agg(F.sum(F.size("g"))).first()[0]
+    before, files = _shuffled(spark), _shuffle_files(spark)
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables of a real size
+    try:
+        rows = join.written(join.prefixes(sets, 4, 5), "prefixes")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert sum(n for s, n in _shuffled(spark).items() if s not in before) < 1.5 * given
+    kept, until = lambda: {f.split("_")[1] for f in _shuffle_files(spark) - files}, time.time() + 20
+    while len(kept()) > 1 and time.time() < until:
+        time.sleep(0.2)
+    assert len(kept()) <= 1  # the shuffle of the table just written
+    assert rows.select("node").distinct().count() == 6
+
+
+def test_ngram_join_copies_in_several_tasks_share_nothing(spark):
+    """Sets that several tasks give are one node: their shingles aren't shared by that."""
+    texts = [" ".join(f"c{i}w{k}" for k in range(60)) for i in range(3)] * 8 + [" ".join(f"c0w{k}" for k in range(3, 60))]
+    docs = docs_of(spark, texts).repartition(6)
+    sets = join.written(join.document_sets(docs, 5, 4, 5, "doc_id", "text"), "sets")
+    assert sets.where("g is not null").count() > 4
+    assert join.prefixes(sets, 4, 5).select("node").distinct().count() == 2
+    got = join.linked_documents(docs).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == _classes(texts, range(len(texts)))
