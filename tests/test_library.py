@@ -233,6 +233,24 @@ def test_broken_page_gives_its_message(spark, monkeypatch):
     assert got["b"] == ("good", None) and got["a"][0] is None and got["a"][1].startswith("ZeroDivisionError")
 
 
+def test_plain_pages_are_cut_apart(spark, monkeypatch):
+    """Plain markup needs no tree of the page, and gives what the tree gives."""
+    units = "<table class=units><tr><th>Unit</th><th>Info</th><th>T1</th></tr>\n<tr class='x'><td>a &amp; b</td><td>done: 1<br>part: &lt;x&gt; </td><td><input checked></td></tr></table>"
+    page = "<div><p>menu</div><table class='student-info'><tr><th>Grade</th><td> 9 </td></tr></table><table class=targets><tbody><tr><td>T1</td><td>n</td></tr><tr><td>s</td></tr><tr><td>t</td></tr></tbody></table>" + units
+    labels, whole = html.Labels(), html.parse
+    monkeypatch.setattr(html, "parse", lambda h: 1 / 0 if "<table" in h else whole(h))
+    got = html.detail_record(page, labels)
+    assert got["info"] == [("grade", "9")] and [u["unit_name"] for u in got["units"]] == ["a & b"] and got["units"][0]["division_text"] == "<x>" and got["units"][0]["checks"] == [("T1", True)]
+    monkeypatch.undo()
+    odd = ("<!-- -->", "</tr>", "<td>", "<td/>", "<b title='</td>'>", "<table><tr><td>in</td></tr></table>", "<script><td></script>", "<", "'", "<TD>x</TD>", "<tr\n>", "<td.x>", "<table/>", "<li>", "</div>")
+    pages_ = [page] + [page[:i] + x + page[i:] for x in odd for i in range(0, len(page), 23)]
+    flat = [html._flat_tables(h) for h in pages_]
+    assert flat[0] is not None and any(x is None for x in flat)
+    own = [(html.detail_record(h, labels), html.listing_rows(h, labels), html.label_value_of(h, "Unit", "units")) for h in pages_]
+    monkeypatch.setattr(html, "_flat_tables", lambda h: None)
+    assert own == [(html.detail_record(h, labels), html.listing_rows(h, labels), html.label_value_of(h, "Unit", "units")) for h in pages_]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     start = pages(spark, *({"page_key": str(i), "status": "unfetched", "retries": 0} for i in range(5)))
     rows = [("fetched" if i % 3 else "failed", str(i % 5), f"h{i}", None, f"e{i}", i) for i in range(20)] + [(None, "1", None, None, None, 99)]
