@@ -1,5 +1,6 @@
 """Literal rows for functions and operators, and invariants."""
 
+import re
 from datetime import date
 
 import pytest
@@ -251,6 +252,14 @@ def test_plain_pages_are_cut_apart(spark, monkeypatch):
     assert own == [(html.detail_record(h, labels), html.listing_rows(h, labels), html.label_value_of(h, "Unit", "units")) for h in pages_]
 
 
+def test_listed_lessons_do_not_carry_their_page(spark):
+    df = spark.createDataFrame([(1, "<table><tr><th>Student</th><th>Sheet</th></tr><tr>" + "<td>1 Ann</td>" * 6 + "</tr></table>")], "page_index int, html string")
+    out = html.parse_list_pages(df)
+    assert [(r.page_index, r.student_name, r.error) for r in out.collect()] == [(1, "Ann", None)]
+    kept = re.findall(r"Generate explode\(.*?\), \[(.*?)\], true", out._jdf.queryExecution().executedPlan().toString())
+    assert [re.sub(r"#\d+", "", x) for x in kept] == ["page_index, error"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     start = pages(spark, *({"page_key": str(i), "status": "unfetched", "retries": 0} for i in range(5)))
     rows = [("fetched" if i % 3 else "failed", str(i % 5), f"h{i}", None, f"e{i}", i) for i in range(20)] + [(None, "1", None, None, None, 99)]
