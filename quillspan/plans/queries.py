@@ -211,7 +211,7 @@ _SIMILAR = """with t as (select upper(source) as author, regexp_replace(text, '\
 
 @query(_SIMILAR + " select author, md5(a) as a, md5(b) as b, jaccard from q")
 def similar_pairs(s, d):
-    return similar.similar_pairs(similar._texts(read(s, d, "documents"), "source", "text")).select("author", F.md5("a").alias("a"), F.md5("b").alias("b"), "jaccard")
+    return similar.similar_pairs(similar._texts(read(s, d, "documents"), "source", "text"), shown=F.md5)
 
 
 @query(_SIMILAR + """, e as (select author, a as t, b as o from q union all select author, b, a from q),
