@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import nfkc, without_blanks
+from quillspan.functions.text import nfkc_without_blanks
 from quillspan.operators.groups import group_sizes
 from quillspan.sources.scratch import written
 
@@ -32,7 +32,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def _texts(df: DataFrame, author: str, text: str) -> DataFrame:
     """Different texts of each author with their copies; authors without blanks in upper case, texts of three characters on."""
-    own = df.select(F.upper(without_blanks(nfkc(F.col(author)))).alias("author"), without_blanks(nfkc(F.col(text))).alias("t"))
+    own = df.select(F.upper(nfkc_without_blanks(F.col(author))).alias("author"), nfkc_without_blanks(F.col(text)).alias("t"))
     return own.where("author <> '' and length(t) >= 3").groupBy("author", "t").agg(F.count(F.lit(1)).alias("copies"))
 
 
@@ -70,10 +70,6 @@ def gram_sets(text: Column, n: int = 2) -> Column:
     return run.asNondeterministic()(text)  # else every use of a field would make the set again
 
 
-def _ids(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("id", F.xxhash64("author", "t"))
-
-
 class _Side:
     """Sets of a tile by size; their grams are numbered within the tile."""
 
@@ -249,18 +245,6 @@ def similar_pairs(texts: DataFrame, short: int = 15, n: int = 2, most_pairs: int
     return one.join(own.select(F.col("id").alias("id_b"), F.col("t").alias("b")), "id_b").select("author", "a", "b", "jaccard")
 
 
-def similar_groups(texts: DataFrame, short: int = 15, n: int = 2, most_pairs: int = 10**13) -> DataFrame:
-    """``author, t, copies, group, size``: every text's group of similar texts, over any number of links, and the records in it.
-
-    Short texts are similar only if equal, so they are groups by themselves. ``texts`` has ``author, t, copies``;
-    ``group`` is a number that the group's texts share.
-    """
-    own = _ids(texts)
-    edges = similar_sets(_long_sets(own, short, n), most_pairs, linked=True).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    sized = group_sizes(own.select(F.col("id").alias("node"), "copies"), edges, "copies")
-    return own.join(sized.select(F.col("node").alias("id"), F.col("root").alias("group"), "size"), "id").select("author", "t", "copies", "group", "size")
-
-
 def flag_similar(df: DataFrame, author: str = "author", text: str = "text", short: int = 15, warning: str = "looks_copied", fix: str = "rewrite in own words", exclude: Column | None = None, least: int = 3) -> DataFrame:
     """Adds ``copied`` (in a group of ``least`` records or more), ``copy_group`` and ``copy_size``.
 
@@ -268,13 +252,16 @@ def flag_similar(df: DataFrame, author: str = "author", text: str = "text", shor
     Rows that ``exclude`` holds for, rows without an author and texts under three characters are compared with
     nothing: their group is null. Short texts are similar only if equal.
     """
-    compared = df if exclude is None else df.where(~exclude)
-    texts = _texts(compared, author, text)
-    found = similar_groups(written(texts, "texts"), short).select(F.col("author").alias("_a"), F.col("t").alias("_t"), F.col("group").alias("copy_group"), F.col("size").alias("copy_size"))
-    own = df.withColumns({"_a": F.upper(without_blanks(nfkc(F.col(author)))), "_t": without_blanks(nfkc(F.col(text)))})
-    if exclude is not None:
-        own = own.withColumn("_a", F.when(~exclude, F.col("_a")))
-    own = own.join(found, ["_a", "_t"], "left").withColumn("copied", F.coalesce(F.col("copy_size") >= least, F.lit(False)))
+    a = F.upper(nfkc_without_blanks(F.col(author)))
+    own = df.withColumns({"_a": a if exclude is None else F.when(~exclude, a), "_t": nfkc_without_blanks(F.col(text))})
+    compared = (F.col("_a") != "") & (F.length("_t") >= 3)
+    # From here on 128 bits stand for a text and its author, so texts are neither sorted nor shuffled.
+    own = own.withColumns({"_k": F.when(compared, F.xxhash64("_a", "_t")), "_l": F.when(compared, F.xxhash64(F.lit(1), "_a", "_t"))})
+    sets = own.where("_k is not null").select(F.col("_a").alias("author"), F.col("_k").alias("id"), "_l", gram_sets(F.when(F.length("_t") >= max(short, 2), F.col("_t"))).alias("x"))
+    texts = written(sets.groupBy("author", "id", "_l").agg(F.count(F.lit(1)).alias("copies"), F.first("x.n").alias("n"), F.first("x.set").alias("set")), "texts")
+    edges = similar_sets(texts.select("author", "id", "n", "set"), linked=True).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    found = group_sizes(texts.select(F.col("id").alias("node"), "_l", "copies"), edges, "copies").select(F.col("node").alias("_k"), "_l", F.col("root").alias("copy_group"), F.col("size").alias("copy_size"))
+    own = own.select(*df.columns, "_k", "_l").join(found, ["_k", "_l"], "left").withColumn("copied", F.coalesce(F.col("copy_size") >= least, F.lit(False)))
     out = own.select(*df.columns, "copied", "copy_group", "copy_size")
     if {"warnings", "fix_items", "severity"} <= set(df.columns):
         add = lambda c, v: F.when(F.col("copied"), F.array_union(c, F.array(F.lit(v)))).otherwise(F.col(c))

@@ -1,6 +1,7 @@
 """Events in order, keyed tables, streams that resume, progress by target, groups of copies, checked and ordered publishing."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,6 +219,43 @@ def test_copies_in_blocks_and_chains(spark, monkeypatch):
         assert {x.id for x in got if x.copied} == flagged and len({x.copy_group for x in got if x.id < 6}) == 1 and {x.copy_size for x in got if x.id < 6} == {6}
 
 
+def test_sets_meet_as_packed_tiles(spark, monkeypatch):
+    """Large and odd sets, a block in parts, rare and common grams: what brute force finds; nothing but numbers of a text is shuffled for its group."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 2**63, 400, dtype=np.uint64))[: int(r.integers(60, 300))] for _ in range(12)]
+    for x in list(sets):
+        sets += [np.unique(np.concatenate([x[int(r.integers(0, 30)) :], r.integers(0, 2**63, int(r.integers(0, 12)), dtype=np.uint64)])) for _ in range(6)]
+    assert all((similar._unpacked(similar._packed(x)) == x).all() for x in [*sets, np.zeros(0, np.uint64)])
+    own = [set(x.tolist()) for x in sets]
+    want = {(i, k) for i in range(len(own)) for k in range(i) if 5 * len(own[i] & own[k]) >= 4 * len(own[i] | own[k])}
+    monkeypatch.setattr(similar, "STEP", 16)
+    n, packed = np.array([len(x) for x in sets]), [similar._packed(x) for x in sets]
+    pairs = [(max(a, b), min(a, b)) for k, l, _ in similar._tile(n, packed, np.ones(len(n), bool), True, False) for a, b in zip(k.tolist(), l.tolist(), strict=True)]
+    right = np.arange(len(n)) % 2 == 0
+    two = [(int(max(a, b)), int(min(a, b))) for k, l, _ in similar._tile(n, packed, right, False, False) for a, b in zip(k, l, strict=True)]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 50 and set(two) == {(a, b) for a, b in want if right[a] != right[b]}
+    up = list(range(len(n)))
+    links = [(int(a), int(b)) for k, l, _ in similar._tile(n, packed, np.ones(len(n), bool), True, True) for a, b in zip(k, l, strict=True)]
+    find = lambda v: v if up[v] == v else find(up[v])
+    for a, b in links:
+        assert find(a) != find(b) and (max(a, b), min(a, b)) in want  # a link each, and no more
+        up[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in want)
+    plan = similar.flag_similar(spark.createDataFrame([(1, "a", "x" * 40)], "id int, author string, text string")).select("id", "copied")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not any(re.search(r"\b_[at]#", x) for x in plan.split("\n") if "Join" in x)
+
+
+def test_blanks_go_with_compatibility_forms(spark):
+    from quillspan.functions import text
+
+    odd = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    df = spark.createDataFrame([(t,) for t in (None, "", "a b\tc\n", "Ａ　b\u2003c", odd, "".join(map(chr, range(128))))], "t string")
+    got = df.select(text.nfkc_without_blanks(F.col("t")).alias("a"), text.without_blanks(text.nfkc(F.col("t"))).alias("b")).collect()
+    assert all(x.a == x.b for x in got)
+
+
 def test_tables_that_break_their_rule_are_not_published(spark, tmp_path):
     path = str(tmp_path / "store")
     good = spark.createDataFrame([("a", 0, "T1", 2, 1, 1, 0, 0, 1)], "page_key string, seq int, target_no string, units int, executed int, on_time int, before int, after int, not_executed int")
