@@ -48,23 +48,24 @@ def target_progress(targets: DataFrame, units: DataFrame) -> DataFrame:
     A target is a row of its page, told by ``seq``: of several that have one number, each counts the number's
     units by its own period. Executed units of a target without a period count as after it.
     """
-    own = assigned_units(units.select("page_key", "row_no", "exec_date", "textbook", "target_checks")).drop("target_checks")
-    periods = targets.select("page_key", "seq", "target_no", "start_date", "end_date")
-    joined = own.join(periods, ["page_key", "target_no"])
-    t = timing(F.col("exec_date"), F.col("start_date"), F.col("end_date"))
-    counts = joined.withColumn("t", t).groupBy("page_key", "seq").agg(
-        F.count(F.lit(1)).alias("units"),
-        F.count("exec_date").alias("executed"),
-        F.count_if(F.col("t") == "on_time").alias("on_time"),
-        F.count_if(F.col("t") == "before").alias("before"),
-        F.count_if(F.col("t").isin("after", "undecided")).alias("after"),
-        F.count_if(F.col("t") == "not_executed").alias("not_executed"),
-        F.max("exec_date").alias("latest"),
-    )
-    books = ordered_distinct(own, ["page_key", "target_no"], "textbook", "row_no")
-    out = targets.join(counts, ["page_key", "seq"], "left").join(books, ["page_key", "target_no"], "left")
-    numbers = ["units", "executed", "on_time", "before", "after", "not_executed"]
-    out = out.withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast("int") for n in numbers})
+    on = F.map_keys(F.map_filter("target_checks", lambda _, v: F.coalesce(v, F.lit(False))))
+    # Targets and units are dealt out once, by the page; what a target needs of its page's units is counted in its own row.
+    own = units.groupBy("page_key").agg(F.collect_list(F.struct("row_no", "exec_date", "textbook", on.alias("on"))).alias("_u"))
+    mine = F.transform(F.filter("_u", lambda u: F.array_contains(u["on"], F.col("target_no"))), lambda u: F.struct(timing(u["exec_date"], F.col("start_date"), F.col("end_date")).alias("t"), u["exec_date"], u["row_no"], u["textbook"]))
+
+    def counted(rows: Column) -> Column:
+        n = lambda *names: F.size(F.filter(rows, lambda u: u["t"].isin(*names)))
+        named = F.filter(rows, lambda u: ~F.trim(F.coalesce(u["textbook"], F.lit(""))).isin("", "-"))
+        books = F.array_distinct(F.transform(F.array_sort(F.transform(named, lambda u: F.struct(u["row_no"], u["textbook"]))), lambda x: x["textbook"]))
+        return F.struct(
+            F.size(rows).alias("units"), (F.size(rows) - n("not_executed")).alias("executed"), n("on_time").alias("on_time"), n("before").alias("before"), n("after", "undecided").alias("after"), n("not_executed").alias("not_executed"),
+            F.array_max(F.transform(rows, lambda u: u["exec_date"])).alias("latest"), F.when(F.size(books) > 0, F.array_join(books, "\n")).alias("textbooks"),
+        )
+
+    out = targets.join(own, "page_key", "left").withColumn("_c", F.transform(F.array(mine), counted)[0])
+    numbers, known = ["units", "executed", "on_time", "before", "after", "not_executed"], F.col("seq").isNotNull()
+    counts = {n: F.coalesce(F.when(known, F.col(f"_c.{n}")), F.lit(0)) for n in numbers}  # null where a page has no units
+    out = out.withColumns({**counts, "latest": F.when(known, F.col("_c.latest")), "textbooks": F.col("_c.textbooks")}).drop("_u", "_c")
     return out.withColumns({f"{n}_rate": pct(F.col(n), F.col("units")) for n in numbers[1:]})
 
 

@@ -257,6 +257,26 @@ def test_demo_pages_do_not_shuffle_the_findings(spark):
     assert [x for x in plan.split("\n") if "Join LeftOuter" in x and "page_key" in x and "rightHint=(strategy=broadcast)" in x] and "student_name" not in plan
 
 
+def test_progress_deals_targets_and_units_out_once(spark):
+    day = lambda d: f"date '2026-01-{d:02}'"
+    targets = spark.sql(f"select * from values ('a', 0, 'T1', {day(5)}, {day(9)}), ('a', 1, 'T2', null, null), ('a', 2, 'T1', {day(1)}, {day(4)}), ('a', null, 'T1', {day(1)}, {day(4)}), ('b', 0, 'T1', null, {day(2)}), ('c', 0, null, null, null) t(page_key, seq, target_no, start_date, end_date)")
+    on = "map('T1', true, 'T2', false), map('T1', true, 'T2', true), map('T1', true, 'T9', true)".split("), ")
+    units = spark.sql(f"select * from values ('a', 1, {day(4)}, 'y', {on[0]})), ('a', 2, {day(5)}, 'x', {on[1]})), ('a', 3, {day(10)}, 'y', {on[2]}), ('a', 4, cast(null as date), '-', {on[1]})), ('a', 5, null, 'z', null), ('c', 1, {day(3)}, 'w', {on[0]})) t(page_key, row_no, exec_date, textbook, target_checks)")
+    out = progress.target_progress(targets, units)
+    got = sorted((r.page_key, -1 if r.seq is None else r.seq, r.units, r.executed, r.on_time, r.before, r.after, r.not_executed, r.latest and r.latest.day, r.textbooks, r.executed_rate) for r in out.collect())
+    assert got == [
+        ("a", -1, 0, 0, 0, 0, 0, 0, None, "y\nx", None), ("a", 0, 4, 3, 1, 1, 1, 1, 10, "y\nx", 75.0), ("a", 1, 2, 1, 0, 0, 1, 1, 5, "x", 50.0), ("a", 2, 4, 3, 1, 0, 2, 1, 10, "y\nx", 75.0),
+        ("b", 0, 0, 0, 0, 0, 0, 0, None, None, None), ("c", 0, 0, 0, 0, 0, 0, 0, None, None, None),
+    ]
+    assert not inconsistent_rows(out)
+    plan = out.hint("merge")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("BroadcastExchange") == 2
+
+
+def inconsistent_rows(df):
+    return progress.inconsistent(df).collect()
+
+
 def test_blanks_go_with_compatibility_forms(spark):
     from quillspan.functions import text
 
