@@ -1,5 +1,6 @@
 """Events in order, keyed tables, streams that resume, progress by target, groups of copies, checked and ordered publishing."""
 
+import os
 import random
 import re
 
@@ -277,6 +278,32 @@ def inconsistent_rows(df):
     return progress.inconsistent(df).collect()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+def test_store_is_made_without_joining_pages_back(spark):
+    from quillspan.plans import state_queries
+
+    store = state_queries._store(spark, "/root/testdata/sf0.001")
+    plans = {name: df._jdf.queryExecution().optimizedPlan().toString() for name, df in store.items()}
+    assert not any("LeftSemi" in x for x in plans.values()) and plans["pages"].count("Relation [o_orderkey") == 3  # of the pages, their targets and units
+    saved = {r.page_key for r in store["pages"].where("status = 'saved'").collect()}
+    assert {r.page_key for r in store["targets"].collect()} == saved == {r.page_key for r in store["progress"].collect()} and {r.page_key for r in store["units"].collect()} <= saved
+
+
+def test_unit_detail_meets_by_the_page_only(spark):
+    day = lambda d: f"date '2026-01-{d:02}'"
+    targets = spark.sql(f"select * from values ('a', 0, 'T1', 'old', {day(1)}, {day(2)}, 'OK'), ('a', 3, 'T1', 'last', {day(5)}, {day(9)}, 'DELAY'), ('a', null, 'T1', 'none', null, null, 'OK'), ('a', 1, 'T2', 'n', null, null, null) t(page_key, seq, target_no, target_name, start_date, end_date, progress_delay)")
+    units = spark.sql(f"select * from values ('a', 1, {day(6)}, map('T1', true, 'T2', true)), ('a', 2, {day(4)}, map('T1', true, 'T9', true)), ('a', 3, null, map('T1', false)), ('b', 1, {day(4)}, map('T1', true)), ('x', 1, {day(4)}, map('T1', true)) t(page_key, row_no, exec_date, target_checks)")
+    pages = spark.createDataFrame([("a", "Ann"), ("b", "Bob")], "page_key string, student_name string")
+    out = progress.unit_detail(units, pages, targets)
+    got = sorted((r.page_key, r.row_no, r.target_no, r.target_name, r.progress_delay, r.timing, r.student_name) for r in out.collect())
+    assert got == [
+        ("a", 1, "T1", "last", "DELAY", "on_time", "Ann"), ("a", 1, "T2", "n", "OK", "undecided", "Ann"), ("a", 2, "T1", "last", "DELAY", "before", "Ann"), ("a", 2, "T9", None, "OK", "on_time", "Ann"),
+        ("a", 3, "-", None, "OK", "not_executed", "Ann"), ("b", 1, "T1", None, "OK", "on_time", "Bob"),
+    ]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "Window" not in plan and not any("target_no" in x for x in plan.split("\n") if "Join " in x)
+
+
 def test_blanks_go_with_compatibility_forms(spark):
     from quillspan.functions import text
 
